@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from labelkite.llm import line_rules, sketch
+from labelkite.llm import line_rules, packing, sketch
 
 QUERIES = {
+    "op1_best_two_fit": packing.op1_best_two_fit,
     "op4_sketches": sketch.op4_sketches,
     "op8_line_rules": line_rules.op8_line_rules,
 }
