@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from labelkite.llm import line_rules, packing, sketch
+from labelkite.llm import line_rules, packing, simhash, sketch
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
     "op4_sketches": sketch.op4_sketches,
+    "op10_simhash_anchors": simhash.op10_simhash_anchors,
     "op8_line_rules": line_rules.op8_line_rules,
 }
 
