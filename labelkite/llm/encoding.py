@@ -1,13 +1,14 @@
 """Token ids of whole texts by a public tokenizer file, as bytes of little-endian unsigned 32-bit ids.
 
 Both tokenizers here encode each stretch between two places in a text on its own, so equal stretches always give equal
-ids. A worker keeps the ids of stretches that it has met (at most ``MEMO`` of them) and has the library encode only new
-ones. Texts with control characters that the libraries' white space classes disagree about are encoded whole.
+ids. A worker keeps the ids of stretches that it meets again (at most ``MEMO`` of them) and has the library encode only the
+others. Texts with control characters that the libraries' white space classes disagree about are encoded whole.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 
 #: Unicode white space, the characters that both libraries agree on.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -17,15 +18,26 @@ STRETCHES = {
     "byte_bpe_50k.json": re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"),
     "word_bpe_49k.json": re.compile(rf"[^{WHITE}]+"),
 }
-#: What stands between two new stretches handed over together: white space, or a control character on its own.
-BETWEEN = {"byte_bpe_50k.json": "\n", "word_bpe_49k.json": " \x02 "}
-MEMO = 400_000
+#: Letters, then marks, that every class agrees on: two runs that are encoded apart.
+PLAIN = re.compile(r"( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\[-`{-~]*)")
+#: Stretches kept, once they have been met twice; others that have been met once.
+MEMO = 350_000
+ONCE = 250_000
 #: Characters of text whose stretches are held at once.
 CHUNK = 1_000_000
 
 _encoders: dict = {}
 
 
+def byte_letters() -> dict[int, str]:
+    """Characters to the letters that a byte-level vocabulary has for their bytes: printable bytes stand for themselves, the
+    others, in order, for the characters from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    letter = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
+
+
 class Encoder:
     def __init__(self, name: str, path: str | None = None):
         import os
@@ -40,9 +52,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.find = STRETCHES[name].findall
-        self.between = BETWEEN[name]
-        self.alone = re.compile(rf"[^ ].*[{WHITE}]|^[{WHITE}]+$|\x02", re.S)
-        (self.mark,) = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.lower = name == "word_bpe_49k.json"
+        self.bytes = byte_letters()
+        self.once: set[str] = set()
+        self.marks: dict[str, list[int]] = {"": []}
         self.memo: dict[str, bytes] = {}
 
     def library(self, texts: list[str]) -> list[bytes]:
@@ -51,21 +64,26 @@ class Encoder:
 
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _stretches(self, new: list[str]) -> dict[str, bytes]:
-        """The ids of each stretch; most are handed over in long texts, for speed."""
-        import numpy as np
+    def _run(self, x: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(x.translate(self.bytes))]
 
-        alone = [x for x in new if self.alone.search(x)]
-        out = dict(zip(alone, self.library(alone), strict=True))
-        rest = [x for x in new if x not in out]
-        groups = [rest[i : i + 4000] for i in range(0, len(rest), 4000)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([self.between.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)) * 4
-            raw, begin = ids.tobytes(), 0
-            for x, end in zip(group, ends.tolist(), strict=True):
-                out[x] = raw[begin:end]
-                begin = end + 4
+    def _stretches(self, new: set[str]) -> dict[str, bytes]:
+        """The ids of each stretch: plain ones by the library's model directly, others by all of the library."""
+        out, others, marks = {}, [], self.marks
+        for x in new:
+            plain = PLAIN.fullmatch(x)
+            if not plain:
+                others.append(x)
+                continue
+            letters, after = plain.groups()
+            ids = self._run(letters.lower() if self.lower else letters)
+            if after not in marks:
+                if len(marks) > 10_000:
+                    marks.clear()
+                marks[after] = self._run(after) if after else []
+            ids = ids + marks[after]
+            out[x] = struct.pack(f"<{len(ids)}I", *ids)
+        out.update(zip(others, self.library(others), strict=True))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -87,15 +105,19 @@ class Encoder:
             else:
                 out[k] = b"".join(ids)
         if new:
-            fresh = self._stretches(list(new))
+            fresh = self._stretches(new)
             for k, found, ids, missing in wait:
                 for i in missing:
                     ids[i] = fresh[found[i]]
                 out[k] = b"".join(ids)
-            if len(memo) + len(fresh) > MEMO and len(fresh) > units / 4:
+            if len(memo) >= MEMO and len(new) > units / 4:
                 memo.clear()  # other texts than before
-            if len(memo) + len(fresh) <= MEMO:
-                memo.update(fresh)
+            if len(memo) < MEMO:
+                again = new & self.once
+                memo.update((x, fresh[x]) for x in again)
+                self.once |= new - again
+                if len(self.once) > ONCE:
+                    self.once.clear()
         for k, ids in zip(odd, self.library([texts[k] for k in odd]), strict=True):
             out[k] = ids
         return out
