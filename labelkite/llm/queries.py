@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from labelkite.llm import line_rules, packing, simhash, sketch, token_file, warc
+from labelkite.llm import html_text, line_rules, packing, simhash, sketch, token_file, warc
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
     "op3_token_blocks": token_file.op3_token_blocks,
     "op4_sketches": sketch.op4_sketches,
+    "op9_main_text": html_text.op9_main_text,
     "op10_simhash_anchors": simhash.op10_simhash_anchors,
     "op5_warc": warc.op5_warc,
     "op8_line_rules": line_rules.op8_line_rules,
