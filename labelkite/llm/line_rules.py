@@ -1,6 +1,6 @@
 """Line-first quality rules, all in DataFrame functions.
 
-Each line is judged on its own (symbols, shouting, navigation, boilerplate, a repeat of an earlier line).
+Each line is judged on its own (symbols, shouting, navigation, boilerplate).
 Lines that fail are taken out, and a document that loses more than ``max_lost`` of its words is rejected.
 Two rules judge the document as a whole: too few words, and too many words in repeated three-word windows.
 
@@ -80,12 +80,8 @@ def line_passes(line: Column) -> Column:
 
 
 def good_lines(text: Column) -> Column:
-    """The lines of ``text`` that pass, in order; later repeats of a line are taken out as well."""
-
-    def kept(lines: Column) -> Column:
-        return F.array_distinct(F.filter(lines, lambda x: line_passes(x)))
-
-    return let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), kept)
+    """The lines of ``text`` that pass, in order; blank lines pass."""
+    return F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x))
 
 
 def judge(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_lost: float = MAX_LOST) -> DataFrame:
