@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from labelkite.llm import html_text, line_rules, ordinal, packing, simhash, sketch, token_file, warc
+from labelkite.llm import chunk_dedup, html_text, line_rules, ordinal, packing, simhash, sketch, token_file, warc
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
+    "op2_chunk_dedup": chunk_dedup.op2_chunk_dedup,
     "op3_token_blocks": token_file.op3_token_blocks,
     "op4_sketches": sketch.op4_sketches,
     "op9_main_text": html_text.op9_main_text,
