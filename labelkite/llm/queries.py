@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelkite.llm import chunk_dedup, html_text, line_rules, ordinal, packing, simhash, sketch, token_file, warc
+from labelkite.llm import chunk_dedup, html_text, line_rules, ordinal, packing, piece_sampling, simhash, sketch, token_file, warc
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
@@ -12,6 +12,7 @@ QUERIES = {
     "op9_main_text": html_text.op9_main_text,
     "op10_simhash_anchors": simhash.op10_simhash_anchors,
     "op5_warc": warc.op5_warc,
+    "op6_piece_sampling": piece_sampling.op6_piece_sampling,
     "op7_ordinal_quality": ordinal.op7_ordinal_quality,
     "op8_line_rules": line_rules.op8_line_rules,
 }
