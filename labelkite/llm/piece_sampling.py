@@ -5,9 +5,10 @@ Forward filtering sums the weights of the paths to each place, backward sampling
 with its share of the weight at its end, so segmentations are drawn exactly in proportion to their weights. The random
 numbers are hashes of the row's key, the stretch and the step: a row gets the same pieces in any task, order or run.
 
-No piece of the vocabulary goes on after a space mark that follows a letter, so the lattice of a text falls apart into
-those of its stretches (space marks, then what follows them). A worker keeps the lattices of stretches, as arrays in which
-all draws of many texts are made together.
+No piece of the vocabulary has a space mark after anything else, and (but for those that are looked up when it is read)
+none has letters beside other characters, so the lattice of a text falls apart into those of its stretches: space marks,
+then letters or then other characters. A worker keeps the lattices of stretches, as arrays in which all draws of many
+texts are made together.
 
 A character that the vocabulary lacks is written in bytes; so is the space mark itself, where it stands in a text, which
 keeps decoding lossless.
@@ -27,7 +28,7 @@ VOCABULARY = "piece_bpe_32k.model"
 ALPHA = 5e-4
 SEED = 17
 #: Stretches kept, and characters of a stretch whose weights can't underflow.
-MEMO = 120_000
+MEMO = 200_000
 SHORT = 40
 CHUNK = 1_000_000
 MARK = "▁"
@@ -45,6 +46,25 @@ def mixed(x):
     return x ^ (x >> np.uint64(31))
 
 
+class Tables:
+    """Lattices: for each state (a place in a stretch) its pieces, with the summed shares, how far back each begins, its id."""
+
+    def __init__(self, first=(0,), shares=(), back=(), ids=(), low: int = 0):
+        import numpy as np
+
+        self.first, self.shares, self.back, self.ids, self.low = np.asarray(first, "i8"), np.asarray(shares, "f4"), np.asarray(back, "i4"), np.asarray(ids, "i4"), low
+
+    @property
+    def states(self) -> int:
+        return self.low + len(self.first) - 1
+
+    def joined(self, other: Tables) -> Tables:
+        import numpy as np
+
+        first = np.concatenate([self.first, other.first[1:] + len(self.ids)])
+        return Tables(first, *(np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("shares", "back", "ids")), self.low)
+
+
 class Sampler:
     def __init__(self, path: str | None = None, alpha: float = ALPHA):
         import math
@@ -76,7 +96,16 @@ class Sampler:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.pieces):
             raise ValueError("pieces of this vocabulary go over spaces")
         alone = "" if any("\n" in p and len(p) > 1 for p in self.pieces) else "\n"
-        self.find = re.compile(rf"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+" + "|\n" * bool(alone)).findall
+        pairs = {(a, b) for p in self.pieces for a, b in zip(p, p[1:])}
+        letter = re.compile(r"[^\W\d_]").match
+        mixed_pairs = [(a, b) for a, b in pairs if MARK not in (a, b) and bool(letter(a)) != bool(letter(b))]
+        if any(letter(b) for _, b in mixed_pairs):
+            pattern = rf"{MARK}+[^{MARK}{alone}]*|[^{MARK}{alone}]+"
+        else:
+            other = rf"(?:[^\w{MARK}{alone}]|[\d_])"
+            goes_on = "".join(rf"(?:(?<={re.escape(a)}){re.escape(b)}{other}*)?" for a, b in sorted(mixed_pairs))
+            pattern = rf"{MARK}*[^\W\d_]+{goes_on}|{MARK}*{other}+|{MARK}+"
+        self.find = re.compile(pattern + "|\n" * bool(alone)).findall
         self.size = n
         self.rare: dict[str, int] = {}  # characters in bytes, as ids from `size` on
         self.rare_bytes: list[list[int]] = []
@@ -86,7 +115,7 @@ class Sampler:
         import numpy as np
 
         self.memo: dict[str, tuple[int, int]] = {}  # stretch: its first state and its length
-        self.kept = self.tables = (np.zeros(1, "i4"), np.zeros(0), np.zeros(0, "i4"), np.zeros(0, "i4"))
+        self.kept = Tables()
 
     def _rare(self, c: str) -> int:
         if c not in self.rare:
@@ -95,74 +124,72 @@ class Sampler:
             self.rare_bytes.append([self.byte_ids[b] for b in raw])
         return self.rare[c]
 
-    def edges(self, x: str) -> list[tuple[int, int, int]]:
-        """(end, begin, id) of all pieces in a stretch, by end."""
-        out, pieces, starts, n = [], self.pieces, self.starts, len(x)
+    def edges(self, x: str, base: int, ends: list, begins: list, ids: list) -> None:
+        """Add the (end, begin, id) of all pieces in a stretch, whose first state is ``base``."""
+        get, starts, longest, n = self.pieces.get, self.starts, self.longest, len(x)
         for i in range(n):
-            if x[i] not in pieces:
-                out.append((i + 1, i, self._rare(x[i])))
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                part = x[i:j]
-                if part not in starts:
-                    break
-                k = pieces.get(part)
+            part = x[i]
+            if part not in self.pieces:
+                ends.append(base + i + 1)
+                begins.append(base + i)
+                ids.append(self._rare(part))
+            j = i + 1
+            last = min(n, i + longest)
+            while part in starts:
+                k = get(part)
                 if k is not None:
-                    out.append((j, i, k))
-        out.sort()
-        return out
+                    ends.append(base + j)
+                    begins.append(base + i)
+                    ids.append(k)
+                j += 1
+                if j > last:
+                    break
+                part = x[i:j]
 
-    def add(self, new: list[str]) -> dict[str, tuple[int, int]]:
-        """Lattices of more stretches, behind those in ``tables``; a state is a place in a stretch, from its beginning."""
+    def lattices(self, new: list[str], low: int):
+        """Tables of the lattices of stretches, states numbered from ``low``, and where each begins."""
         import numpy as np
 
-        first, shares, back, ids = self.tables
-        base, where, ends, begins, found, level, long = len(first) - 1, {}, [], [], [], [], []
+        base, where, ends, begins, found = low, {}, [], [], []
         for x in new:
-            e = self.edges(x)
             where[x] = (base, len(x))
-            ends += [base + j for j, _, _ in e]
-            begins += [base + i for _, i, _ in e]
-            found += [k for _, _, k in e]
-            level += [j for j, _, _ in e]
-            if len(x) > SHORT:
-                long.append((len(ends) - len(e), len(ends)))
+            self.edges(x, base, ends, begins, found)
             base += len(x) + 1
-        ends, begins, found, level = (np.array(v, "i8") for v in (ends, begins, found, level))
-        low = len(first) - 1
+        ends, begins, found = (np.array(v, "i8") for v in (ends, begins, found))
+        order = np.argsort(ends, kind="stable")
+        ends, begins, found = ends[order] - low, begins[order] - low, found[order]
         w = np.where(found < self.size, self.weight[np.minimum(found, self.size - 1)], 0)
         over = np.flatnonzero(found >= self.size)
         w[over] = [self.byte_weight ** len(self.rare_bytes[k - self.size]) for k in found[over].tolist()]
-        alpha = np.zeros(base - low)
         heads = np.array([s - low for s, _ in where.values()], "i8")
+        sizes = np.array([n for _, n in where.values()], "i8")
+        alpha = np.zeros(base - low)
         alpha[heads] = 1
-        order = np.argsort(level, kind="stable")
-        cuts = np.searchsorted(level[order], np.arange(1, (int(level.max()) if len(level) else 0) + 2))
-        share = np.zeros(len(w))
+        level = ends - np.repeat(heads, sizes + 1)[ends]
+        short = np.repeat(sizes <= SHORT, sizes + 1)[ends]
+        share = np.ones(len(w))
+        order = np.flatnonzero(short)
+        order = order[np.argsort(level[order], kind="stable")]
+        cuts = np.searchsorted(level[order], np.arange(1, SHORT + 2))
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
             at = order[lo:hi]
-            part = alpha[begins[at] - low] * w[at]
-            to = ends[at] - low
-            some, inverse = np.unique(to, return_inverse=True)
-            total = np.bincount(inverse, part)
-            # sums of long stretches are scaled: only the shares at a state count, and states are reached from few places
-            alpha[some] = total
-            share[at] = part / total[inverse]
-        for lo, hi in long:
+            if not len(at):
+                break
+            part = alpha[begins[at]] * w[at]
+            to = ends[at]
+            first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+            total = np.add.reduceat(part, first)
+            alpha[to[first]] = total
+            share[at] = part / np.repeat(total, np.diff(np.r_[first, len(at)]))
+        for h, n in zip(heads[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
+            lo, hi = np.searchsorted(ends, [h, h + n + 1])
             share[lo:hi] = self._scaled(ends[lo:hi], begins[lo:hi], w[lo:hi])
-        count = np.bincount(ends - low, minlength=base - low)
-        total = np.cumsum(share)
+        count = np.bincount(ends, minlength=base - low)
         start = np.cumsum(count) - count
-        before = np.where(start > 0, total[np.maximum(start - 1, 0)], 0) if len(total) else start
-        summed = total - np.repeat(before, count)
-        if len(summed):
-            summed[(start + count - 1)[count > 0]] = 2.0  # the last one, whatever the rounding
-        self.tables = (
-            np.concatenate([first, (len(back) + np.cumsum(count)).astype("i4")]),
-            np.concatenate([shares, summed]),
-            np.concatenate([back, (ends - begins).astype("i4")]),
-            np.concatenate([ids, found.astype("i4")]),
-        )
-        return where
+        total = np.cumsum(share)
+        summed = total - np.repeat(np.where(start > 0, total[np.maximum(start - 1, 0)] if len(total) else 0, 0), count)
+        summed[(start + count - 1)[count > 0]] = 2.0  # the last one, whatever the rounding
+        return Tables(np.r_[start, len(ends)].astype("i8"), summed.astype("f4"), (ends - begins).astype("i4"), found.astype("i4"), low), where
 
     def _scaled(self, ends, begins, w):
         """Shares of the pieces of one stretch, by logarithms."""
@@ -189,46 +216,46 @@ class Sampler:
 
         stretches = [self.find(MARK + (t.replace(MARK, OWN_MARK) if MARK in t else t).replace(" ", MARK)) for t in texts]
         everything = [x for s in stretches for x in s]
-        fresh = set(everything).difference(self.memo)
-        self.tables = self.kept
-        if len(fresh) > 0.6 * len(self.memo) and len(self.memo) >= MEMO:
-            self.clear()
-            fresh = set(everything)
-        where = self.memo
+        where = list(map(self.memo.get, everything))
+        fresh = {x for x, at in zip(everything, where) if at is None}
+        more = Tables(low=self.kept.states)
         if fresh:
-            more = self.add(sorted(fresh))
-            if len(self.memo) < MEMO:
-                self.memo.update(more)
-                self.kept = self.tables
-            else:
-                where = {**self.memo, **more} if len(more) > len(everything) else _Both(self.memo, more)
-        first, shares, back, ids = self.tables
-        at = np.array([where[x] for x in everything], "i8").reshape(-1, 2)
+            more, new = self.lattices(sorted(fresh), self.kept.states)
+            where = [at or new[x] for x, at in zip(everything, where)]
+        at = np.array(where, "i8").reshape(-1, 2)
         begin, state = at[:, 0], at[:, 0] + at[:, 1]
         per_text = np.array([len(s) for s in stretches], "i8")
         seeds = np.array([xxh64_intdigest(repr(k).encode(), seed) for k in keys], "u8")
         number = (np.arange(len(state)) - np.repeat(np.cumsum(per_text) - per_text, per_text)).astype("u8")
         with np.errstate(over="ignore"):
             stream = mixed(np.repeat(seeds, per_text) + number * np.uint64(0x9E3779B97F4A7C15))
-        active, steps, drawn = np.arange(len(state)), np.zeros(len(state), "i8"), []
-        step = 0
-        while len(active):
-            with np.errstate(over="ignore"):
-                u = (mixed(stream[active] + np.uint64(step + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(11)).astype("f8") * 2.0**-53
-            s = state[active]
-            pick = first[s].astype("i8")
-            left = np.flatnonzero(shares[pick] <= u)
-            while len(left):
-                pick[left] += 1
-                left = left[shares[pick[left]] <= u[left]]
-            drawn.append((active, ids[pick]))
-            state[active] = s = s - back[pick]
-            steps[active] += 1
-            active = active[s > begin[active]]
-            step += 1
+        steps, drawn = np.zeros(len(state), "i8"), []
+        known = begin < more.low
+        for tables, active in ((self.kept, np.flatnonzero(known)), (more, np.flatnonzero(~known))):
+            step = 0
+            while len(active):
+                with np.errstate(over="ignore"):
+                    u = (mixed(stream[active] + np.uint64(step + 1) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(40)).astype("f4") * np.float32(2.0**-24)
+                s = state[active]
+                pick = tables.first[s - tables.low]
+                left = np.flatnonzero(tables.shares[pick] <= u)
+                while len(left):
+                    pick[left] += 1
+                    left = left[tables.shares[pick[left]] <= u[left]]
+                drawn.append((active, tables.ids[pick], step))
+                state[active] = s = s - tables.back[pick]
+                steps[active] += 1
+                active = active[s > begin[active]]
+                step += 1
+        if fresh:
+            if len(self.memo) >= MEMO and len(fresh) > len(everything) / 4:
+                self.clear()  # other texts than before
+            elif len(self.memo) < MEMO:
+                self.memo.update(new)
+                self.kept = self.kept.joined(more)
         offset = np.cumsum(steps) - steps
         out = np.zeros(int(steps.sum()), "i8")
-        for k, (a, i) in enumerate(drawn):
+        for a, i, k in drawn:
             out[offset[a] + steps[a] - 1 - k] = i
         size = np.add.reduceat(np.r_[steps, 0], np.minimum(np.cumsum(per_text) - per_text, len(steps))) * (per_text > 0) if len(per_text) else per_text
         over = np.flatnonzero(out >= self.size)
@@ -254,16 +281,6 @@ class Sampler:
         return b"".join(map(self.spelled.__getitem__, ids))[1:].decode()
 
 
-class _Both:
-    """Stretches that are kept, else those of these texts."""
-
-    def __init__(self, kept: dict, new: dict):
-        self.kept, self.new = kept, new
-
-    def __getitem__(self, x: str):
-        return self.kept.get(x) or self.new[x]
-
-
 _samplers: dict = {}
 
 
