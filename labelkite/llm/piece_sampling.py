@@ -30,7 +30,9 @@ SEED = 17
 #: Stretches kept, and characters of a stretch whose weights can't underflow.
 MEMO = 200_000
 SHORT = 40
-CHUNK = 1_000_000
+#: Bits of a stretch's length; longer stretches are cut there.
+PLACE_BITS = 20
+LONGEST = (1 << PLACE_BITS) - 1
 MARK = "▁"
 #: Stands for a space mark in a text; no valid text has it.
 OWN_MARK = "\udc81"
@@ -82,8 +84,12 @@ class Sampler:
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.pieces = {names[i]: i for i in plain}
-        self.starts = {names[i][:k] for i in plain for k in range(1, len(names[i]) + 1)}
-        self.longest = max(map(len, self.pieces))
+        self.trie: dict = {}
+        for p, i in self.pieces.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = i
         scores = [sp.get_score(i) for i in range(n)]
         least = min(x for x in scores if x > -1e8)  # pieces without a score of their own have -1e9: they count as the last
         self.weight = np.array([math.exp(alpha * max(x, least)) for x in scores])
@@ -114,7 +120,7 @@ class Sampler:
     def clear(self) -> None:
         import numpy as np
 
-        self.memo: dict[str, tuple[int, int]] = {}  # stretch: its first state and its length
+        self.memo: dict[str, int] = {}  # stretch: its first state and its length, as one number
         self.kept = Tables()
 
     def _rare(self, c: str) -> int:
@@ -124,45 +130,38 @@ class Sampler:
             self.rare_bytes.append([self.byte_ids[b] for b in raw])
         return self.rare[c]
 
-    def edges(self, x: str, base: int, ends: list, begins: list, ids: list) -> None:
-        """Add the (end, begin, id) of all pieces in a stretch, whose first state is ``base``."""
-        get, starts, longest, n = self.pieces.get, self.starts, self.longest, len(x)
+    def edges(self, x: str, base: int, out: list[int]) -> None:
+        """Add all pieces in a stretch whose first state is ``base``, as numbers: end, how far back it begins, id."""
+        root, n, add = self.trie, len(x), out.append
         for i in range(n):
-            part = x[i]
-            if part not in self.pieces:
-                ends.append(base + i + 1)
-                begins.append(base + i)
-                ids.append(self._rare(part))
-            j = i + 1
-            last = min(n, i + longest)
-            while part in starts:
-                k = get(part)
-                if k is not None:
-                    ends.append(base + j)
-                    begins.append(base + i)
-                    ids.append(k)
-                j += 1
-                if j > last:
+            node = root
+            if x[i] not in self.pieces:
+                add(base + i + 1 << 32 | 1 << 24 | self._rare(x[i]))
+            for j in range(i, n):
+                node = node.get(x[j])
+                if node is None:
                     break
-                part = x[i:j]
+                if "" in node:
+                    add(base + j + 1 << 32 | j + 1 - i << 24 | node[""])
 
     def lattices(self, new: list[str], low: int):
         """Tables of the lattices of stretches, states numbered from ``low``, and where each begins."""
         import numpy as np
 
-        base, where, ends, begins, found = low, {}, [], [], []
+        base, where, found = low, {}, []
         for x in new:
-            where[x] = (base, len(x))
-            self.edges(x, base, ends, begins, found)
+            where[x] = base << PLACE_BITS | len(x)
+            self.edges(x, base, found)
             base += len(x) + 1
-        ends, begins, found = (np.array(v, "i8") for v in (ends, begins, found))
-        order = np.argsort(ends, kind="stable")
-        ends, begins, found = ends[order] - low, begins[order] - low, found[order]
+        found = np.sort(np.array(found, "i8"))
+        ends = (found >> 32) - low
+        begins = ends - (found >> 24 & 255)
+        found &= (1 << 24) - 1
         w = np.where(found < self.size, self.weight[np.minimum(found, self.size - 1)], 0)
         over = np.flatnonzero(found >= self.size)
         w[over] = [self.byte_weight ** len(self.rare_bytes[k - self.size]) for k in found[over].tolist()]
-        heads = np.array([s - low for s, _ in where.values()], "i8")
-        sizes = np.array([n for _, n in where.values()], "i8")
+        places = np.array(list(where.values()), "i8")
+        heads, sizes = (places >> PLACE_BITS) - low, places & LONGEST
         alpha = np.zeros(base - low)
         alpha[heads] = 1
         level = ends - np.repeat(heads, sizes + 1)[ends]
@@ -215,6 +214,7 @@ class Sampler:
         from xxhash import xxh64_intdigest
 
         stretches = [self.find(MARK + (t.replace(MARK, OWN_MARK) if MARK in t else t).replace(" ", MARK)) for t in texts]
+        stretches = [s if all(map(LONGEST.__ge__, map(len, s))) else [x[i : i + LONGEST] for x in s for i in range(0, len(x), LONGEST)] for s in stretches]
         everything = [x for s in stretches for x in s]
         where = list(map(self.memo.get, everything))
         fresh = {x for x, at in zip(everything, where) if at is None}
@@ -222,8 +222,9 @@ class Sampler:
         if fresh:
             more, new = self.lattices(sorted(fresh), self.kept.states)
             where = [at or new[x] for x, at in zip(everything, where)]
-        at = np.array(where, "i8").reshape(-1, 2)
-        begin, state = at[:, 0], at[:, 0] + at[:, 1]
+        begin = np.array(where, "i8")
+        state = (begin >> PLACE_BITS) + (begin & LONGEST)
+        begin >>= PLACE_BITS
         per_text = np.array([len(s) for s in stretches], "i8")
         seeds = np.array([xxh64_intdigest(repr(k).encode(), seed) for k in keys], "u8")
         number = (np.arange(len(state)) - np.repeat(np.cumsum(per_text) - per_text, per_text)).astype("u8")

@@ -17,9 +17,9 @@ def draw():
 
 
 def edges_of(draw, x):
-    ends, begins, ids = [], [], []
-    draw.edges(x, 0, ends, begins, ids)
-    return sorted(zip(ends, begins, ids))
+    found = []
+    draw.edges(x, 0, found)
+    return sorted((e >> 32, (e >> 32) - (e >> 24 & 255), e & 0xFFFFFF) for e in found)
 
 
 def all_paths(draw, x):
