@@ -20,13 +20,15 @@ from __future__ import annotations
 
 from itertools import repeat
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelkite.llm.common import written
 
 BITS = 3
 TILE = 2048
+#: Own rows up to which a group is compared together with others.
+SMALL = 64
 #: Comparisons held at once.
 BLOCK = 4_000_000
 
@@ -98,7 +100,9 @@ def syndrome(x):
 
 
 def anchored(values: DataFrame) -> DataFrame:
-    """(fp) to (anchor, away, fp): a row for the own anchor of each half (away 0) and one for each anchor within two bits (away 1)."""
+    """(fp, ...) to (anchor, away, fp, ...): a row for the own anchor of each half (away 0) and one for each anchor within two
+    bits (away 1)."""
+    rest = [c for c in values.columns if c != "fp"]
 
     def run(batches):
         import numpy as np
@@ -109,10 +113,10 @@ def anchored(values: DataFrame) -> DataFrame:
         sizes = np.array([len(t) for t in table])
         for s, t in enumerate(table):
             masks[s, : len(t)] = t
-        for b in batches:
-            all_of_it = b.column(0).to_numpy(zero_copy_only=False).view("u8")
-            for lo in range(0, len(all_of_it), 100_000):
-                fp = all_of_it[lo : lo + 100_000]
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 100_000):
+                b = whole.slice(lo, 100_000)
+                fp = b.column("fp").to_numpy(zero_copy_only=False).view("u8")
                 for half in (0, 1):
                     x = (fp >> np.uint64(32 * half)) & np.uint64(0x7FFFFFFF)
                     s = syndrome(x).astype("i8")
@@ -120,14 +124,13 @@ def anchored(values: DataFrame) -> DataFrame:
                     row = np.repeat(np.arange(len(fp)), n)
                     at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                     tag = np.uint64(half << 31)
-                    near = (x[row] ^ masks[s[row], at]) | tag
-                    own = (x ^ masks[s, 0]) | tag
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate([own, near]).view("i8")), pa.array(np.repeat(np.array([0, 1], "i4"), [len(own), len(near)])), pa.array(np.concatenate([fp, fp[row]]).view("i8"))],
-                        names=["anchor", "away", "fp"],
-                    )
+                    anchor = np.concatenate([(x ^ masks[s, 0]) | tag, (x[row] ^ masks[s[row], at]) | tag])
+                    away = np.repeat(np.array([0, 1], "i4"), [len(fp), len(row)])
+                    take = pa.array(np.concatenate([np.arange(len(fp)), row]))
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view("i8")), pa.array(away), *(b.column(c).take(take) for c in ["fp", *rest])], names=["anchor", "away", "fp", *rest])
 
-    return values.mapInArrow(run, "anchor bigint, away int, fp bigint")
+    kinds = dict(values.dtypes)
+    return values.select("fp", *rest).mapInArrow(run, "anchor bigint, away int, fp bigint" + "".join(f", {c} {kinds[c]}" for c in rest))
 
 
 def forest(a, b):
@@ -154,62 +157,74 @@ def forest(a, b):
     return ids[child], ids[root[child]]
 
 
-def compared(groups: DataFrame, bits: int) -> DataFrame:
-    """Links of the rows (anchor, tile, away, fp), which must be partitioned by anchor and tile and sorted by these columns."""
+def meetings(group, away):
+    """Which rows meet in groups of rows, own ones (away 0) first: blocks of index pairs (own, other) from small groups, and
+    of ranges (own from, to, other from, to) from large ones."""
+    import numpy as np
+
+    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    size = np.diff(np.r_[starts, len(group)])
+    homes = np.add.reduceat((away == 0).astype("i8"), starts)
+    others = size - homes
+    use = np.flatnonzero((homes > 0) & (others > 0))
+    small = use[homes[use] <= SMALL]
+    ends = np.cumsum(homes[small] * others[small])
+    lo = 0
+    while lo < len(small):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, "right")))
+        g = small[lo:hi]
+        other = np.repeat(starts[g] + homes[g], others[g]) + np.arange(others[g].sum()) - np.repeat(np.cumsum(others[g]) - others[g], others[g])
+        per = np.repeat(homes[g], others[g])
+        first = np.repeat(starts[g], others[g])
+        yield "pairs", np.repeat(first, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per), np.repeat(other, per)
+        lo = hi
+    for g in use[homes[use] > SMALL]:
+        begin, middle, end = int(starts[g]), int(starts[g] + homes[g]), int(starts[g] + size[g])
+        step = max(1, BLOCK // (middle - begin))
+        for k in range(middle, end, step):
+            yield "block", (begin, middle), (k, min(end, k + step))
+
+
+def by_group(groups: DataFrame, compare, schema: str) -> DataFrame:
+    """Run ``compare(columns, meetings)`` over rows (anchor, tile, away, ...) partitioned by anchor and tile and sorted by these.
+
+    Of a group that goes on in the next batch the own rows are held over.
+    """
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        def links(group, away, fp):
-            """Each row of a group against those whose own anchor it is; (link ends) in blocks."""
-            starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-            size = np.diff(np.r_[starts, len(group)])
-            homes = np.add.reduceat((away == 0).astype("i8"), starts)
-            others = size - homes
-            use = np.flatnonzero((homes > 0) & (others > 0))
-            small = use[homes[use] * others[use] <= 65536]
-            ends = np.cumsum(homes[small] * others[small])
-            lo = 0
-            while lo < len(small):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK, "right")))
-                g = small[lo:hi]
-                other = np.repeat(starts[g] + homes[g], others[g]) + np.arange(others[g].sum()) - np.repeat(np.cumsum(others[g]) - others[g], others[g])
-                per = np.repeat(homes[g], others[g])
-                first = np.repeat(starts[g], others[g])
-                right = np.repeat(fp[other], per)
-                left = fp[np.repeat(first, per) + np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)]
-                near = (np.bitwise_count(left ^ right) <= bits) & (left != right)
-                yield left[near], right[near]
-                lo = hi
-            for g in np.setdiff1d(use, small):
-                left = fp[starts[g] : starts[g] + homes[g]]
-                right = fp[starts[g] + homes[g] : starts[g] + size[g]]
-                step = max(1, BLOCK // len(left))
-                for k in range(0, len(right), step):
-                    x, y = np.nonzero(np.bitwise_count(left[:, None] ^ right[None, k : k + step]) <= bits)
-                    x, y = left[x], right[k + y]
-                    yield x[x != y], y[x != y]
-
         held = None
         for batch in batches:
-            anchor, tile, away = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
-            fp = batch.column(3).to_numpy(zero_copy_only=False).view("u8")
-            if not len(fp):
+            if not batch.num_rows:
                 continue
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
             if held is not None:
-                anchor, tile, away, fp = (np.concatenate(x) for x in zip(held, (anchor, tile, away, fp)))
+                columns = [np.concatenate(x) for x in zip(held, columns)]
+            anchor, tile, away = columns[:3]
             group = np.cumsum(np.r_[False, (anchor[1:] != anchor[:-1]) | (tile[1:] != tile[:-1])])
-            found = [forest(a, b) for a, b in links(group, away, fp)]
-            if found:
-                child, root = forest(*(np.concatenate(x) for x in zip(*found)))
-                if len(child):
-                    yield pa.RecordBatch.from_arrays([pa.array(child.view("i8")), pa.array(root.view("i8"))], names=["a", "b"])
-            # the last group may go on in the next batch
+            a, b = compare(columns, meetings(group, away))
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
             keep = (group == group[-1]) & (away == 0)
-            held = tuple(x[keep] for x in (anchor, tile, away, fp))
+            held = [x[keep] for x in columns]
 
-    return groups.mapInArrow(run, "a bigint, b bigint")
+    return groups.mapInArrow(run, schema)
+
+
+def dealt(rows: DataFrame, spread: str) -> DataFrame:
+    """Rows (anchor, away, ...) partitioned and sorted by anchor and tile: the own rows of a hot anchor are dealt out by a
+    hash of ``spread``, the others go to all of its tiles."""
+    counts = rows.filter("away = 0").groupBy("anchor").count().filter(F.col("count") > TILE)
+    tiled = written(counts.select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "hot")
+    tiles = F.coalesce("tiles", F.lit(1))
+    own = F.array(F.pmod(F.xxhash64(spread), tiles).cast("int"))
+    rest = [c for c in rows.columns if c not in ("anchor", "away")]
+    placed = rows.join(tiled, F.col("anchor") == F.col("hot"), "left").select(
+        "anchor", F.explode(F.when(F.col("away") == 0, own).otherwise(F.sequence(F.lit(0), tiles - 1))).alias("tile"), "away", *rest
+    )
+    return placed.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "away")
 
 
 def links(values: DataFrame, bits: int = BITS) -> DataFrame:
@@ -219,15 +234,27 @@ def links(values: DataFrame, bits: int = BITS) -> DataFrame:
     """
     if not 0 <= bits <= BITS:
         raise ValueError("the covering is made for at most 3 bits")
-    rows = anchored(values.select("fp"))
-    tiled = written(rows.filter("away = 0").groupBy("anchor").count().filter(F.col("count") > TILE).select(F.col("anchor").alias("hot"), F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "hot")
-    tiles = F.coalesce("tiles", F.lit(1))
-    own = F.array(F.pmod(F.xxhash64("fp"), tiles).cast("int"))
-    dealt = rows.join(tiled, F.col("anchor") == F.col("hot"), "left").select(
-        "anchor", F.explode(F.when(F.col("away") == 0, own).otherwise(F.sequence(F.lit(0), tiles - 1))).alias("tile"), "away", "fp"
-    )
-    sorted_ = dealt.repartition("anchor", "tile").sortWithinPartitions("anchor", "tile", "away")
-    return compared(sorted_, bits)
+
+    def compare(columns, met):
+        import numpy as np
+
+        fp, found = columns[3].view("u8"), []
+        for kind, x, y in met:
+            if kind == "pairs":
+                left, right = fp[x], fp[y]
+                near = (np.bitwise_count(left ^ right) <= bits) & (left != right)
+                left, right = left[near], right[near]
+            else:
+                i, j = np.nonzero(np.bitwise_count(fp[slice(*x), None] ^ fp[None, slice(*y)]) <= bits)
+                left, right = fp[x[0] + i], fp[y[0] + j]
+                left, right = left[left != right], right[left != right]
+            found.append(forest(left, right))
+        if not found:
+            return fp[:0], fp[:0]
+        child, root = forest(*(np.concatenate(v) for v in zip(*found)))
+        return child.view("i8"), root.view("i8")
+
+    return by_group(dealt(anchored(values.select("fp")), "fp"), compare, "a bigint, b bigint")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", *, most: int = 60) -> DataFrame:
@@ -267,6 +294,99 @@ def grouped(prints: DataFrame, key: str = "doc_id", bits: int = BITS) -> DataFra
     return prints.join(named, F.col("fp0") == F.col("fp")).drop("fp")
 
 
+def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple[int, ...], k: int) -> DataFrame:
+    """For each document ``key node fp0 fp1 ... shape parts``: a hash of the text, fingerprints of its distinct words, one of
+    its shingles, and the ``k`` smallest 32-bit hashes of its distinct shingles."""
+    kind = dict(docs.dtypes)[key]
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from xxhash import xxh3_64_intdigest
+
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            node, prints, shape, parts = [], [], [], []
+            for t in texts:
+                shingles = hashed(t, width, 42)
+                node.append(xxh3_64_intdigest((t or "").encode()))
+                prints.append([majority(hashed(t, 1, s, True)) for s in seeds])
+                shape.append(majority(shingles))
+                parts.append(np.unique(shingles.astype("u4").view("i4"))[:k])
+            prints = np.array(prints, "u8").reshape(-1, len(seeds)).view("i8")
+            columns = [b.column(0), pa.array(np.array(node, "u8").view("i8")), *(pa.array(prints[:, i].copy()) for i in range(len(seeds))), pa.array(np.array(shape, "u8").view("i8")), pa.array(parts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", *(f"fp{i}" for i in range(len(seeds))), "shape", "parts"])
+
+    schema = f"key {kind}, node bigint, " + "".join(f"fp{i} bigint, " for i in range(len(seeds))) + "shape bigint, parts array<int>"
+    return docs.select(key, text).mapInArrow(run, schema)
+
+
+def candidates(values: DataFrame, shape_bits: int, nearest: int) -> DataFrame:
+    """Pairs (a, b) of ``node`` that meet at an anchor of ``fp`` with shapes that differ in at most ``shape_bits`` bits.
+
+    All of them from anchors with up to ``SMALL`` own fingerprints; at larger ones each row's ``nearest`` ones and one that
+    all have in common, so that pairs grow with the rows and not with their square.
+    """
+
+    def compare(columns, met):
+        import numpy as np
+
+        node, shape = columns[4], columns[5].view("u8")
+        left, right = [], []
+        for kind, x, y in met:
+            if kind == "pairs":
+                use = (np.bitwise_count(shape[x] ^ shape[y]) <= shape_bits) & (node[x] != node[y])
+                left.append(node[x[use]])
+                right.append(node[y[use]])
+            else:
+                far = np.bitwise_count(shape[slice(*x), None] ^ shape[None, slice(*y)]).astype("u1")
+                far[node[slice(*x), None] == node[None, slice(*y)]] = 255
+                best = np.argpartition(far, nearest - 1, axis=0)[:nearest]
+                hub = np.argmin(node[slice(*x)])
+                best = np.concatenate([best, np.full((1, best.shape[1]), hub)])
+                i, j = best.ravel(), np.tile(np.arange(best.shape[1]), len(best))
+                use = far[i, j] <= shape_bits
+                left.append(node[x[0] + i[use]])
+                right.append(node[y[0] + j[use]])
+        if not left:
+            return node[:0], node[:0]
+        pair = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=1), axis=0)
+        return pair[:, 0].copy(), pair[:, 1].copy()
+
+    return by_group(dealt(anchored(values.select("fp", "node", "shape")), "node"), compare, "a bigint, b bigint").distinct()
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43), shape_bits: int = 22, nearest: int = 3, k: int = 512) -> DataFrame:
+    """The documents that stay: of each group that links of at least ``similarity`` join, the one with the smallest key.
+
+    At 64 bits a similarity of 0.8 of five-word shingles is some ten bits away, too far for a covering. The fingerprints of
+    a text's distinct words are much closer (mostly within three bits), so these choose the pairs, for each seed; and each
+    pair is then compared by its shingles: exactly up to ``k`` distinct shingles, by the ``k`` smallest hashes beyond.
+    ``docs`` must be a stored table.
+    """
+    from labelkite.llm.sketch import resemblance
+
+    seen = written(texts_seen(docs, key, text, width=width, seeds=seeds, k=k), "seen")
+    lowest = F.min(F.struct(F.col("key").isNull().alias("x"), F.col("key").alias("key")))["key"]
+    columns = [f"fp{i}" for i in range(len(seeds))]
+    nodes = written(seen.groupBy("node").agg(*(F.min(c).alias(c) for c in [*columns, "shape"])), "nodes")
+    pairs = None
+    for c in columns:
+        found = candidates(nodes.select(F.col(c).alias("fp"), "node", "shape"), shape_bits, nearest)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = written(pairs.distinct(), "pairs")
+    used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+    parts = written(seen.join(used, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.first("parts").alias("parts")), "parts")
+    both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+    alike = written(both.filter(resemblance(F.col("pa"), F.col("pb"), k) >= similarity).select("a", "b"), "alike")
+    groups = components(alike).select(F.col("node").alias("n"), "root")
+    named = seen.select("key", "node").join(groups, F.col("node") == F.col("n"), "left").select("key", F.coalesce("root", "node").alias("root"))
+    stay = written(named.groupBy("root").agg(lowest.alias("key")).select(F.col("key").alias("_stay"), F.lit(1).alias("_one")), "stay")
+    # rows of one key count as one document
+    chosen = docs.join(stay, F.col(key).eqNullSafe(F.col("_stay"))).withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text))))
+    return chosen.filter("_row = 1").select(*docs.columns)
+
+
 def op10_simhash_anchors(spark, sf_dir: str) -> DataFrame:
     from labelkite.session import table
 
