@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from labelkite.plans import labels, scans
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _part in (scans, labels):
+    QUERIES |= _part.QUERIES
+    ORACLES |= _part.ORACLES
