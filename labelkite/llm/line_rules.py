@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import SPACE, let, words
+from labelkite.llm.common import SPACE, computed, let, words
 
 #: Phrases that mark a line as page furniture.
 BOILERPLATE = (
@@ -24,6 +24,9 @@ BOILERPLATE = (
 )
 SYMBOLS = r"[#*$%&|<>]"
 
+#: Longer lines aren't page furniture, whatever they mention.
+FURNITURE_CHARS = 200
+
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_LOST = 0.3
@@ -64,19 +67,22 @@ def repeated_window_words(found: Column, width: int = 3) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """Whether a line of running text: no page furniture, not shouted, few symbols for its words."""
+    """Whether a line of running text: no page furniture, not shouted, few symbols for its words.
+
+    Counts are made only for lines that have a symbol, a double mark or a run of capitals at all.
+    """
 
-    def judged(n_words: Column) -> Column:
+    def marks_are_few(n_words: Column) -> Column:
         symbols = _count(line, r"[^#*$%&|<>]+")
         shouts = _count(F.regexp_replace(line, r"!{2,}", "\x01"), r"[^\x01]+")
-        letters = _count(line, r"[^A-Za-z]+")
-        capitals = _count(line, r"[^A-Z]+")
-        punctuation = (symbols * 4 <= n_words) & (shouts * 5 <= n_words) & ((letters < 20) | (capitals * 2 <= letters))
-        navigation = _count(line, r"[^|»›·•]+") < 3
-        furniture = F.lower(line).rlike("|".join(BOILERPLATE)) & (n_words <= 30)
-        return punctuation & navigation & ~furniture
+        return (symbols * 4 <= n_words) & (shouts * 5 <= n_words) & (_count(line, r"[^|»›·•]+") < 3)
 
-    return let(F.size(words(line)), judged)
+    letters, capitals = _count(line, r"[^A-Za-z]+"), _count(line, r"[^A-Z]+")
+    return (
+        F.when(line.rlike(r"[#*$%&|<>»›·•]|!!") & ~let(F.size(words(line)), marks_are_few), False)
+        .when(line.rlike("[A-Z]{3}") & (letters >= 20) & (capitals * 2 > letters), False)
+        .otherwise((F.length(line) > FURNITURE_CHARS) | ~F.lower(line).rlike("|".join(BOILERPLATE)))
+    )
 
 
 def good_lines(text: Column) -> Column:
@@ -84,11 +90,13 @@ def good_lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x))
 
 
-def judge(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_lost: float = MAX_LOST) -> DataFrame:
-    """``docs`` with ``n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed lost kept``.
+def judge(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_lost: float = MAX_LOST, once: bool = False) -> DataFrame:
+    """``docs`` with ``n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed good_text lost kept``.
 
-    ``lost`` is the share of words in lines that fail.
+    ``good_text`` has the lines that pass, ``lost`` is the share of words in the others. ``once``: for when a filter on
+    these follows, which would otherwise have them worked out again.
     """
+    add = computed if once else DataFrame.withColumn
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     measures = let(
@@ -98,9 +106,8 @@ def judge(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, ma
             repeated_window_words(w).alias("n_repeat_words"),
         ),
     )
-    good_words = F.aggregate(good_lines(t), F.lit(0).cast("bigint"), lambda a, x: a + F.size(words(x)))
     out = (
-        docs.withColumn("_m", measures)
+        add(docs, "_m", measures)
         .withColumn("n_words", F.col("_m.n_words"))
         .withColumn("word_chars", _count(t, SPACE).cast("bigint"))
         .withColumn("n_symbols", _count(t, r"[^#*$%&|<>]+").cast("bigint"))
@@ -109,16 +116,16 @@ def judge(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, ma
         .drop("_m")
     )
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
-    # counted only where the base has passed
-    out = out.withColumn("lost", F.when(~F.col("base_failed"), 1 - good_words / F.col("n_words")))
-    return out.withColumn("kept", F.coalesce(F.col("lost") <= max_lost, F.lit(False)))
+    # lines are judged only where the base has passed
+    out = add(out, "good_text", F.when(~F.col("base_failed"), F.array_join(good_lines(t), "\n")))
+    out = out.withColumn("lost", 1 - F.size(words(F.col("good_text"))) / F.col("n_words"))
+    return out.withColumn("kept", F.coalesce(~F.col("base_failed") & (F.col("lost") <= max_lost), F.lit(False)))
 
 
 def clean(docs: DataFrame, text: str = "text", **limits) -> DataFrame:
     """The documents that pass, with the columns of ``docs`` unchanged but for ``text``, which has only its good lines."""
-    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_text", **limits).filter("kept")
-    lines = F.array_join(good_lines(F.col("_text")), "\n")
-    return judged.select(*[(lines if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])
+    judged = judge(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_text", once=True, **limits).filter("kept")
+    return judged.select(*[(F.col("good_text") if c == text else F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_line_rules(spark, sf_dir: str) -> DataFrame:
