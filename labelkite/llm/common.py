@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -24,8 +25,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written within ``scratch``, by its name.
+_made: dict[str, list[str]] = {}
+_scope: list[str] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str):
+    """Tables written within belong to ``name``; those of an earlier use of it are removed on entering.
+
+    For work whose results have been written elsewhere by the time that the name is used again.
+    """
+    remove(spark, _made.pop(name, []))
+    _scope.append(name)
+    try:
+        yield
+    finally:
+        _scope.pop()
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/labelkite-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/labelkite-{name}-{uuid.uuid4().hex}"
+    if _scope:
+        _made.setdefault(_scope[-1], []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,11 +69,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables from ``written`` that nothing reads any more."""
+    for t in tables:
+        remove(t.sparkSession, list({f.rpartition("/")[0] for f in t.inputFiles()}))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, whatever number of times ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def computed(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once for each row, also where a filter on it or several columns follow.
+
+    A filter on a projected column is pushed below the projection and works it out once more; it isn't pushed below this.
+    """
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 def words(text: Column) -> Column:
     """Array of the words of ``text``; empty for null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

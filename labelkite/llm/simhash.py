@@ -23,7 +23,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import written
+from labelkite.llm.common import dropped, written
 
 BITS = 3
 TILE = 2048
@@ -157,6 +157,42 @@ def forest(a, b):
     return ids[child], ids[root[child]]
 
 
+def lightest_forest(u, v, weight):
+    """Which of the links (u, v) form a forest of least weight that joins what they join (Boruvka's rounds)."""
+    import numpy as np
+
+    if not len(u):
+        return np.zeros(0, "i8")
+    _, where = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = where[: len(u)], where[len(u) :]
+    n = int(where.max()) + 1
+    rank = np.empty(len(u), "i8")
+    rank[np.argsort(weight, kind="stable")] = np.arange(len(u))
+    by_rank = np.argsort(rank)
+    root, chosen, alive = np.arange(n), [], np.arange(len(u))
+    while True:
+        a, b = root[u[alive]], root[v[alive]]
+        cross = a != b
+        alive, a, b = alive[cross], a[cross], b[cross]
+        if not len(alive):
+            return np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, "i8")
+        best = np.full(n, len(u), "i8")
+        np.minimum.at(best, a, rank[alive])
+        np.minimum.at(best, b, rank[alive])
+        heads = np.flatnonzero(best < len(u))
+        edge = by_rank[best[heads]]
+        chosen.append(edge)
+        other = np.where(root[u[edge]] == heads, root[v[edge]], root[u[edge]])
+        up = np.arange(n)
+        up[heads] = other
+        # two that chose the same link: the smaller one stays
+        pair = (up[up[heads]] == heads) & (heads < up[heads])
+        up[heads[pair]] = heads[pair]
+        while (up != up[up]).any():
+            up = up[up]
+        root = up[root]
+
+
 def meetings(group, away):
     """Which rows meet in groups of rows, own ones (away 0) first: blocks of index pairs (own, other) from small groups, and
     of ranges (own from, to, other from, to) from large ones."""
@@ -272,7 +308,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, most: int = 60)
         large = both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
         small = large.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
+        last = e
         e = written(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct(), "edges")
+        dropped(last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -321,42 +359,45 @@ def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def candidates(values: DataFrame, shape_bits: int, nearest: int) -> DataFrame:
-    """Pairs (a, b) of ``node`` that meet at an anchor of ``fp`` with shapes that differ in at most ``shape_bits`` bits.
+def candidates(values: DataFrame, shape_bits: int) -> DataFrame:
+    """Pairs (a, b) of ``node`` that meet at an anchor of ``fp`` with shapes at most ``shape_bits`` apart.
 
-    All of them from anchors with up to ``SMALL`` own fingerprints; at larger ones each row's ``nearest`` ones and one that
-    all have in common, so that pairs grow with the rows and not with their square.
+    Of the pairs that meet in a block only a forest of those with the closest shapes goes on, so pairs grow with the rows
+    and not with the square of a group, and what is joined by close pairs is joined by the forest.
     """
 
     def compare(columns, met):
         import numpy as np
 
-        node, shape = columns[4], columns[5].view("u8")
+        anchor, node, shape = columns[0], columns[3], columns[4].view("u8")
         left, right = [], []
         for kind, x, y in met:
             if kind == "pairs":
-                use = (np.bitwise_count(shape[x] ^ shape[y]) <= shape_bits) & (node[x] != node[y])
-                left.append(node[x[use]])
-                right.append(node[y[use]])
+                far = np.bitwise_count(shape[x] ^ shape[y])
+                use = np.flatnonzero((far <= shape_bits) & (node[x] != node[y]))
+                x, y, far = x[use], y[use], far[use]
             else:
-                far = np.bitwise_count(shape[slice(*x), None] ^ shape[None, slice(*y)]).astype("u1")
-                far[node[slice(*x), None] == node[None, slice(*y)]] = 255
-                best = np.argpartition(far, nearest - 1, axis=0)[:nearest]
-                hub = np.argmin(node[slice(*x)])
-                best = np.concatenate([best, np.full((1, best.shape[1]), hub)])
-                i, j = best.ravel(), np.tile(np.arange(best.shape[1]), len(best))
-                use = far[i, j] <= shape_bits
-                left.append(node[x[0] + i[use]])
-                right.append(node[y[0] + j[use]])
+                far = np.bitwise_count(shape[slice(*x), None] ^ shape[None, slice(*y)])
+                i, j = np.nonzero(far <= shape_bits)
+                far, x, y = far[i, j], x[0] + i, y[0] + j
+                use = node[x] != node[y]
+                x, y, far = x[use], y[use], far[use]
+            # a node's rows at one anchor are one vertex
+            _, vertex = np.unique(np.stack([anchor[np.concatenate([x, y])], node[np.concatenate([x, y])]]), axis=1, return_inverse=True)
+            vertex = vertex.ravel()
+            best = lightest_forest(vertex[: len(x)], vertex[len(x) :], far)
+            left.append(node[x[best]])
+            right.append(node[y[best]])
         if not left:
             return node[:0], node[:0]
         pair = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=1), axis=0)
         return pair[:, 0].copy(), pair[:, 1].copy()
 
-    return by_group(dealt(anchored(values.select("fp", "node", "shape")), "node"), compare, "a bigint, b bigint").distinct()
+    rows = anchored(values.select("fp", "node", "shape")).drop("fp")
+    return by_group(dealt(rows, "node"), compare, "a bigint, b bigint").distinct()
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43), shape_bits: int = 22, nearest: int = 3, k: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), shape_bits: int = 22, k: int = 512) -> DataFrame:
     """The documents that stay: of each group that links of at least ``similarity`` join, the one with the smallest key.
 
     At 64 bits a similarity of 0.8 of five-word shingles is some ten bits away, too far for a covering. The fingerprints of
@@ -372,7 +413,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     nodes = written(seen.groupBy("node").agg(*(F.min(c).alias(c) for c in [*columns, "shape"])), "nodes")
     pairs = None
     for c in columns:
-        found = candidates(nodes.select(F.col(c).alias("fp"), "node", "shape"), shape_bits, nearest)
+        found = candidates(nodes.select(F.col(c).alias("fp"), "node", "shape"), shape_bits)
         pairs = found if pairs is None else pairs.unionByName(found)
     pairs = written(pairs.distinct(), "pairs")
     used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
@@ -381,7 +422,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     alike = written(both.filter(resemblance(F.col("pa"), F.col("pb"), k) >= similarity).select("a", "b"), "alike")
     groups = components(alike).select(F.col("node").alias("n"), "root")
     named = seen.select("key", "node").join(groups, F.col("node") == F.col("n"), "left").select("key", F.coalesce("root", "node").alias("root"))
-    stay = written(named.groupBy("root").agg(lowest.alias("key")).select(F.col("key").alias("_stay"), F.lit(1).alias("_one")), "stay")
+    stay = written(named.groupBy("root").agg(lowest.alias("key")).select(F.col("key").alias("_stay")), "stay")
+    dropped(seen, nodes, pairs, parts, alike)
     # rows of one key count as one document
     chosen = docs.join(stay, F.col(key).eqNullSafe(F.col("_stay"))).withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text))))
     return chosen.filter("_row = 1").select(*docs.columns)

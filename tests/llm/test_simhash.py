@@ -91,3 +91,61 @@ def test_empty_table_and_repeated_rows(spark):
     assert simhash.grouped(empty).count() == 0
     same = written(spark.createDataFrame([(7, 1), (7, 1), (None, 1)], "doc_id bigint, fp0 bigint"), "t")
     assert [r.component_id for r in simhash.grouped(same).collect()] == [7, 7, 7]
+
+
+def test_lightest_forest_joins_all_with_least_weight():
+    rnd = np.random.default_rng(6)
+    for n, m in ((2, 1), (30, 60), (200, 900)):
+        u, v, w = rnd.integers(0, n, m), rnd.integers(0, n, m), rnd.integers(0, 9, m)
+        got = simhash.lightest_forest(u, v, w)
+        root = list(range(n))
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        total = links = 0
+        for i in np.argsort(w, kind="stable"):
+            a, b = find(u[i]), find(v[i])
+            if a != b:
+                root[a] = b
+                total += int(w[i])
+                links += 1
+        assert len(got) == links and int(w[got].sum()) == total
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Groups by links of 0.8 over all pairs; texts so short that sketches are exact."""
+    rnd = random.Random(8)
+    texts = [None, "", "", "a b", "a b"]
+    for _ in range(40):
+        base = [f"w{rnd.randrange(5000)}" for _ in range(120)]
+        for _ in range(rnd.randint(1, 5)):
+            other = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                other[rnd.randrange(len(other))] = f"x{rnd.randrange(5000)}"
+            texts.append(" ".join(other))
+    rows = [(i, t, "extra") for i, t in enumerate(texts)]
+    docs = written(spark.createDataFrame(rows, "doc_id bigint, text string, node string"), "t")
+    kept = {r.doc_id for r in simhash.near_duplicates(docs).collect()}
+
+    def parts(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = [parts(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            a, b = sets[i], sets[j]
+            if (not a and not b) or (a | b and len(a & b) / len(a | b) >= 0.8):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    want = {i for i in range(len(texts)) if find(i) == i}
+    assert len(kept ^ want) <= 2  # a pair can lie too far apart in all fingerprints
