@@ -56,9 +56,10 @@ def annotation_problems(products: DataFrame) -> DataFrame:
             F.when(F.exists(views, lambda v: ~v["view"].isin(*roles)), "unknown view"),
             F.when(F.exists(views, lambda v: ~F.lower(v["file"]).rlike(r"\.(jpe?g|png|webp)$")), "unsupported image"),
             F.when(F.exists(F.map_values("fields"), lambda v: F.trim(v) == ""), "empty value"),
-            F.when(F.count("*").over(Window.partitionBy("product_id")) > 1, "id occurs more than once"),
+            F.when(F.col("_times") > 1, "id occurs more than once"),
         )
     )
+    products = products.withColumn("_times", F.count("*").over(Window.partitionBy("product_id")))
     return products.select("product_id", F.explode(found).alias("problem"))
 
 

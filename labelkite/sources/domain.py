@@ -59,6 +59,18 @@ def bills(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+FIELD_NAMES = ("product_name", "brand", "manufacturer", "net_quantity", "mrp", "batch_lot", "marketer")
+
+
+def candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Candidate readings from order lines; ``seq`` is unique within a field."""
+    l = table(spark, d, "lineitem")
+    name = F.element_at(F.array(*[F.lit(n) for n in FIELD_NAMES]), (F.col("l_linenumber") % 7 + 1).cast("int"))
+    return l.groupBy(F.col("l_orderkey").alias("inspection_id"), name.alias("field_name"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("seq")).agg(
+        F.concat(F.lit("v"), F.min(F.col("l_partkey") % 4)).alias("value"), (F.max("l_quantity") / 50).alias("score"), (F.min(F.col("l_suppkey") % 3) == 0).alias("corrected"), F.min(F.col("l_suppkey") % 2).alias("bbox")
+    ).withColumn("confidence", F.col("score"))
+
+
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of text of the documents: ``image_id line_index text`` of those that aren't blank, in reading order."""
     found = table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line_index", "raw"))
@@ -92,6 +104,16 @@ SQL = {
         SELECT l_orderkey AS bill_id, l_linenumber AS line, l_partkey AS product_id,
                floor(l_extendedprice / l_quantity * 100 + 0.5) / 100 AS billed, round(5 * p_retailprice, 2) AS mrp
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "candidates": """
+        SELECT l_orderkey AS inspection_id, ['product_name', 'brand', 'manufacturer', 'net_quantity', 'mrp', 'batch_lot', 'marketer'][l_linenumber % 7 + 1] AS field_name,
+               l_partkey * 100000 + l_suppkey AS seq, 'v' || min(l_partkey % 4) AS value, max(l_quantity) / 50 AS score, min(l_suppkey % 3) = 0 AS corrected,
+               min(l_suppkey % 2) AS bbox, max(l_quantity) / 50 AS confidence
+        FROM lineitem GROUP BY 1, 2, 3""",
+    "winners": """
+        SELECT inspection_id, field_name, arg_max(value, (score, -seq)) AS value, max(score) AS score, max(score) AS confidence FROM candidates GROUP BY 1, 2""",
+    "fields": """
+        SELECT w.*, CASE WHEN bool_or(c.value <> w.value AND c.score >= 0.85 * w.score AND c.score > 0.3) THEN 'CONFLICTING' ELSE 'DETECTED' END AS state
+        FROM winners w JOIN candidates c ON w.inspection_id = c.inspection_id AND w.field_name = c.field_name GROUP BY ALL""",
     "lines": r"""
         SELECT doc_id AS image_id, i - 1 AS line_index, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS text
         FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM documents)
