@@ -118,7 +118,7 @@ def judge(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, ma
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     # lines are judged only where the base has passed
     out = add(out, "good_text", F.when(~F.col("base_failed"), F.array_join(good_lines(t), "\n")))
-    out = out.withColumn("lost", 1 - F.size(words(F.col("good_text"))) / F.col("n_words"))
+    out = out.withColumn("lost", F.when(~F.col("base_failed"), 1 - F.size(words(F.col("good_text"))) / F.greatest("n_words", F.lit(1))))
     return out.withColumn("kept", F.coalesce(~F.col("base_failed") & (F.col("lost") <= max_lost), F.lit(False)))
 
 

@@ -36,7 +36,7 @@ KEEP = 0.5
 PREFIX = 4
 REPEATS = 0
 #: Words that more of the sample has say nothing about a grade, nor do those in fewer documents.
-COMMON = 0.3
+COMMON = 0.5
 LEAST = 5
 LETTERS = re.compile(r"[^\W\d_]+")
 MEMO = 300_000
