@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import written
+from labelkite.llm.common import bounded, written
 
 REACH = 3
 MOST = 32
@@ -123,7 +123,7 @@ def chunks(docs: DataFrame, key: str, text: str, reach: int = REACH) -> DataFram
                 place = marks[lo + row] << 32 | number
                 yield pa.RecordBatch.from_arrays([pa.array(digest), keys.take(pa.array(lo + row)), pa.array(place)], names=["digest", "key", "place"])
 
-    return docs.select(key, text, F.hash(text).alias("mark")).mapInArrow(run, f"digest bigint, key {kind}, place bigint")
+    return bounded(docs.select(key, text, F.hash(text).alias("mark"))).mapInArrow(run, f"digest bigint, key {kind}, place bigint")
 
 
 def repeats(found: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, reach: in
             columns = [pa.array([d[0] for d in done], b.schema.field(text).type) if c == text else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64())], names=[*names, "words_cut"])
 
-    return joined.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", words_cut bigint")
+    return bounded(joined).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", words_cut bigint")
 
 
 def op2_chunk_dedup(spark, sf_dir: str) -> DataFrame:

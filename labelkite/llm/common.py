@@ -75,6 +75,18 @@ def dropped(*tables: DataFrame) -> None:
         remove(t.sparkSession, list({f.rpartition("/")[0] for f in t.inputFiles()}))
 
 
+#: Bytes of a batch that a Python worker gets at once, instead of Spark's 64 MB: a batch is held several times over.
+BATCH_BYTES = "8m"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, to be read by Python in batches of bounded size. A session that has set the size itself keeps it."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(name) == "67108864b":
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, whatever number of times ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

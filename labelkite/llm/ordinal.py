@@ -23,6 +23,8 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from labelkite.llm.common import bounded
+
 SIZE_BITS = 18
 SAMPLE = 10_000
 GRADES = 3
@@ -39,7 +41,7 @@ REPEATS = 0
 COMMON = 0.5
 LEAST = 5
 LETTERS = re.compile(r"[^\W\d_]+")
-MEMO = 300_000
+MEMO = 150_000
 
 
 class Features:
@@ -162,7 +164,7 @@ def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "
 
     import numpy as np
 
-    got = rows.select(text, "grade").mapInArrow(run, "grade int, places array<int>, share array<float>").toArrow()
+    got = bounded(rows.select(text, "grade")).mapInArrow(run, "grade int, places array<int>, share array<float>").toArrow()
     data = sorted(
         ((g, np.array(p.values.to_numpy()), np.array(v.values.to_numpy())) for g, p, v in zip(got["grade"].to_pylist(), got["places"], got["share"])),
         key=lambda r: (r[0], r[1].tobytes()),
@@ -192,7 +194,7 @@ def score(docs: DataFrame, model, text: str = "text", *, keep: float = KEEP) ->
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + columns, names=[*names, "expected_grade", "tail_probability", "kept"])
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", expected_grade double, tail_probability double, kept boolean"
-    return docs.select(*names).mapInArrow(run, schema)
+    return bounded(docs.select(*names)).mapInArrow(run, schema)
 
 
 def op7_ordinal_quality(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import written
+from labelkite.llm.common import bounded, written
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
@@ -142,7 +142,7 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(at[:, 3] + i // per), pa.array(at[:, 4] + i % per * n)], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in pieces.dtypes)
-    placed = ranked.mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
+    placed = bounded(ranked).mapInArrow(place, f"{kinds}, sequence_id bigint, offset bigint")
     rest = pieces.filter(~F.coalesce(F.col(length).between(1, capacity), F.lit(False)))
     return placed.unionByName(rest.select("*", F.lit(None).cast("bigint").alias("sequence_id"), F.lit(None).cast("bigint").alias("offset")))
 
@@ -170,7 +170,7 @@ def encoded_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], names=[key, "piece", "start", "length", "ids_crc32"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(cut, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
+    return bounded(docs.select(key, text)).mapInArrow(cut, f"`{key}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint")
 
 
 def pack_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", *, capacity: int = CAPACITY, **how) -> DataFrame:

@@ -24,6 +24,8 @@ import zlib
 
 from pyspark.sql import DataFrame
 
+from labelkite.llm.common import bounded
+
 VOCABULARY = "piece_bpe_32k.model"
 ALPHA = 5e-4
 SEED = 17
@@ -324,7 +326,7 @@ def sample_pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", *, p
                     columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(found.astype("i4"))))
                 yield pa.RecordBatch.from_arrays(columns, names=[key, "n_pieces", "ids_crc32", "lossless", *["ids"] * ids])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_pieces bigint, ids_crc32 bigint, lossless boolean" + ", ids array<int>" * ids)
+    return bounded(docs.select(key, text)).mapInArrow(run, f"`{key}` {kind}, n_pieces bigint, ids_crc32 bigint, lossless boolean" + ", ids array<int>" * ids)
 
 
 def decode_pieces(rows: DataFrame, ids: str = "ids", text: str = "text", *, path: str | None = None) -> DataFrame:
@@ -339,7 +341,7 @@ def decode_pieces(rows: DataFrame, ids: str = "ids", text: str = "text", *, path
             texts = [None if x is None else draw.decode(x) for x in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(texts, pa.string())], names=[*names, text])
 
-    return rows.mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{text}` string"]))
+    return bounded(rows).mapInArrow(run, ", ".join([f"`{c}` {kinds[c]}" for c in names] + [f"`{text}` string"]))
 
 
 def op6_piece_sampling(spark, sf_dir: str) -> DataFrame:

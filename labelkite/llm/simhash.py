@@ -23,7 +23,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import dropped, written
+from labelkite.llm.common import bounded, dropped, written
 
 BITS = 3
 TILE = 2048
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, text: str = "text", *, width: int = 3, seeds:
             yield pa.RecordBatch.from_arrays([b.column(c) for c in rest] + [pa.array(columns[:, k].copy()) for k in range(len(seeds))], names=[*rest, *(f"fp{k}" for k in range(len(seeds)))])
 
     schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + [f"fp{k} bigint" for k in range(len(seeds))])
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return bounded(docs.select(*rest, text)).mapInArrow(run, schema)
 
 
 def flips() -> tuple:
@@ -130,7 +130,7 @@ def anchored(values: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(anchor.view("i8")), pa.array(away), *(b.column(c).take(take) for c in ["fp", *rest])], names=["anchor", "away", "fp", *rest])
 
     kinds = dict(values.dtypes)
-    return values.select("fp", *rest).mapInArrow(run, "anchor bigint, away int, fp bigint" + "".join(f", {c} {kinds[c]}" for c in rest))
+    return bounded(values.select("fp", *rest)).mapInArrow(run, "anchor bigint, away int, fp bigint" + "".join(f", {c} {kinds[c]}" for c in rest))
 
 
 def forest(a, b):
@@ -246,7 +246,7 @@ def by_group(groups: DataFrame, compare, schema: str) -> DataFrame:
             keep = (group == group[-1]) & (away == 0)
             held = [x[keep] for x in columns]
 
-    return groups.mapInArrow(run, schema)
+    return bounded(groups).mapInArrow(run, schema)
 
 
 def dealt(rows: DataFrame, spread: str) -> DataFrame:
@@ -356,7 +356,7 @@ def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple
             yield pa.RecordBatch.from_arrays(columns, names=["key", "node", *(f"fp{i}" for i in range(len(seeds))), "shape", "parts"])
 
     schema = f"key {kind}, node bigint, " + "".join(f"fp{i} bigint, " for i in range(len(seeds))) + "shape bigint, parts array<int>"
-    return docs.select(key, text).mapInArrow(run, schema)
+    return bounded(docs.select(key, text)).mapInArrow(run, schema)
 
 
 def candidates(values: DataFrame, shape_bits: int) -> DataFrame:

@@ -20,7 +20,7 @@ import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import scratch_path
+from labelkite.llm.common import bounded, scratch_path
 
 BLOCK = 256
 KEEP = 0.9
@@ -149,7 +149,7 @@ def write_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
             yield segment()
 
     ordered = docs.select(key, text, F.xxhash64(text).alias("_tie")).repartitionByRange(key, "_tie").sortWithinPartitions(key, "_tie").select(key, text)
-    ordered.mapInArrow(run, f"shard bigint, seq bigint, start bigint, n_tokens bigint, keys array<{kind}>, data binary").write.parquet(path)
+    bounded(ordered).mapInArrow(run, f"shard bigint, seq bigint, start bigint, n_tokens bigint, keys array<{kind}>, data binary").write.parquet(path)
 
 
 def read_tokens(spark, path: str, key: str = "doc_id", *, ids: bool = False) -> DataFrame:
@@ -183,7 +183,7 @@ def read_tokens(spark, path: str, key: str = "doc_id", *, ids: bool = False) ->
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return rows.mapInArrow(run, f"`{key}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids)
+    return bounded(rows).mapInArrow(run, f"`{key}` {kind}, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * ids)
 
 
 def op3_token_blocks(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from urllib.parse import quote
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import scratch_path, written
+from labelkite.llm.common import bounded, scratch_path, written
 
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -193,7 +193,7 @@ def read_archives(archives: DataFrame, *, range_bytes: int = RANGE, payload: boo
 
     kinds = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
     parts = int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ranges.repartition(parts).mapInArrow(run, kinds + ", payload binary" * payload)
+    return bounded(ranges.repartition(parts)).mapInArrow(run, kinds + ", payload binary" * payload)
 
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
