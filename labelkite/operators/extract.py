@@ -7,6 +7,8 @@ Only the lines that a cheap test lets through reach the longer patterns.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,7 +176,18 @@ def candidates(lines: DataFrame) -> DataFrame:
 def classified(texts: DataFrame, key: str = "inspection_id", text: str = "text") -> DataFrame:
     """(key, category, state, confidence) by whole words of categories; the earlier category on a tie."""
     t = F.lower(F.coalesce(text, F.lit("")))
-    scores = [F.reduce(F.array(*[F.when(t.rlike(rf"(^|[^a-z0-9]){w}([^a-z0-9]|$)"), 1).otherwise(0) for w in words]), F.lit(0), lambda a, b: a + b) for words in CATEGORIES.values()]
+    plain = re.compile("[a-z0-9]+").fullmatch
+
+    def score(words: tuple[str, ...]) -> Column:
+        """Single words are looked up among the distinct words of the text; the pattern runs only for phrases that occur."""
+        n = F.size(F.array_intersect("_words", F.array(*[F.lit(w) for w in words if plain(w)])))
+        for w in words:
+            if not plain(w):
+                n = n + F.when(F.contains(t, F.lit(w)), t.rlike(rf"(^|[^a-z0-9]){w}([^a-z0-9]|$)").cast("int")).otherwise(0)
+        return n
+
+    texts = texts.select(key, text, F.array_distinct(F.split(t, "[^a-z0-9]+")).alias("_words"))
+    scores = [score(words) for words in CATEGORIES.values()]
     ranked = F.sort_array(F.array(*[F.struct(s.alias("n"), F.lit(-i).alias("order"), F.lit(c).alias("category")) for i, (c, s) in enumerate(zip(CATEGORIES, scores))]), asc=False)
     top, second = F.col("r")[0]["n"], F.col("r")[1]["n"]
     conflict = (second >= F.greatest(F.lit(1), top - 1)) & (top < 4)
