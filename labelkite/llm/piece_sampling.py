@@ -29,8 +29,11 @@ from labelkite.llm.common import bounded
 VOCABULARY = "piece_bpe_32k.model"
 ALPHA = 5e-4
 SEED = 17
-#: Stretches kept, and characters of a stretch whose weights can't underflow.
-MEMO = 200_000
+#: Stretches kept, once they have been met twice; others that have been met once; how many are added at once; characters of a stretch whose weights
+#: can't underflow.
+MEMO = 300_000
+ONCE = 300_000
+TOGETHER = 20_000
 SHORT = 40
 #: Bits of a stretch's length; longer stretches are cut there.
 PLACE_BITS = 20
@@ -123,6 +126,8 @@ class Sampler:
         import numpy as np
 
         self.memo: dict[str, int] = {}  # stretch: its first state and its length, as one number
+        self.once: set[str] = set()
+        self.again: set[str] = set()
         self.kept = Tables()
 
     def _rare(self, c: str) -> int:
@@ -220,6 +225,16 @@ class Sampler:
         everything = [x for s in stretches for x in s]
         where = list(map(self.memo.get, everything))
         fresh = {x for x, at in zip(everything, where) if at is None}
+        many = len(fresh) > len(everything) / 4
+        if len(self.memo) < MEMO:
+            self.again |= fresh & self.once
+        if len(self.again) >= TOGETHER:
+            table, kept = self.lattices(sorted(self.again), self.kept.states)
+            self.kept = self.kept.joined(table)
+            self.memo.update(kept)
+            fresh -= self.again
+            self.again.clear()
+            where = list(map(self.memo.get, everything))
         more = Tables(low=self.kept.states)
         if fresh:
             more, new = self.lattices(sorted(fresh), self.kept.states)
@@ -250,12 +265,12 @@ class Sampler:
                 steps[active] += 1
                 active = active[s > begin[active]]
                 step += 1
-        if fresh:
-            if len(self.memo) >= MEMO and len(fresh) > len(everything) / 4:
-                self.clear()  # other texts than before
-            elif len(self.memo) < MEMO:
-                self.memo.update(new)
-                self.kept = self.kept.joined(more)
+        if len(self.memo) < MEMO:
+            self.once |= fresh
+            if len(self.once) > ONCE:
+                self.once.clear()
+        elif many:
+            self.clear()  # other texts than before
         offset = np.cumsum(steps) - steps
         out = np.zeros(int(steps.sum()), "i8")
         for a, i, k in drawn:
