@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from itertools import repeat
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelkite.llm.common import bounded, dropped, written
@@ -333,7 +333,7 @@ def grouped(prints: DataFrame, key: str = "doc_id", bits: int = BITS) -> DataFra
 
 
 def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple[int, ...], k: int) -> DataFrame:
-    """For each document ``key node fp0 fp1 ... shape parts``: a hash of the text, fingerprints of its distinct words, one of
+    """For each document ``key mark node fp0 fp1 ... shape parts``: two hashes of the text, fingerprints of its distinct words, one of
     its shingles, and the ``k`` smallest 32-bit hashes of its distinct shingles."""
     kind = dict(docs.dtypes)[key]
 
@@ -352,11 +352,11 @@ def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple
                 shape.append(majority(shingles))
                 parts.append(np.unique(shingles.astype("u4").view("i4"))[:k])
             prints = np.array(prints, "u8").reshape(-1, len(seeds)).view("i8")
-            columns = [b.column(0), pa.array(np.array(node, "u8").view("i8")), *(pa.array(prints[:, i].copy()) for i in range(len(seeds))), pa.array(np.array(shape, "u8").view("i8")), pa.array(parts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "node", *(f"fp{i}" for i in range(len(seeds))), "shape", "parts"])
+            columns = [b.column(0), b.column(2), pa.array(np.array(node, "u8").view("i8")), *(pa.array(prints[:, i].copy()) for i in range(len(seeds))), pa.array(np.array(shape, "u8").view("i8")), pa.array(parts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "mark", "node", *(f"fp{i}" for i in range(len(seeds))), "shape", "parts"])
 
-    schema = f"key {kind}, node bigint, " + "".join(f"fp{i} bigint, " for i in range(len(seeds))) + "shape bigint, parts array<int>"
-    return bounded(docs.select(key, text)).mapInArrow(run, schema)
+    schema = f"key {kind}, mark int, node bigint, " + "".join(f"fp{i} bigint, " for i in range(len(seeds))) + "shape bigint, parts array<int>"
+    return bounded(docs.select(key, text, F.hash(text))).mapInArrow(run, schema)
 
 
 def candidates(values: DataFrame, shape_bits: int) -> DataFrame:
@@ -403,12 +403,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     At 64 bits a similarity of 0.8 of five-word shingles is some ten bits away, too far for a covering. The fingerprints of
     a text's distinct words are much closer (mostly within three bits), so these choose the pairs, for each seed; and each
     pair is then compared by its shingles: exactly up to ``k`` distinct shingles, by the ``k`` smallest hashes beyond.
-    ``docs`` must be a stored table.
+    Rows of equal key and text are one document and stay or go together. ``docs`` must be a stored table.
     """
     from labelkite.llm.sketch import resemblance
 
     seen = written(texts_seen(docs, key, text, width=width, seeds=seeds, k=k), "seen")
-    lowest = F.min(F.struct(F.col("key").isNull().alias("x"), F.col("key").alias("key")))["key"]
     columns = [f"fp{i}" for i in range(len(seeds))]
     nodes = written(seen.groupBy("node").agg(*(F.min(c).alias(c) for c in [*columns, "shape"])), "nodes")
     pairs = None
@@ -421,12 +420,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
     alike = written(both.filter(resemblance(F.col("pa"), F.col("pb"), k) >= similarity).select("a", "b"), "alike")
     groups = components(alike).select(F.col("node").alias("n"), "root")
-    named = seen.select("key", "node").join(groups, F.col("node") == F.col("n"), "left").select("key", F.coalesce("root", "node").alias("root"))
-    stay = written(named.groupBy("root").agg(lowest.alias("key")).select(F.col("key").alias("_stay")), "stay")
+    named = seen.select("key", "mark", "node").join(groups, F.col("node") == F.col("n"), "left").select("key", "mark", F.coalesce("root", "node").alias("root"))
+    place = F.struct(F.col("key").isNull().alias("x"), "key", "mark")
+    first = named.groupBy(F.col("root").alias("r")).agg(F.min(place).alias("first"))
+    gone = named.join(first, F.col("root") == F.col("r")).filter(place != F.col("first")).select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct()
+    gone = written(gone, "gone")
     dropped(seen, nodes, pairs, parts, alike)
-    # rows of one key count as one document
-    chosen = docs.join(stay, F.col(key).eqNullSafe(F.col("_stay"))).withColumn("_row", F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64(text))))
-    return chosen.filter("_row = 1").select(*docs.columns)
+    # fewer documents go than stay, and only their ids and hashes are needed
+    return docs.withColumn("_hash", F.hash(text)).join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_mark")), "left_anti").select(*docs.columns)
 
 
 def op10_simhash_anchors(spark, sf_dir: str) -> DataFrame:
