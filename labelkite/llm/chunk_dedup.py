@@ -2,8 +2,8 @@
 
 A gear hash rolls over the bytes of a text: each byte shifts the hash left and adds a number of its own, so the hash at a
 place depends on the 16 bytes before it and on nothing else. Ends of words are the places where a chunk may end, and one
-ends where the hash is the smallest among the ``REACH`` ends of words on either side (or ``MOST`` words after the last end). Text that is put in moves chunks but
-changes only those around it.
+ends where the hash is the smallest among the ``REACH`` ends of words on either side (or ``MOST`` words after the last
+end). Text that is put in moves chunks but changes only those around it.
 
 Chunks are deduplicated by digest: of equal chunks the first one, by document and place, stays. A repeat goes only as part
 of a run of neighbouring repeats with at least ``MIN_WORDS`` words, so that phrases which are merely common stay. The
