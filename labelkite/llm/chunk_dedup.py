@@ -129,7 +129,7 @@ def chunks(docs: DataFrame, key: str, text: str, reach: int = REACH) -> DataFram
 def repeats(found: DataFrame) -> DataFrame:
     """(key, mark, numbers): the chunks of each text whose digest has stood before; ``found`` is a stored table."""
     order = lambda k, p: F.struct(F.col(k).isNotNull().alias("x"), F.col(k).alias("k"), F.col(p).alias("p"))
-    several = found.groupBy(F.col("digest").alias("d")).agg(F.min(order("key", "place")).alias("first"), F.max(order("key", "place")).alias("last")).filter("first < last")
+    several = found.groupBy(F.col("digest").alias("d")).agg(F.min(order("key", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     again = found.join(several.select("d", "first"), F.col("digest") == F.col("d")).filter(order("key", "place") > F.col("first"))
     return again.groupBy("key", F.shiftright("place", 32).cast("int").alias("mark")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("numbers"))
 
