@@ -359,11 +359,11 @@ def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple
     return bounded(docs.select(key, text, F.hash(text))).mapInArrow(run, schema)
 
 
-def candidates(values: DataFrame, shape_bits: int) -> DataFrame:
-    """Pairs (a, b) of ``node`` that meet at an anchor of ``fp`` with shapes at most ``shape_bits`` apart.
+def candidates(rows: DataFrame, shape_bits: int) -> DataFrame:
+    """Pairs (a, b) of ``node`` that meet in rows (anchor, away, node, shape) with shapes at most ``shape_bits`` apart.
 
     Of the pairs that meet in a block only a forest of those with the closest shapes goes on, so pairs grow with the rows
-    and not with the square of a group, and what is joined by close pairs is joined by the forest.
+    and not with the square of a group. A link of the forest can fail where another one would have passed: see ``between``.
     """
 
     def compare(columns, met):
@@ -393,8 +393,39 @@ def candidates(values: DataFrame, shape_bits: int) -> DataFrame:
         pair = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=1), axis=0)
         return pair[:, 0].copy(), pair[:, 1].copy()
 
-    rows = anchored(values.select("fp", "node", "shape")).drop("fp")
-    return by_group(dealt(rows, "node"), compare, "a bigint, b bigint").distinct()
+    return by_group(dealt(rows.select("anchor", "away", "node", "shape"), "node"), compare, "a bigint, b bigint").distinct()
+
+
+def between(rows: DataFrame, shape_bits: int) -> DataFrame:
+    """All pairs (a, b) of ``node`` that meet in rows (anchor, away, node, shape, tree) with shapes at most ``shape_bits`` apart
+    and are in different trees."""
+
+    def compare(columns, met):
+        import numpy as np
+
+        node, shape, tree, found = columns[3], columns[4].view("u8"), columns[5], []
+        for kind, x, y in met:
+            if kind == "pairs":
+                use = np.flatnonzero((np.bitwise_count(shape[x] ^ shape[y]) <= shape_bits) & (tree[x] != tree[y]))
+                x, y = x[use], y[use]
+            else:
+                i, j = np.nonzero((np.bitwise_count(shape[slice(*x), None] ^ shape[None, slice(*y)]) <= shape_bits) & (tree[slice(*x), None] != tree[None, slice(*y)]))
+                x, y = x[0] + i, y[0] + j
+            pair = np.sort(np.stack([node[x], node[y]], 1), axis=1)
+            found.append(np.unique(pair, axis=0) if len(pair) else pair)
+        if not found:
+            return node[:0], node[:0]
+        pair = np.unique(np.concatenate(found), axis=0)
+        return pair[:, 0].copy(), pair[:, 1].copy()
+
+    return by_group(dealt(rows.select("anchor", "away", "node", "shape", "tree"), "node"), compare, "a bigint, b bigint").distinct()
+
+
+def united(tables) -> DataFrame:
+    out = None
+    for t in tables:
+        out = t if out is None else out.unionByName(t)
+    return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), shape_bits: int = 22, k: int = 512) -> DataFrame:
@@ -403,6 +434,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     At 64 bits a similarity of 0.8 of five-word shingles is some ten bits away, too far for a covering. The fingerprints of
     a text's distinct words are much closer (mostly within three bits), so these choose the pairs, for each seed; and each
     pair is then compared by its shingles: exactly up to ``k`` distinct shingles, by the ``k`` smallest hashes beyond.
+    First a forest of the pairs that meet is compared, then every met pair that the links found so far leave apart, so
+    documents are joined just as if all met pairs had been compared.
     Rows of equal key and text are one document and stay or go together. ``docs`` must be a stored table.
     """
     from labelkite.llm.sketch import resemblance
@@ -410,22 +443,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     seen = written(texts_seen(docs, key, text, width=width, seeds=seeds, k=k), "seen")
     columns = [f"fp{i}" for i in range(len(seeds))]
     nodes = written(seen.groupBy("node").agg(*(F.min(c).alias(c) for c in [*columns, "shape"])), "nodes")
-    pairs = None
-    for c in columns:
-        found = candidates(nodes.select(F.col(c).alias("fp"), "node", "shape"), shape_bits)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = written(pairs.distinct(), "pairs")
-    used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-    parts = written(seen.join(used, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.first("parts").alias("parts")), "parts")
-    both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
-    alike = written(both.filter(resemblance(F.col("pa"), F.col("pb"), k) >= similarity).select("a", "b"), "alike")
-    groups = components(alike).select(F.col("node").alias("n"), "root")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+        parts = written(seen.join(used, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.first("parts").alias("parts")), "parts")
+        both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+        out = written(both.filter(resemblance(F.col("pa"), F.col("pb"), k) >= similarity).select("a", "b"), "alike")
+        dropped(parts)
+        return out
+
+    def met(of: DataFrame, *more: str) -> list[DataFrame]:
+        return [anchored(of.select(F.col(c).alias("fp"), "node", "shape", *more)).drop("fp") for c in columns]
+
+    pairs = written(united(candidates(rows, shape_bits) for rows in met(nodes)).distinct(), "pairs")
+    first = alike(pairs)
+    trees = written(components(first), "trees").select(F.col("node").alias("n"), F.col("root").alias("tree"))
+    # a node that met any other is in the forest
+    some = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
+    apart = nodes.join(some, F.col("node") == F.col("m"), "left_semi").join(trees, F.col("node") == F.col("n"), "left").withColumn("tree", F.coalesce("tree", "node")).drop("n")
+    apart = written(apart, "apart")
+    rest = written(united(between(rows, shape_bits) for rows in met(apart, "tree")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    second = alike(rest)
+    linked = written(first.unionByName(second), "linked")
+    dropped(pairs, rest, apart, trees, first, second)
+    groups = components(linked).select(F.col("node").alias("n"), "root")
     named = seen.select("key", "mark", "node").join(groups, F.col("node") == F.col("n"), "left").select("key", "mark", F.coalesce("root", "node").alias("root"))
     place = F.struct(F.col("key").isNull().alias("x"), "key", "mark")
-    first = named.groupBy(F.col("root").alias("r")).agg(F.min(place).alias("first"))
-    gone = named.join(first, F.col("root") == F.col("r")).filter(place != F.col("first")).select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct()
+    lowest = named.groupBy(F.col("root").alias("r")).agg(F.min(place).alias("first"))
+    gone = named.join(lowest, F.col("root") == F.col("r")).filter(place != F.col("first")).select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct()
     gone = written(gone, "gone")
-    dropped(seen, nodes, pairs, parts, alike)
+    dropped(seen, nodes, linked)
     # fewer documents go than stay, and only their ids and hashes are needed
     return docs.withColumn("_hash", F.hash(text)).join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_mark")), "left_anti").select(*docs.columns)
 
