@@ -185,3 +185,36 @@ def test_large_groups_of_edited_copies(spark):
     want = kept_by(texts, [(i, j) for i in range(len(texts)) for j in range(i)])
     print("large groups", len(kept), len(want), len(kept - want))
     assert len(kept ^ want) <= 2
+
+
+def test_copies_changed_in_one_place(spark):
+    """Cut, extended and block-replaced copies from 0.8 on; the words change with the part."""
+    rnd = random.Random(10)
+    word = lambda: f"w{rnd.randrange(50_000)}"
+    texts, links = [], {}
+    for kind in ("cut", "appended", "head", "replaced"):
+        for _ in range(60):
+            n = rnd.randint(60, 400)
+            base = [word() for _ in range(n)]
+            share = rnd.uniform(0.05, 0.18)
+            m = int(n * share)
+            if kind == "cut":
+                other = base[: n - m]
+            elif kind == "appended":
+                other = base + [word() for _ in range(m)]
+            elif kind == "head":
+                other = [word() for _ in range(m // 2)] + base[m // 2 :]
+            else:
+                at = rnd.randrange(n - m)
+                other = base[:at] + [word() for _ in range(m // 2)] + base[at + m // 2 :]
+            a, b = parts_of(" ".join(base)), parts_of(" ".join(other))
+            if len(a & b) / len(a | b) >= 0.8:
+                links[len(texts), len(texts) + 1] = kind
+            texts += [" ".join(base), " ".join(other)]
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "t")
+    kept = {r.doc_id for r in simhash.near_duplicates(docs).collect()}
+    met = {kind: (sum(k == kind and j not in kept for (_, j), k in links.items()), sum(k == kind for k in links.values())) for kind in links.values()}
+    print("changed in one place, found of all:", met)
+    assert len(links) > 150
+    assert sum(n - found for found, n in met.values()) <= 1
+    assert all(i in kept for i in range(0, len(texts), 2))
