@@ -23,7 +23,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import bounded, dropped, written
+from labelkite.llm.common import bounded, dropped, let, written
 
 BITS = 3
 TILE = 2048
@@ -332,6 +332,8 @@ def grouped(prints: DataFrame, key: str = "doc_id", bits: int = BITS) -> DataFra
     return prints.join(named, F.col("fp0") == F.col("fp")).drop("fp")
 
 
+#: Distance of an estimate by sketches from the similarity asked for that settles a pair: over five deviations at k = 512.
+CLEAR = 0.1
 #: Of a text's least values under so many permutations, the first ``LANES * ROWS`` make lanes and all give a bit each.
 PERMUTATIONS, LANES, ROWS = 128, 20, 5
 #: Of 128 bits, how many may differ: at similarity 0.8 some 12.8 do, with a deviation of 3.4.
@@ -474,6 +476,20 @@ def between(rows: DataFrame, shape_bits: int) -> DataFrame:
     return by_group(dealt(rows.select("anchor", "away", "node", "tree", "shape", "low", "high"), "node"), compare, "a bigint, b bigint").distinct()
 
 
+def sets_of(docs: DataFrame, width: int) -> DataFrame:
+    """(node, text) to (node, all): the hashes of all distinct shingles."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            found = [np.unique(hashed(t, width, 42)).view("i8") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "all"])
+
+    return bounded(docs.select("node", "text")).mapInArrow(run, "node bigint, all array<bigint>")
+
+
 def united(tables) -> DataFrame:
     out = None
     for t in tables:
@@ -486,7 +502,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
     At 64 bits a similarity of 0.8 of five-word shingles is some ten bits away, too far for a covering. The fingerprints of
     a text's distinct words are much closer (mostly within three bits), so these choose the pairs, for each seed; and each
-    pair is then compared by its shingles: exactly up to ``k`` distinct shingles, by the ``k`` smallest hashes beyond.
+    pair is then compared by its shingles: exactly where each has fewer than ``k`` distinct ones; beyond, the ``k`` smallest
+    hashes settle what they put ``CLEAR`` away from ``similarity``, and the others are compared by all their shingles.
     Copies that are cut, extended or changed in one place have other words, so lanes of the shingles' least values choose pairs
     as well: at 0.8 one of 20 is equal in all but 4 of 10,000 pairs. Pairs whose least bits are clearly apart aren't compared.
     First a forest of the pairs that meet is compared, then every met pair that the links found so far leave apart, so
@@ -495,6 +512,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     """
     from labelkite.llm.sketch import resemblance
 
+    def jaccard(a: str, b: str):
+        """Of two whole sets; two empty ones are equal."""
+        return let(F.size(F.array_intersect(a, b)), lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
+
     seen = written(texts_seen(docs, key, text, width=width, seeds=seeds, k=k), "seen")
     columns = [f"fp{i}" for i in range(len(seeds))]
     nodes = written(seen.groupBy("node").agg(*(F.min(c).alias(c) for c in [*columns, "shape", "low", "high"]), F.first("lanes").alias("lanes")), "nodes")
@@ -503,8 +524,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         parts = written(seen.join(used, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.first("parts").alias("parts")), "parts")
         both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
-        out = written(both.filter(resemblance(F.col("pa"), F.col("pb"), k) >= similarity).select("a", "b"), "alike")
-        dropped(parts)
+        whole = (F.size("pa") < k) & (F.size("pb") < k)
+        judged = both.select("a", "b", whole.alias("whole"), F.when(whole, jaccard("pa", "pb")).otherwise(resemblance(F.col("pa"), F.col("pb"), k)).alias("s"))
+        judged = written(judged.filter(F.col("s") >= F.when(F.col("whole"), F.lit(similarity)).otherwise(F.lit(similarity - CLEAR))), "judged")
+        open_ = (~F.col("whole")) & (F.col("s") < similarity + CLEAR)
+        unclear = judged.filter(open_).select("a", "b")
+        asked = unclear.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+        first = seen.join(asked, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min(F.struct(F.col("key").isNotNull().alias("x"), "key", "mark")).alias("first"))
+        # one row of each text; rows of equal key and hash are equal texts
+        first = written(first.select("node", F.col("first.key").alias("k"), F.col("first.mark").alias("m")), "first")
+        texts = docs.select(F.col(key).alias("_key"), F.hash(text).alias("_mark"), F.col(text).alias("text"))
+        texts = texts.join(first, F.col("_key").eqNullSafe(F.col("k")) & (F.col("_mark") == F.col("m"))).select("node", "text")
+        sets = written(sets_of(texts, width).dropDuplicates(["node"]), "sets")
+        exact = unclear.join(sets.select(F.col("node").alias("a"), F.col("all").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("all").alias("pb")), "b")
+        out = written(judged.filter(~open_).select("a", "b").unionByName(exact.filter(jaccard("pa", "pb") >= similarity).select("a", "b")), "alike")
+        dropped(parts, judged, first, sets)
         return out
 
     def met(of: DataFrame, *more: str) -> list[DataFrame]:

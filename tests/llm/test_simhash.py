@@ -218,3 +218,23 @@ def test_copies_changed_in_one_place(spark):
     assert len(links) > 150
     assert sum(n - found for found, n in met.values()) <= 1
     assert all(i in kept for i in range(0, len(texts), 2))
+
+
+def test_long_pairs_close_to_the_threshold(spark):
+    """Texts of more shingles than a sketch holds, true similarity 0.785 to 0.815: all their shingles decide."""
+    rnd = random.Random(11)
+    texts, links = [], []
+    for i in range(60):
+        n = rnd.randint(700, 1500)
+        base = [f"w{rnd.randrange(50_000)}" for _ in range(n)]
+        share = rnd.choice([rnd.uniform(0.785, 0.799), rnd.uniform(0.801, 0.815)])
+        links.append((len(texts), len(texts) + 1))
+        texts += [" ".join(base), " ".join(base[: round((n - 4) * share) + 4])]
+    texts += [None, "", " ", "\n"]
+    links += [(120, j) for j in (121, 122, 123)]
+    docs = written(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), "t")
+    kept = {r.doc_id for r in simhash.near_duplicates(docs).collect()}
+    want = kept_by(texts[:120], links[:60]) | {120}
+    print("close to 0.8, wrong of 60:", len(kept ^ want), "gone", 124 - len(want))
+    assert 10 < len(want & set(range(1, 120, 2))) < 50
+    assert kept == want
