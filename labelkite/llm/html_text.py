@@ -3,8 +3,9 @@
 A page is read into blocks of text, with what holds them: page furniture (navigation, headers, footers, sidebars, forms,
 adverts, notices, comments), an article, or neither. Furniture goes. A page with an article keeps just the article's
 blocks. On pages without one, what repeats on other pages of the host is taken for boilerplate: the token streams of a
-host's pages are concatenated and their suffixes sorted, suffixes whose first ``REPEAT`` tokens stand on at least two
-pages mark these tokens as covered, covered tokens go and the runs between them stay.
+host's pages are concatenated and their suffixes sorted, suffixes whose first ``REPEAT`` tokens stand in at least two
+distinct contents of the host, and on at least the share ``SHARE`` of these, mark these tokens as covered, covered tokens
+go and the runs between them stay. Copies of a page have one content, so they don't cover each other.
 
 A large host is dealt out in shards of pages. Each shard sorts its own suffixes and names every class of equal starts by
 a digest with its number of pages; the numbers are summed over the shards, so a start that repeats only across shards is
@@ -27,6 +28,8 @@ from labelkite.llm.common import bounded, written
 
 #: Tokens that must repeat on another page.
 REPEAT = 10
+#: Share of a host's distinct contents that a repeat must stand in: a quotation or an edited copy is no boilerplate.
+SHARE = 0.1
 #: Tokens of a shard of a host, about.
 SHARD = 200_000
 
@@ -179,7 +182,8 @@ def sorted_starts(streams: list[list[str]], width: int = REPEAT):
 
 
 def repeated_places(loose: DataFrame, width: int = REPEAT, shard_tokens: int = SHARD) -> DataFrame:
-    """(page, places): of pages (page, host, loose), where starts stand that another page of the host has as well."""
+    """(page, places): of pages (page, host, loose), where starts stand that other pages of the host have as well. Rows of equal
+    page and host must have equal blocks."""
     sizes = loose.groupBy("host").agg(F.sum(F.aggregate("loose", F.lit(0).cast("bigint"), lambda n, x: n + F.size(F.split(x, " ")))).alias("n"))
     shards = sizes.select(F.col("host").alias("h"), F.ceil(F.col("n") / shard_tokens).alias("shards"))
     dealt = loose.join(shards, F.col("host") == F.col("h")).select("page", "host", "loose", F.pmod(F.xxhash64("page"), F.greatest("shards", F.lit(1))).alias("shard"))
@@ -215,7 +219,9 @@ def repeated_places(loose: DataFrame, width: int = REPEAT, shard_tokens: int = S
         )
 
     starts = written(dealt.groupBy("host", "shard").applyInArrow(run, f"host string, page {kind}, place int, digest bigint, pages bigint"), "starts")
-    several = starts.groupBy(F.col("host").alias("h"), F.col("digest").alias("d")).agg(F.sum("pages").alias("n")).filter("n > 1")
+    contents = loose.groupBy(F.col("host").alias("of")).agg(F.countDistinct("page").alias("contents"))
+    several = starts.groupBy(F.col("host").alias("h"), F.col("digest").alias("d")).agg(F.sum("pages").alias("n"))
+    several = several.join(contents, F.col("h") == F.col("of")).filter((F.col("n") > 1) & (F.col("n") >= SHARE * F.col("contents"))).select("h", "d")
     return starts.join(several, (F.col("host") == F.col("h")) & (F.col("digest") == F.col("d")), "left_semi").groupBy("page").agg(F.collect_list("place").alias("places"))
 
 
@@ -238,7 +244,8 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """``key url text`` of each page."""
     parsed = written(parse_pages(pages, key, url, html), "parsed")
     without = parsed.filter(F.size("loose") > 0)
-    without = without.withColumn("page", F.to_json(F.struct("key", "url")))
+    # a page is its host and content
+    without = without.withColumn("page", F.sha2(F.concat_ws("\n", "host", F.concat_ws(" ", "loose")), 256))
     marked = without.join(repeated_places(without.select("page", "host", "loose"), width, shard_tokens), "page", "left")
 
     @F.pandas_udf("string")

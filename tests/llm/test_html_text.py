@@ -63,3 +63,19 @@ def test_nulls_repeats_and_empty(spark):
     got = html_text.main_text(spark.createDataFrame(rows, kind)).collect()
     assert sorted((r.page_id or 0, r.text) for r in got) == [(0, "one two"), (1, ""), (2, "t"), (2, "t")]
     assert html_text.main_text(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_copies_and_quotations_keep_their_text(spark):
+    """Copies have one content, also under one id; a quotation on two pages of thirty isn't boilerplate, a notice on all is."""
+    rnd = random.Random(4)
+    text = lambda n: " ".join(f"w{rnd.randrange(10_000)}" for _ in range(n))
+    notice, quoted = text(15), text(12)
+    bodies = [text(40) for _ in range(30)]
+    bodies[3] += " " + quoted
+    bodies[4] = quoted + " " + bodies[4]
+    html = [f"<p>{b}</p><p>{notice}</p>" for b in bodies]
+    rows = [(i, f"http://h.example/{i}", h) for i, h in enumerate(html)]
+    rows += [(100 + i, f"http://h.example/copy{i}", html[i]) for i in range(10)] + [(0, "http://h.example/0", html[7])]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    want = [(i, b) for i, b in enumerate(bodies)] + [(100 + i, bodies[i]) for i in range(10)] + [(0, bodies[7])]
+    assert sorted((r.page_id, r.text) for r in got) == sorted(want)
