@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,21 +14,36 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Of local sessions without a shared folder, by application.
+_local: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (``spark.checkpoint.dir``).
 
-    Only where the session names none (tests, a laptop) is one made, on this machine.
+    Where the session names none, a local session (tests, a laptop) gets one on this machine; any other is an error, since
+    executors elsewhere wouldn't see such a folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='labelkite-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = f"file://{tempfile.mkdtemp(prefix='labelkite-')}"
+        found = _local[app]
     return found.rstrip("/")
 
 
-#: Tables written within ``scratch``, by its name.
-_made: dict[str, list[str]] = {}
-_scope: list[str] = []
+class _Scratch(threading.local):
+    """Tables written within ``scratch``, by its name, and the names that are open; each thread has its own."""
+
+    def __init__(self):
+        self.made: dict[str, list[str]] = {}
+        self.scope: list[str] = []
+
+
+_scratch = _Scratch()
 
 
 @contextlib.contextmanager
@@ -36,12 +52,12 @@ def scratch(spark: SparkSession, name: str):
 
     For work whose results have been written elsewhere by the time that the name is used again.
     """
-    remove(spark, _made.pop(name, []))
-    _scope.append(name)
+    remove(spark, _scratch.made.pop(name, []))
+    _scratch.scope.append(name)
     try:
         yield
     finally:
-        _scope.pop()
+        _scratch.scope.pop()
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -54,8 +70,8 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/labelkite-{name}-{uuid.uuid4().hex}"
-    if _scope:
-        _made.setdefault(_scope[-1], []).append(path)
+    if _scratch.scope:
+        _scratch.made.setdefault(_scratch.scope[-1], []).append(path)
     return path
 
 
@@ -87,6 +103,17 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores before them as none of ``columns`` has (letters' case doesn't tell names apart)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, whatever number of times ``body`` uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)
