@@ -2,7 +2,8 @@
 
 Both tokenizers here encode each stretch between two places in a text on its own, so equal stretches always give equal
 ids. A worker keeps the ids of stretches that it meets again (at most ``MEMO`` of them) and has the library encode only the
-others. Texts with control characters that the libraries' white space classes disagree about are encoded whole.
+others. Texts with control characters that the libraries' white space classes disagree about are encoded whole, and so are
+texts that hold a special token's own string, which the library takes for that token.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ class Encoder:
 
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = STRETCHES[name].findall if name == "byte_bpe_50k.json" else str.split  # alike on texts that aren't odd
         self.lower = name == "word_bpe_49k.json"
         self.bytes = byte_letters()
@@ -94,7 +95,7 @@ class Encoder:
         out: list = [None] * len(texts)
         wait, new, units, odd = [], set(), 0, []
         for k, t in enumerate(texts):
-            if ODD.search(t):
+            if ODD.search(t) or any(x in t for x in self.special):
                 odd.append(k)
                 continue
             if self.lower and (t.isascii() or not UNSURE.search(t)):
