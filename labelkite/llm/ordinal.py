@@ -8,7 +8,7 @@ Features are hashed into ``2 ** SIZE_BITS`` places: each distinct word (lower ca
 words, and the shapes of words (case and the marks behind the letters) by their share of the text. Whole texts are read.
 
 The model is fitted on at most ``SAMPLE`` labelled documents, taken by a hash of their ids; these come to the driver as
-hashed features. All documents are scored, in tasks.
+hashed features. Of rows that share an id one is taken, that of the smallest text. All documents are scored, in tasks.
 
 Defined results: null text is the empty text, scored by the thresholds alone. Labels with a null grade are left out; of
 several labels of one document the lowest grade counts. Without labels of at least two grades there is no model: scores are
@@ -152,8 +152,9 @@ def graded(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "text", *, sample: int = SAMPLE):
     """A model from at most ``sample`` graded documents, or None where fewer than two grades occur."""
     taken = grades.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample)
-    # at most `sample` rows of two numbers
-    rows = docs.select(key, text).join(F.broadcast(taken), key)
+    # at most `sample` rows of two numbers; of rows of one id the smallest text counts, so no more documents than that
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(taken.select(F.col(key).alias("key"), "grade")), "key")
+    rows = rows.groupBy("key").agg(F.min("text").alias("text"), F.min("grade").alias("grade"))
 
     def run(batches):
         import pyarrow as pa
@@ -164,7 +165,7 @@ def train(docs: DataFrame, grades: DataFrame, key: str = "doc_id", text: str = "
 
     import numpy as np
 
-    got = bounded(rows.select(text, "grade")).mapInArrow(run, "grade int, places array<int>, share array<float>").toArrow()
+    got = bounded(rows.select("text", "grade")).mapInArrow(run, "grade int, places array<int>, share array<float>").toArrow()
     data = sorted(
         ((g, np.array(p.values.to_numpy()), np.array(v.values.to_numpy())) for g, p, v in zip(got["grade"].to_pylist(), got["places"], got["share"])),
         key=lambda r: (r[0], r[1].tobytes()),
