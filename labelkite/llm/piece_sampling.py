@@ -29,14 +29,14 @@ from labelkite.llm.common import bounded
 VOCABULARY = "piece_bpe_32k.model"
 ALPHA = 5e-4
 SEED = 17
-#: Stretches kept, once they have been met twice; others that have been met once; how many are added at once; characters of a stretch whose weights
-#: can't underflow.
+#: Stretches kept, once they have been met twice; others that have been met once; how many are added at once; characters of a
+#: stretch whose weights can't underflow.
 MEMO = 300_000
 ONCE = 300_000
 TOGETHER = 20_000
 SHORT = 40
-#: Bits of a stretch's length; longer stretches are cut there.
-PLACE_BITS = 20
+#: Bits of a stretch's length, which hold that of any text.
+PLACE_BITS = 31
 LONGEST = (1 << PLACE_BITS) - 1
 MARK = "▁"
 #: Stands for a space mark in a text; no valid text has it.
@@ -192,8 +192,13 @@ class Sampler:
             share[lo:hi] = self._scaled(ends[lo:hi], begins[lo:hi], w[lo:hi])
         count = np.bincount(ends, minlength=base - low)
         start = np.cumsum(count) - count
-        total = np.cumsum(share)
-        summed = total - np.repeat(np.where(start > 0, total[np.maximum(start - 1, 0)] if len(total) else 0, 0), count)
+        # sums within each state alone, so that they don't depend on the stretches around
+        summed, step, more = share, 1, np.flatnonzero(count > 1)
+        while len(more):
+            at = start[more] + step
+            summed[at] += summed[at - 1]
+            step += 1
+            more = more[count[more] > step]
         summed[(start + count - 1)[count > 0]] = 2.0  # the last one, whatever the rounding
         return Tables(np.r_[start, len(ends)].astype("i8"), summed.astype("f4"), (ends - begins).astype("i4"), found.astype("i4"), low), where
 
@@ -221,7 +226,6 @@ class Sampler:
         from xxhash import xxh64_intdigest
 
         stretches = [self.find(MARK + (t.replace(MARK, OWN_MARK) if MARK in t else t).replace(" ", MARK)) for t in texts]
-        stretches = [s if all(map(LONGEST.__ge__, map(len, s))) else [x[i : i + LONGEST] for x in s for i in range(0, len(x), LONGEST)] for s in stretches]
         everything = [x for s in stretches for x in s]
         where = list(map(self.memo.get, everything))
         fresh = {x for x, at in zip(everything, where) if at is None}
