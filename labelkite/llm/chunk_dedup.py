@@ -10,12 +10,14 @@ of a run of neighbouring repeats with at least ``MIN_WORDS`` words, so that phra
 first and last words of a repeated passage lie in chunks that it shares with its surroundings, which is why the bound is
 lower than the passages sought (50 words and more).
 
-Only digests and places are shuffled to find repeats, summed up before the shuffle; a digest that many documents share is
-joined by a sort-merge join that Spark splits. The text is shuffled once.
+Only digests and places are shuffled to find repeats, summed up before the shuffle. The digests found are written before they
+are joined with all chunks: so Spark broadcasts them where they are few, and else splits the partition of a digest that many
+documents share. The text is shuffled once.
 
 Defined results: null text stays null and has no chunks. A null id comes before all others; rows of equal id and text are
-kept or cut alike. Texts that lose all their words become empty. An empty table gives an empty result; other columns pass
-through.
+kept or cut alike. Texts that lose all their words become empty; texts that lose some also lose ASCII white space at both
+ends. An empty table gives an empty result; other columns pass through, whatever their names, but for ``words_cut``, which
+is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import bounded, written
+from labelkite.llm.common import bounded, fresh, written
 
 REACH = 3
 MOST = 32
@@ -130,7 +132,9 @@ def repeats(found: DataFrame) -> DataFrame:
     """(key, mark, numbers): the chunks of each text whose digest has stood before; ``found`` is a stored table."""
     order = lambda k, p: F.struct(F.col(k).isNotNull().alias("x"), F.col(k).alias("k"), F.col(p).alias("p"))
     several = found.groupBy(F.col("digest").alias("d")).agg(F.min(order("key", "place")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    again = found.join(several.select("d", "first"), F.col("digest") == F.col("d")).filter(order("key", "place") > F.col("first"))
+    # a join with the aggregate itself would leave all rows of a digest to one task
+    several = written(several.select("d", "first"), "several")
+    again = found.join(several, F.col("digest") == F.col("d")).filter(order("key", "place") > F.col("first"))
     return again.groupBy("key", F.shiftright("place", 32).cast("int").alias("mark")).agg(F.collect_set(F.col("place").bitwiseAND((1 << 32) - 1).cast("int")).alias("numbers"))
 
 
@@ -152,21 +156,22 @@ def cut_runs(text: str, numbers, reach: int = REACH, min_words: int = MIN_WORDS)
             lost += n
     if not lost:
         return text, 0
-    return b"".join([*parts, raw[at:]]).decode().strip(), lost
+    return b"".join([*parts, raw[at:]]).decode().strip(" \t\n\v\f\r"), lost
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, reach: int = REACH, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with ``text`` cut, and ``words_cut``: how many words it lost. ``docs`` must be a stored table."""
     found = written(chunks(docs, key, text, reach), "chunks")
-    marked = repeats(found).select(F.col("key").alias("_key"), F.col("mark").alias("_mark"), F.col("numbers").alias("_numbers"))
-    names, kinds = [c for c in docs.columns if c != "words_cut"], dict(docs.dtypes)
-    joined = docs.select(*names, F.hash(text).alias("_m")).join(marked, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_m") == F.col("_mark")), "left").select(*names, "_numbers")
+    names, kinds = [c for c in docs.columns if c.lower() != "words_cut"], dict(docs.dtypes)
+    m, k, mark, places = fresh(docs.columns, "_m", "_key", "_mark", "_numbers")
+    marked = repeats(found).select(F.col("key").alias(k), F.col("mark").alias(mark), F.col("numbers").alias(places))
+    joined = docs.select(*names, F.hash(text).alias(m)).join(marked, F.col(key).eqNullSafe(F.col(k)) & (F.col(m) == F.col(mark)), "left").select(*names, places)
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            texts, numbers = b.column(text).to_pylist(), b.column("_numbers").to_pylist()
+            texts, numbers = b.column(text).to_pylist(), b.column(places).to_pylist()
             done = [(t, 0) if t is None or not k else cut_runs(t, k, reach, min_words) for t, k in zip(texts, numbers)]
             columns = [pa.array([d[0] for d in done], b.schema.field(text).type) if c == text else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([d[1] for d in done], pa.int64())], names=[*names, "words_cut"])
