@@ -13,7 +13,8 @@ fingerprints is passed on, so rows never grow with the square of a group. Groups
 small-star steps on those links, each written to the shared folder.
 
 Defined results: null text is the empty text; texts without words have the fingerprint zero and are linked as any other.
-A null id never is the smallest. An empty table gives an empty result; other columns pass through ``near_duplicates``.
+A null id never is the smallest. An empty table gives an empty result; other columns pass through ``near_duplicates``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import bounded, dropped, let, written
+from labelkite.llm.common import bounded, dropped, fresh, let, written
 
 BITS = 3
 TILE = 2048
@@ -62,8 +63,8 @@ def majority(hashes) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", *, width: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """``docs`` without ``text``, with a fingerprint (long) for each seed: ``fp0``, ``fp1`` ..."""
-    rest = [c for c in docs.columns if c != text]
+    """``docs`` without ``text``, with a fingerprint (long) for each seed: ``fp0``, ``fp1`` ..., in place of columns of these names."""
+    rest = [c for c in docs.columns if c != text and c.lower() not in [f"fp{k}" for k in range(len(seeds))]]
     kinds = dict(docs.dtypes)
 
     def run(batches):
@@ -297,20 +298,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", *, most: int = 60)
     """(node, root) for each node that has an edge, where root is the smallest node of its component.
 
     Large-star and small-star steps by turns, until the edges are stars. A node with many edges is summed up before the
-    shuffle and joined by a sort-merge join, which Spark splits where it is skewed.
+    shuffle. The least neighbours are written before they are joined: so Spark broadcasts them where they are few, and else
+    splits the partition of a node with many edges, which it doesn't where a join stands in one stage with an aggregate.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     e = written(e, "edges")
     before = None
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k")
-        small = large.join(low, F.col("u") == F.col("k")).select("u", "v", "m")
-        last = e
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m")), "low")
+        large = written(both.join(low, F.col("u") == F.col("k")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        lower = written(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "k"), "low")
+        small = large.join(lower, F.col("u") == F.col("k")).select("u", "v", "m")
+        last = [e, low, large, lower]
         e = written(small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.*").filter("u <> v").distinct(), "edges")
-        dropped(last)
+        dropped(*last)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break
@@ -327,9 +329,11 @@ def grouped(prints: DataFrame, key: str = "doc_id", bits: int = BITS) -> DataFra
     joined = components(written(links(classes, bits), "links"))
     rooted = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = written(rooted, "rooted")
-    lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r")
-    named = rooted.join(lowest, F.col("root") == F.col("r")).select("fp", "component_id")
-    return prints.join(named, F.col("fp0") == F.col("fp")).drop("fp")
+    lowest = written(rooted.groupBy("root").agg(F.min("first").alias("component_id")).withColumnRenamed("root", "r"), "lowest")
+    rest = [c for c in prints.columns if c.lower() != "component_id"]
+    (fp,) = fresh(rest, "fp")
+    named = rooted.join(lowest, F.col("root") == F.col("r")).select(F.col("fp").alias(fp), "component_id")
+    return prints.select(*rest).join(named, F.col("fp0") == F.col(fp)).drop(fp)
 
 
 #: Distance of an estimate by sketches from the similarity asked for that settles a pair: over five deviations at k = 512.
@@ -393,7 +397,7 @@ def in_lanes(values: DataFrame) -> DataFrame:
     """(node, lanes, ...) to (anchor, away, node, ...): two rows, own and other, for each lane that another node has as well."""
     rest = [c for c in values.columns if c != "lanes"]
     rows = values.select(F.explode("lanes").alias("anchor"), "node")
-    several = rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
+    several = written(rows.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "several")
     shared = written(rows.join(several, "anchor", "left_semi"), "lanes")
     return shared.join(values.select(*rest), "node").select("anchor", F.explode(F.array(F.lit(0), F.lit(1))).alias("away"), *rest)
 
@@ -533,8 +537,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         first = seen.join(asked, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min(F.struct(F.col("key").isNotNull().alias("x"), "key", "mark")).alias("first"))
         # one row of each text; rows of equal key and hash are equal texts
         first = written(first.select("node", F.col("first.key").alias("k"), F.col("first.mark").alias("m")), "first")
-        texts = docs.select(F.col(key).alias("_key"), F.hash(text).alias("_mark"), F.col(text).alias("text"))
-        texts = texts.join(first, F.col("_key").eqNullSafe(F.col("k")) & (F.col("_mark") == F.col("m"))).select("node", "text")
+        texts = docs.select(F.col(key).alias("key"), F.hash(text).alias("mark"), F.col(text).alias("text"))
+        texts = texts.join(first, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))).select("node", "text")
         sets = written(sets_of(texts, width).dropDuplicates(["node"]), "sets")
         exact = unclear.join(sets.select(F.col("node").alias("a"), F.col("all").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("all").alias("pb")), "b")
         out = written(judged.filter(~open_).select("a", "b").unionByName(exact.filter(jaccard("pa", "pb") >= similarity).select("a", "b")), "alike")
@@ -558,13 +562,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     dropped(pairs, rest, apart, trees, first, second)
     groups = components(linked).select(F.col("node").alias("n"), "root")
     named = seen.select("key", "mark", "node").join(groups, F.col("node") == F.col("n"), "left").select("key", "mark", F.coalesce("root", "node").alias("root"))
+    named = written(named, "named")
     place = F.struct(F.col("key").isNull().alias("x"), "key", "mark")
-    lowest = named.groupBy(F.col("root").alias("r")).agg(F.min(place).alias("first"))
-    gone = named.join(lowest, F.col("root") == F.col("r")).filter(place != F.col("first")).select(F.col("key").alias("_key"), F.col("mark").alias("_mark")).distinct()
+    # written before they are joined, and only of groups with several rows, so that a group with many is split or its least row broadcast
+    lowest = written(named.groupBy(F.col("root").alias("r")).agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("r", "first"), "lowest")
+    k, m, h = fresh(docs.columns, "_key", "_mark", "_hash")
+    gone = named.join(lowest, F.col("root") == F.col("r")).filter(place != F.col("first")).select(F.col("key").alias(k), F.col("mark").alias(m)).distinct()
     gone = written(gone, "gone")
-    dropped(seen, nodes, linked)
+    dropped(seen, nodes, linked, named, lowest)
     # fewer documents go than stay, and only their ids and hashes are needed
-    return docs.withColumn("_hash", F.hash(text)).join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_mark")), "left_anti").select(*docs.columns)
+    return docs.withColumn(h, F.hash(text)).join(gone, F.col(key).eqNullSafe(F.col(k)) & (F.col(h) == F.col(m)), "left_anti").select(*docs.columns)
 
 
 def op10_simhash_anchors(spark, sf_dir: str) -> DataFrame:
