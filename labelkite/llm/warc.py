@@ -9,13 +9,16 @@ The file system is reached through ``pyarrow.fs`` (local or shared folders, HDFS
 
 Defined results: a null page counts as an empty payload, a null url leaves the header out. Of the records with equal
 payloads of at least ``least`` bytes those with the smallest page_id are responses, the others revisits. Repeated rows
-give repeated records. An empty table gives an empty result.
+give repeated records. An empty table gives an empty result. Records of other writers are read as well: folded header lines
+and such without a colon, any record id (null page_id where it isn't one of ours), blocks without HTTP heads, and digests
+that are missing or not SHA-1 (both worked out from the payload).
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from urllib.parse import quote
@@ -28,6 +31,7 @@ from labelkite.llm.common import bounded, scratch_path, written
 #: Fixed values of the format.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 GZIP_MAGIC = b"\x1f\x8b\x08"
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes of a range.
 RANGE = 4 << 20
@@ -40,9 +44,13 @@ def record_id(page_id: int | None) -> str:
     return f"<urn:uuid:{uuid.UUID(int=body)}>"
 
 
-def page_of(record: str) -> int | None:
-    body = uuid.UUID(record.strip("<>").removeprefix("urn:uuid:")).int
-    if body >> 66 & 1:
+def page_of(record: str | None) -> int | None:
+    """The page's number in a record id of ``record_id``, None for other ids."""
+    try:
+        body = uuid.UUID((record or "").strip("<> ").removeprefix("urn:uuid:")).int
+    except ValueError:
+        return None
+    if body >> 112 != 0x6C6B or body >> 76 & 15 != 8 or body >> 66 & 1:
         return None
     n = (body >> 64 & 3) << 62 | body & 0x3FFFFFFFFFFFFFFF
     return n - (1 << 64) if n >> 63 else n
@@ -77,14 +85,17 @@ def originals(pages: DataFrame, key: str, payload: str, least: int) -> DataFrame
     """
     body = F.encode(F.coalesce(payload, F.lit("")), "UTF-8")
     ids = pages.select(F.col(key).alias("_k"), F.sha1(body).alias("_d"), F.length(body).alias("_n")).filter(F.col("_n") >= least)
-    several = ids.groupBy(F.col("_d").alias("_same")).agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"), F.count("*").alias("_c")).filter((F.col("_first") < F.col("_last")) | (F.col("_c") > 1))
+    several = ids.groupBy(F.col("_d").alias("_same")).agg(F.min("_k").alias("_first"), F.max("_k").alias("_last")).filter(F.col("_first") < F.col("_last"))
+    # written, so that a digest of very many pages isn't joined in one task
+    several = written(several.select("_same", "_first"), "payloads")
     again = ids.join(several, F.col("_d") == F.col("_same")).filter(F.col("_k") > F.col("_first")).select("_k", "_d", "_first").distinct()
     return pages.withColumn("_digest", F.sha1(body)).join(again, (F.col(key) == F.col("_k")) & (F.col("_digest") == F.col("_d")), "left").drop("_digest", "_k", "_d")
 
 
 def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", *, least: int = 0) -> DataFrame:
     """Write ``pages`` into archives in ``folder`` (a URI); the archives as rows (path, bytes, records)."""
-    rows = originals(pages.select(key, url, payload), key, payload, least).select(key, url, payload, "_first")
+    named = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html"))
+    rows = originals(named, "page_id", "html", least).select("page_id", "url", "html", "_first")
 
     def run(batches):
         import pyarrow as pa
@@ -112,46 +123,90 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size]), pa.array([records])], names=["path", "bytes", "records"])
 
-    return written(rows.mapInArrow(run, "path string, bytes bigint, records bigint"), "archives")
+    return written(bounded(rows).mapInArrow(run, "path string, bytes bigint, records bigint"), "archives")
 
 
 def members_in(read_at, begin: int, end: int, chunk: int = 1 << 16):
-    """The decoded records that start at ``begin`` or later and before ``end``; ``read_at(n, place)`` gives bytes of the file."""
+    """The decoded records that start at ``begin`` or later and before ``end``; ``read_at(n, place)`` gives bytes of the file.
+
+    A candidate counts where it decodes to a version line, a header and the record's whole length. Of a record that goes on
+    beyond the range only the rest is read on, a part at a time.
+    """
     data, at = read_at(end - begin + chunk, begin), 0
     while (at := data.find(GZIP_MAGIC, at)) >= 0 and begin + at < end:
         z = zlib.decompressobj(31)
         try:
-            head = z.decompress(data[at : at + 4096])
-            if not head.startswith(b"WARC/1."):
+            if not VERSION.match(z.decompress(data[at : at + 4096])):
                 at += 1
                 continue
-            z, parts, fed = zlib.decompressobj(31), [], at
-            parts.append(z.decompress(data[at:] if len(data) - at < (1 << 20) else data[at : at + (1 << 20)]))
-            fed = min(len(data), at + (1 << 20))
+            z, parts, fed, beyond = zlib.decompressobj(31), [], at, begin + len(data)
             while not z.eof:
-                if fed >= len(data):
-                    more = read_at(max(chunk, 1 << 18), begin + len(data))
-                    if not more:
-                        raise EOFError(f"the record at {begin + at} isn't whole")
-                    data += more
                 step = data[fed : fed + (1 << 20)]
+                if not step:
+                    step = read_at(1 << 20, beyond)
+                    beyond += len(step)
+                    if not step:
+                        raise EOFError(f"the record at {begin + at} isn't whole")
                 fed += len(step)
                 parts.append(z.decompress(step))
+            record = b"".join(parts)
+            if not whole(record):
+                at += 1
+                continue
         except zlib.error:
             at += 1
             continue
         at = fed - len(z.unused_data)
-        yield b"".join(parts)
+        yield record
+
+
+def header_fields(head: bytes) -> dict[str, str]:
+    """Header lines after the first one, names in lower case; a folded line goes on the one before it, lines without a colon don't count."""
+    fields: dict[str, str] = {}
+    last = None
+    for line in re.split(r"\r?\n", head.decode("utf-8", "replace"))[1:]:
+        if line[:1] in (" ", "\t") and last is not None:
+            fields[last] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        last = name.strip().lower() if colon else None
+        if last is not None:
+            fields[last] = value.strip()
+    return fields
+
+
+def whole(record: bytes) -> bool:
+    """Whether a decoded member has a WARC header and as many bytes as this says."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    fields = header_fields(head)
+    n = fields.get("content-length", "")
+    return "warc-type" in fields and n.isdigit() and int(n) <= len(rest)
 
 
 def parse(record: bytes) -> dict:
     """The headers (lower case) and the block of a record."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
+    fields = header_fields(head)
     return fields | {"block": rest[: int(fields["content-length"])]}
 
 
+def payload_of(x: dict) -> tuple[bytes | None, int | None, str | None]:
+    """Of a parsed record: the payload (none for a revisit), its size and its SHA-1, checked where both are there."""
+    block, revisit = x["block"], x["warc-type"] == "revisit"
+    http = block.startswith(b"HTTP/")
+    head, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
+    kind, _, said = x.get("warc-payload-digest", "").partition(":")
+    said = said if kind.lower() == "sha1" else None
+    n = header_fields(head).get("content-length", "")
+    size = int(n) if n.isdigit() else None
+    if revisit:
+        return None, size, said
+    own = digest(body)
+    if (size is not None and size != len(body)) or (said is not None and said.upper() != own):
+        raise ValueError(f"the payload of {x.get('warc-record-id')} doesn't match its size or digest")
+    return body, len(body), own
+
+
 def read_archives(archives: DataFrame, *, range_bytes: int = RANGE, payload: bool = False) -> DataFrame:
     """The page records of archives (path, bytes): ``page_id url payload_bytes payload_digest record_type refers_to`` (and payload)."""
     ranges = archives.select(
@@ -177,14 +232,9 @@ def read_archives(archives: DataFrame, *, range_bytes: int = RANGE, payload: boo
                         x = parse(record)
                         if x["warc-type"] not in ("response", "revisit"):
                             continue
-                        http, _, body = x["block"].partition(b"\r\n\r\n")
-                        said = x["warc-payload-digest"].removeprefix("sha1:")
-                        size = int(dict(line.split(b": ", 1) for line in http.split(b"\r\n")[1:])[b"Content-Length"])
-                        revisit = x["warc-type"] == "revisit"
-                        if not revisit and (len(body), digest(body)) != (size, said):
-                            raise ValueError(f"{path}: the payload of {x['warc-record-id']} doesn't match its digest")
-                        row = (page_of(x["warc-record-id"]), x.get("warc-target-uri"), size, said, x["warc-type"], page_of(x["warc-refers-to"]) if revisit else None)
-                        rows.append(row + (None if revisit else body,) * payload)
+                        body, size, said = payload_of(x)
+                        row = (page_of(x.get("warc-record-id")), x.get("warc-target-uri"), size, said, x["warc-type"], page_of(x.get("warc-refers-to")) if body is None else None)
+                        rows.append(row + (body,) * payload)
                         if len(rows) >= 2000:
                             yield batch(rows)
                             rows = []
