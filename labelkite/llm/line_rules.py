@@ -1,12 +1,21 @@
 """Line-first quality rules, all in DataFrame functions.
 
-Each line is judged on its own (symbols, shouting, navigation, boilerplate).
+Each line is judged first, and fails for the first of these reasons that holds:
+
+- ``menu``: one of ``RUN`` or more neighbouring lines (blank ones don't count) of at most ``MENU_WORDS`` words, all of them
+  open, that is without a mark at the end that ends a sentence or a clause;
+- ``fragment``: open and of at most ``FRAGMENT_WORDS`` words;
+- ``symbols``: a symbol for fewer than four words, a run of exclamation marks for fewer than five, or three bars and dots as
+  between links;
+- ``capitals``: more than half of at least 20 letters;
+- ``boilerplate``: phrases of page furniture make up a tenth of its characters or more.
+
 Lines that fail are taken out, and a document that loses more than ``max_lost`` of its words is rejected.
 Two rules judge the document as a whole: too few words, and too many words in repeated three-word windows.
 
 Defined results: a null text counts as the empty text, has no words and fails. Rows are judged one by one, so repeated
-rows give repeated results and an empty table an empty one. Other columns pass through ``clean``; ``judge`` names its
-own columns, replacing any input columns of these names.
+rows give repeated results and an empty table an empty one. Blank lines pass. Other columns pass through ``clean``, whatever
+their names; ``judge`` names its own columns, replacing any input columns of these names.
 """
 
 from __future__ import annotations
@@ -14,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import SPACE, computed, let, words
+from labelkite.llm.common import SPACE, computed, fresh, let, words
 
 #: Phrases that mark a line as page furniture.
 BOILERPLATE = (
@@ -24,8 +33,14 @@ BOILERPLATE = (
 )
 SYMBOLS = r"[#*$%&|<>]"
 
-#: Longer lines aren't page furniture, whatever they mention.
-FURNITURE_CHARS = 200
+#: Lines of a menu, and words of each; words of a fragment; characters of a line for one of boilerplate phrases.
+RUN = 5
+MENU_WORDS = 8
+FRAGMENT_WORDS = 3
+PHRASE_SHARE = 10
+#: How an open line ends: with a letter, a digit, a comma or an ellipsis.
+OPEN_END = r"(?:[\p{L}\p{Nd},]|…|\.\.\.)[\x20\x09-\x0D]*\z"
+BLANK = r"\A[\x20\x09-\x0D]*\z"
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -66,8 +81,21 @@ def repeated_window_words(found: Column, width: int = 3) -> Column:
     return let(F.transform(found, lambda w: F.xxhash64(w)), windowed)
 
 
-def line_passes(line: Column) -> Column:
-    """Whether a line of running text: no page furniture, not shouted, few symbols for its words.
+def marks(lines: Column) -> Column:
+    """Of each line ``b`` blank, ``x`` in a menu (so may be blank ones within), ``f`` a fragment, ``-`` or ``m`` none of these."""
+    space, word = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
+    short = lambda n: rf"\A{space}*+(?:{word}++{space}++){{0,{n - 1}}}{word}*{OPEN_END}"
+    kinds = F.transform(
+        lines,
+        lambda x: F.when(x.rlike(BLANK), "b").when(~x.rlike(short(MENU_WORDS)), "-").when(x.rlike(short(FRAGMENT_WORDS)), "f").otherwise("m"),
+    )
+    # a line that begins a long enough run, and those that follow it at once
+    runs = rf"(?:\G(?!^)|(?=(?:[mf]b*){{{RUN - 1}}}[mf]))[mfb]"
+    return F.split(F.regexp_replace(F.array_join(kinds, ""), runs, "x"), "")
+
+
+def line_reason(line: Column) -> Column:
+    """Why a line isn't running text for itself: page furniture, shouted, or many symbols for its words; null if it is.
 
     Counts are made only for lines that have a symbol, a double mark or a run of capitals at all.
     """
@@ -78,16 +106,33 @@ def line_passes(line: Column) -> Column:
         return (symbols * 4 <= n_words) & (shouts * 5 <= n_words) & (_count(line, r"[^|»›·•]+") < 3)
 
     letters, capitals = _count(line, r"[^A-Za-z]+"), _count(line, r"[^A-Z]+")
+    phrases = "|".join(BOILERPLATE)
+    filled = lambda low: (F.length(low) - F.length(F.regexp_replace(low, phrases, ""))) * PHRASE_SHARE >= F.length(low)
     return (
-        F.when(line.rlike(r"[#*$%&|<>»›·•]|!!") & ~let(F.size(words(line)), marks_are_few), False)
-        .when(line.rlike("[A-Z]{3}") & (letters >= 20) & (capitals * 2 > letters), False)
-        .otherwise((F.length(line) > FURNITURE_CHARS) | ~F.lower(line).rlike("|".join(BOILERPLATE)))
+        F.when(line.rlike(r"[#*$%&|<>»›·•]|!!") & ~let(F.size(words(line)), marks_are_few), "symbols")
+        .when(line.rlike("[A-Z]{3}") & (letters >= 20) & (capitals * 2 > letters), "capitals")
+        .when(line.rlike(f"(?i){phrases}") & let(F.lower(line), filled), "boilerplate")
     )
 
 
+def line_reasons(text: Column) -> Column:
+    """For each line of ``text`` why it fails, null where it passes."""
+
+    def judged(lines: Column) -> Column:
+        reason = lambda x, m: F.when((m == "b") | x.rlike(BLANK), None).when(m == "x", "menu").when(m == "f", "fragment").otherwise(line_reason(x))
+        return let(marks(lines), lambda m: F.transform(lines, lambda x, i: reason(x, F.get(m, i))))
+
+    return let(F.split(text, "\n"), judged)
+
+
 def good_lines(text: Column) -> Column:
     """The lines of ``text`` that pass, in order; blank lines pass."""
-    return F.filter(F.split(text, "\n"), lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x))
+
+    def kept(lines: Column) -> Column:
+        passes = lambda x, m: x.rlike(BLANK) | (~m.isin("x", "f") & line_reason(x).isNull())
+        return let(marks(lines), lambda m: F.filter(lines, lambda x, i: passes(x, F.get(m, i))))
+
+    return let(F.split(text, "\n"), kept)
 
 
 def judge(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_lost: float = MAX_LOST, once: bool = False) -> DataFrame:
@@ -97,6 +142,7 @@ def judge(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, ma
     these follows, which would otherwise have them worked out again.
     """
     add = computed if once else DataFrame.withColumn
+    (m,) = fresh(docs.columns, "_m")
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     measures = let(
@@ -107,13 +153,13 @@ def judge(docs: DataFrame, text: str = "text", *, min_words: int = MIN_WORDS, ma
         ),
     )
     out = (
-        add(docs, "_m", measures)
-        .withColumn("n_words", F.col("_m.n_words"))
+        add(docs, m, measures)
+        .withColumn("n_words", F.col(m)["n_words"])
         .withColumn("word_chars", _count(t, SPACE).cast("bigint"))
         .withColumn("n_symbols", _count(t, r"[^#*$%&|<>]+").cast("bigint"))
         .withColumn("n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"))
-        .withColumn("n_repeat_words", F.col("_m.n_repeat_words"))
-        .drop("_m")
+        .withColumn("n_repeat_words", F.col(m)["n_repeat_words"])
+        .drop(m)
     )
     out = out.withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words")))
     # lines are judged only where the base has passed

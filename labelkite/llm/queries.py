@@ -24,15 +24,20 @@ words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM tex
 triples AS (SELECT doc_id, i, x, lead(x, 1) OVER t AS y, lead(x, 2) OVER t AS z FROM words WINDOW t AS (PARTITION BY doc_id ORDER BY i)),
 windows AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x, y, z) AS n FROM triples WHERE z IS NOT NULL),
 repeats AS (SELECT doc_id, count(DISTINCT i + d) AS n_repeat_words FROM windows, (VALUES (0), (1), (2)) t(d) WHERE n > 1 GROUP BY 1),
-lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM texts),
-judged AS (SELECT doc_id, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n,
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM texts),
+counted AS (SELECT doc_id, line, i, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
+shorts AS (SELECT *, regexp_matches(line, 'OPEN_END') AND n BETWEEN 1 AND MENU_WORDS AS short FROM counted),
+runs AS (SELECT *, sum((n > 0 AND NOT short)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM shorts),
+judged AS (SELECT doc_id, line, n,
                   length(regexp_replace(line, '[^#*$%&|<>]+', '', 'g')) AS symbols, len(regexp_extract_all(line, '!{2,}')) AS shouts,
                   length(regexp_replace(line, '[^|»›·•]+', '', 'g')) AS bars, length(regexp_replace(line, '[^A-Za-z]+', '', 'g')) AS letters,
-                  length(regexp_replace(line, '[^A-Z]+', '', 'g')) AS capitals FROM lines),
+                  length(regexp_replace(line, '[^A-Z]+', '', 'g')) AS capitals, length(lower(line)) - length(regexp_replace(lower(line), 'PHRASES', '', 'g')) AS phrases,
+                  regexp_matches(line, 'OPEN_END') AND n <= FRAGMENT_WORDS AS fragment,
+                  count(*) FILTER (short) OVER (PARTITION BY doc_id, run) >= RUN AND short AS menu FROM runs),
 by_text AS (SELECT doc_id, count(line) FILTER (n > 0) - count(DISTINCT line) FILTER (n > 0) AS n_dup_lines,
                    sum(n) FILTER (NOT (regexp_matches(line, '[#*$%&|<>»›·•]|!!') AND NOT (symbols * 4 <= n AND shouts * 5 <= n AND bars < 3))
                                   AND NOT (regexp_matches(line, '[A-Z]{3}') AND letters >= 20 AND capitals * 2 > letters)
-                                  AND (length(line) > FURNITURE_CHARS OR NOT regexp_matches(lower(line), 'FURNITURE'))) AS good_words
+                                  AND NOT (phrases > 0 AND phrases * PHRASE_SHARE >= length(lower(line))) AND NOT fragment AND NOT menu) AS good_words
             FROM judged GROUP BY 1),
 base AS (SELECT t.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS word_chars,
                 length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(good_words, 0) AS good_words
@@ -40,6 +45,9 @@ base AS (SELECT t.doc_id, len(w) AS n_words, length(regexp_replace(text, '[\x20\
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 1 - good_words::DOUBLE / greatest(n_words, 1) <= 0.3::DOUBLE AS kept
-FROM base""".replace("FURNITURE_CHARS", str(line_rules.FURNITURE_CHARS)).replace("FURNITURE", "|".join(line_rules.BOILERPLATE))
+FROM base"""
+_FIXED = {n: str(getattr(line_rules, n)) for n in ("OPEN_END", "MENU_WORDS", "FRAGMENT_WORDS", "PHRASE_SHARE", "RUN")}
+for _name, _value in [("PHRASES", "|".join(line_rules.BOILERPLATE)), *_FIXED.items()]:
+    _LINE_RULES = _LINE_RULES.replace(_name, _value)
 
 ORACLES: dict[str, str] = {"op8_line_rules": _LINE_RULES}
