@@ -6,11 +6,14 @@ number of distinct shingles; below ``k`` shingles all these are exact.
 
 Defined results: null text is the empty text, whose sketch is empty; two empty sketches resemble each other fully (1.0),
 an empty and another one not at all (0.0). A text of fewer words than a shingle is one shingle. Ties of ``doc_id`` are
-ordered by text, and a null ``doc_id`` comes last; an empty table gives an empty result.
+ordered by text, and a null ``doc_id`` comes last; an empty table gives an empty result. Ids are whole numbers.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from labelkite.llm.common import let, words
 
 K = 128
 WIDTH = 5
+#: Documents of a range of ids, about.
+RANGE_ROWS = 50_000
 
 
 def shingle_hashes(text: Column, width: int = WIDTH) -> Column:
@@ -49,6 +54,19 @@ def merge(a: Column, b: Column, k: int = K) -> Column:
     return F.slice(F.sort_array(F.array_union(a, b)), 1, k)
 
 
+def merged(sketches: Column, k: int = K) -> Column:
+    """Aggregate: the sketch of all texts of a group, from theirs. No array holds more than a task's distinct hashes of the group's
+    sketches; ``merged_by`` is for groups of very many texts."""
+    return F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_set(sketches)))), 1, k)
+
+
+def merged_by(rows: DataFrame, keys: list[str], sketches: str = "sketch", k: int = K, fan: int = 256) -> DataFrame:
+    """``keys sketch``: the sketch of all texts of each group, merged in two steps (``fan`` parts of a group, then these)."""
+    part = rows.select(*keys, sketches, F.pmod(F.xxhash64(sketches), F.lit(fan)).alias("_fan"))
+    half = part.groupBy(*keys, "_fan").agg(merged(F.col(sketches), k).alias(sketches))
+    return half.groupBy(*keys).agg(merged(F.col(sketches), k).alias(sketches))
+
+
 def resemblance(a: Column, b: Column, k: int = K) -> Column:
     """Estimate of the Jaccard similarity of the two sets of shingles."""
     shared = let(merge(a, b, k), lambda u: F.size(F.array_intersect(F.array_intersect(u, a), b)) / F.greatest(F.size(u), F.lit(1)))
@@ -72,34 +90,37 @@ def as_text(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, key: str, text: str, buckets: int) -> DataFrame:
-    """``docs`` (key, text) with ``next_text``: that of the next row by descending key, the first one's after the last.
+def with_next(docs: DataFrame, key: str, text: str, buckets: int):
+    """Rows (range, copied, key, text) of ``docs`` and the window order in which ``lead`` gives the next row by descending key, and
+    the first one's values after the last row.
 
     Rows go to ranges of keys between approximate quantiles, which are keys that occur, so the first row of each range is
-    known beforehand and is also sent to the range above, whose last row needs it. One shuffle of the text, no range is
+    known beforehand and is also sent to the range above, whose last row needs it. Quantiles are taken in two levels, each
+    of the square root of ``buckets``, so that no sketch of them grows with the table. One shuffle of the text, no range is
     read by the driver, and no task holds more than a range.
     """
-    marks = docs.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets + 1)], 100 * buckets)).first()[0] or []
-    marks = sorted(set(marks))
-    bounds = F.array(*[F.lit(m) for m in marks]) if marks else F.array().cast("array<bigint>")
-    spark = docs.sparkSession
-    above = [(m, (i + 1) % len(marks)) for i, m in enumerate(marks)]
-    # at most one row for each range
-    heads = spark.createDataFrame(above, "mark bigint, up int")
-    placed = docs.join(F.broadcast(heads), F.col(key) == F.col("mark"), "left").withColumn(
-        "own", F.coalesce(F.aggregate(bounds, F.lit(0), lambda n, b: n + F.when(b < F.col(key), 1).otherwise(0)), F.lit(0))
-    )
-    sent = placed.select(
-        key,
-        text,
-        F.explode(
-            F.when(F.col("up").isNull(), F.array(F.struct(F.col("own").alias("range"), F.lit(0).alias("copied")))).otherwise(
-                F.array(F.struct(F.col("own").alias("range"), F.lit(0).alias("copied")), F.struct(F.col("up").alias("range"), F.lit(1).alias("copied")))
-            )
-        ).alias("to"),
-    ).select("to.*", key, text)
-    order = Window.partitionBy("range").orderBy("copied", F.col(key).desc_nulls_last(), text)
+    spark, level = docs.sparkSession, max(1, math.ceil(buckets**0.5))
+    cuts = [i / level for i in range(1, level + 1)]
+    upper = sorted(set(docs.agg(F.percentile_approx(key, cuts, 100 * level)).first()[0] or []))
+    # how many of the array's values lie below the key
+    below = lambda marks: F.coalesce(F.aggregate(marks, F.lit(0), lambda n, b: n + F.when(b < F.col(key), 1).otherwise(0)), F.lit(0))
+    kind = dict(docs.dtypes)[key]
+    part = below(F.array(*[F.lit(m) for m in upper]).cast(f"array<{kind}>") if upper else F.array().cast(f"array<{kind}>"))
+    within = docs.filter(F.col(key).isNotNull()).groupBy(part.alias("part")).agg(F.percentile_approx(key, cuts, 100 * level).alias("marks"))
+    lower = {r.part: sorted(set(r.marks)) for r in within.collect()}  # `buckets` numbers in all
+    marks = [m for p in sorted(lower) for m in lower[p]]
+    firsts = dict(zip(sorted(lower), accumulate([len(lower[p]) for p in sorted(lower)], initial=0)))
+    # at most one row for each range, one for each part
+    heads = spark.createDataFrame([(m, (i + 1) % len(marks)) for i, m in enumerate(marks)], f"mark {kind}, up int")
+    parts = spark.createDataFrame([(p, firsts[p], m) for p, m in lower.items()], f"p int, first int, marks array<{kind}>")
+    placed = docs.withColumn("part", part).join(F.broadcast(parts), F.col("part") == F.col("p"), "left").join(F.broadcast(heads), F.col(key) == F.col("mark"), "left")
     # null keys follow the smallest key, in the lowest range
+    own = F.when(F.col(key).isNull(), 0).otherwise(F.col("first") + below(F.col("marks")))
+    to = lambda at, copied: F.struct(at.cast("int").alias("range"), F.lit(copied).alias("copied"))
+    sent = placed.select(key, text, F.explode(F.when(F.col("up").isNull(), F.array(to(own, 0))).otherwise(F.array(to(own, 0), to(F.col("up"), 1)))).alias("to")).select("to.*", key, text)
+    if not marks:  # only null keys: the first row is that of the smallest text
+        sent = sent.unionByName(docs.orderBy(text).limit(1).select(F.lit(0).alias("range"), F.lit(1).alias("copied"), key, text))
+    order = Window.partitionBy("range").orderBy("copied", F.col(key).desc_nulls_last(), text)
     return sent, order
 
 
@@ -108,7 +129,7 @@ def op4_sketches(spark, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sent, order = with_next(docs, "doc_id", "text", min(4 * parts, 4000))
+    sent, order = with_next(docs, "doc_id", "text", max(4 * parts, docs.count() // RANGE_ROWS))
     n = F.length("text")
     cut = F.floor(n / 3).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 3) as int))"), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), cut))
