@@ -1,18 +1,25 @@
-"""Main text of web pages.
+"""Main text of web pages by the repeats of their host.
 
-A page is read into blocks of text, with what holds them: page furniture (navigation, headers, footers, sidebars, forms,
-adverts, notices, comments), an article, or neither. Furniture goes. A page with an article keeps just the article's
-blocks. On pages without one, what repeats on other pages of the host is taken for boilerplate: the token streams of a
-host's pages are concatenated and their suffixes sorted, suffixes whose first ``REPEAT`` tokens stand in at least two
-distinct contents of the host, and on at least the share ``SHARE`` of these, mark these tokens as covered, covered tokens
-go and the runs between them stay. Copies of a page have one content, so they don't cover each other.
+A page is read into blocks of text, each with what its tags say: article, furniture (navigation, headers, footers, sidebars,
+forms, adverts, notices, comments) or neither. The token streams of a host's pages, all blocks of them, are concatenated and
+their suffixes sorted. Suffixes whose first ``REPEAT`` tokens stand in several distinct contents of the host cover these
+tokens, and covered runs go:
 
-A large host is dealt out in shards of pages. Each shard sorts its own suffixes and names every class of equal starts by
-a digest with its number of pages; the numbers are summed over the shards, so a start that repeats only across shards is
-found as well. No task ever holds more than a shard.
+- outside of articles where a repeat stands in two contents and a share of ``SHARE`` of the host's;
+- inside of articles only where it stands all over the site, that is in ``SITE`` contents and the share ``SITE_SHARE`` of the
+  host's. A passage that some articles share is text; and an article of which more than half would go is a copy of others,
+  and stays whole.
 
-Defined results: null html, and a page without text, give the empty text. Repeated rows give repeated results (and count
-as one page); an empty table gives an empty result.
+What the suffixes leave is the article's unique runs, and on pages without an article, or with less of it than of other text,
+the other unique runs as well. Furniture goes also where nothing repeats it: hosts of one page have menus too.
+
+Copies of a page have one content, so they don't cover each other. A large host is dealt out in shards of pages by their
+contents. Each shard sorts its own suffixes and names the classes of equal starts that reach the share in it by a digest: what
+reaches the share of the host does so in one of its shards at least. The digests that any shard names are counted over all
+contents of the host, and its pages are covered by those that reach the share. No task ever holds more than a shard.
+
+Defined results: null html, and a page without text, give the empty text. Pages without a host in their url count as one
+host's. Repeated rows give repeated results (and count as one content); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +27,7 @@ from __future__ import annotations
 import re
 from html import unescape
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelkite.llm.common import bounded, written
@@ -30,8 +36,14 @@ from labelkite.llm.common import bounded, written
 REPEAT = 10
 #: Share of a host's distinct contents that a repeat must stand in: a quotation or an edited copy is no boilerplate.
 SHARE = 0.1
-#: Tokens of a shard of a host, about.
-SHARD = 200_000
+#: The same inside of articles, and how many contents.
+SITE_SHARE = 0.5
+SITE = 5
+#: Characters of html in a shard of a host, about.
+SHARD = 4_000_000
+#: Rows of one content beyond which its copies are dealt over the shards of their host.
+COPIES = 1000
+LOOSE, ARTICLE, FURNITURE = 0, 1, 2
 
 #: Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,8 +53,10 @@ BLOCKS = frozenset(
     " header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = BLOCKS - {"br", "td", "th", "tr", "caption", "body", "html"}
-FURNITURE = frozenset("head nav footer aside form menu dialog button select".split())
+FURNISHED = frozenset("head nav footer aside form menu dialog button select".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+#: Words in a class or id that mark furniture outside of articles only: in them, they name parts of the text.
+IN_ARTICLES = frozenset("header legal login masthead navigation search teaser disclaimer copyright".split())
 #: Words in a class or id that mark furniture.
 NAMED = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies"
@@ -52,52 +66,70 @@ NAMED = frozenset(
 )
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)""", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     """A header inside an article is part of it, an article inside another one is a reader's comment."""
-    if tag in FURNITURE or tag == ("article" if in_article else "header"):
+    if tag in FURNISHED or tag == ("article" if in_article else "header"):
         return True
     if not attributes or tag in ("body", "html"):
         return False
+    named = NAMED - IN_ARTICLES if in_article else NAMED
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if name.lower() == "role":
             if value in ROLES:
                 return True
-        elif NAMED.intersection(re.split(r"[^a-z0-9]+", value)):
+        elif named.intersection(re.split(r"[^a-z0-9]+", value)):
             return True
     return False
 
 
-def blocks_of(html: str) -> tuple[list[str], list[str]]:
-    """The blocks of text inside articles, and those that are in neither an article nor furniture."""
-    article: list[str] = []
-    loose: list[str] = []
+def blocks_of(html: str) -> tuple[list[str], list[int]]:
+    """The blocks of text of a page, and of each whether it is in an article, in furniture or in neither. The work grows with the
+    page's length, however deep its tags are nested."""
+    blocks: list[str] = []
+    kinds: list[int] = []
     open_tags: list[tuple[str, int]] = []  # tag, and 1 for furniture, 2 for an article
+    count: dict[str, int] = {}
+    paragraphs: list[int] = []  # places of open <p>, and of open tags that one behind them isn't closed through
+    walls: list[int] = []
     hidden = inside = 0
-    parts: list[str] = []
+    shown: list[str] = []
+    furnished: list[str] = []
     at = 0
 
     def text(raw: str) -> None:
-        if raw and not hidden:
-            parts.append(unescape(raw) if "&" in raw else raw)
+        if raw:
+            (furnished if hidden else shown).append(unescape(raw) if "&" in raw else raw)
 
-    def end_block() -> None:
+    def flush(parts: list[str], kind: int) -> None:
         if parts:
             found = " ".join("".join(parts).split())
             parts.clear()
             if found:
-                (article if inside else loose).append(found)
+                blocks.append(found)
+                kinds.append(kind)
+
+    def end_block() -> None:
+        flush(shown, ARTICLE if inside else LOOSE)
+        flush(furnished, FURNITURE)
 
     def pop(n: int) -> None:
         nonlocal hidden, inside
-        for _, kind in open_tags[n:]:
+        for tag, kind in open_tags[n:]:
             hidden -= kind == 1
             inside -= kind == 2
+            count[tag] -= 1
         del open_tags[n:]
+        for places in (paragraphs, walls):
+            while places and places[-1] >= n:
+                places.pop()
+        if not hidden:
+            flush(furnished, FURNITURE)
 
     while m := TAG.search(html, at):
         text(html[at : m.start()])
@@ -108,153 +140,259 @@ def blocks_of(html: str) -> tuple[list[str], list[str]]:
         if tag in BLOCKS:
             end_block()
         if m[1]:
-            n = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == tag), None)
-            if n is not None:
+            if count.get(tag):
+                n = len(open_tags) - 1
+                while open_tags[n][0] != tag:
+                    n -= 1
                 pop(n)
         elif tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
+            end = RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)
         elif tag not in VOID and not m[3].endswith("/"):
-            if tag in CLOSES_P:
-                n = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == "p"), None)
-                if n is not None and not any(t in ("div", "article", "td") for t, _ in open_tags[n:]):
-                    pop(n)
+            if tag in CLOSES_P and paragraphs and not (walls and walls[-1] > paragraphs[-1]):
+                pop(paragraphs[-1])
             if tag in ("article", "main"):
-                kind = 1 if is_furniture(tag, m[3], inside > 0 and any(t == "article" for t, _ in open_tags)) else 2
+                kind = 1 if is_furniture(tag, m[3], inside > 0 and count.get("article", 0) > 0) else 2
             else:
                 kind = int(is_furniture(tag, m[3], inside > 0))
+            if tag == "p":
+                paragraphs.append(len(open_tags))
+            elif tag in ("div", "article", "td"):
+                walls.append(len(open_tags))
             open_tags.append((tag, kind))
+            count[tag] = count.get(tag, 0) + 1
             hidden += kind == 1
             inside += kind == 2
     text(html[at:])
     end_block()
-    return article, loose
-
+    return blocks, kinds
 
-def host_of(url: str | None) -> str:
-    m = HOST.match(url or "")
-    return m[1].lower() if m else ""
 
-
-def parse_pages(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """``key url host text loose``: the article's text, or the loose blocks of a page without an article."""
-    kinds = dict(pages.dtypes)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            texts, looses = [], []
-            for h in b.column(2).to_pylist():
-                article, loose = blocks_of(h or "")
-                texts.append("\n".join(article))
-                looses.append([] if article else loose)
-            hosts = [host_of(u) for u in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(hosts, pa.string()), pa.array(texts, pa.string()), pa.array(looses, pa.list_(pa.string()))], names=["key", "url", "host", "text", "loose"])
-
-    return bounded(pages.select(key, url, html)).mapInArrow(run, f"key {kinds[key]}, url {kinds[url]}, host string, text string, loose array<string>")
-
-
-def sorted_starts(streams: list[list[str]], width: int = REPEAT):
-    """Of concatenated streams of tokens: for each suffix of at least ``width`` tokens within its stream, (stream, place,
-    class), by the order of its first ``width`` tokens; equal classes have equal starts."""
+def sorted_starts(tokens, left, width: int = REPEAT):
+    """Of concatenated streams of tokens (numbers, and how many of the stream are left from here on): places of the suffixes of
+    at least ``width`` tokens, by the order of their first ``width`` tokens, and their classes; equal classes have equal starts, and stand in the order of their places."""
     import numpy as np
 
-    lengths = np.array([len(s) for s in streams], "i8")
-    vocabulary: dict[str, int] = {}
-    tokens = np.array([vocabulary.setdefault(t, len(vocabulary)) for s in streams for t in s], "i8")
-    stream = np.repeat(np.arange(len(streams)), lengths)
-    place = np.arange(len(tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    rank, known = tokens, 1
+    rank, known, order = tokens, 1, np.argsort(tokens, kind="stable")
     while known < width:  # prefix doubling: ranks of the first 2 * known tokens from two ranks of the first known
         step = min(known, width - known)
-        other = np.full(len(rank), -1, "i8")
-        other[: len(rank) - step] = rank[step:]
-        order = np.lexsort((other, rank))
-        change = np.r_[False, (rank[order][1:] != rank[order][:-1]) | (other[order][1:] != other[order][:-1])] if len(rank) else np.zeros(0, bool)
+        other = np.zeros(len(rank), "i8")
+        other[: max(0, len(rank) - step)] = rank[step:] + 1
+        both = rank * (int(other.max(initial=0)) + 1) + other
+        order = np.argsort(both, kind="stable" if known + step == width else None)
+        change = np.r_[False, both[order][1:] != both[order][:-1]][: len(order)]
         rank = np.empty(len(order), "i8")
         rank[order] = np.cumsum(change)
         known += step
-    whole = place + width <= lengths[stream]
-    use = np.flatnonzero(whole)
-    use = use[np.argsort(rank[use], kind="stable")]
-    return stream[use], place[use], rank[use]
+    use = order[left[order] >= width]
+    return use, rank[use]
 
 
-def repeated_places(loose: DataFrame, width: int = REPEAT, shard_tokens: int = SHARD) -> DataFrame:
-    """(page, places): of pages (page, host, loose), where starts stand that other pages of the host have as well. Rows of equal
-    page and host must have equal blocks."""
-    sizes = loose.groupBy("host").agg(F.sum(F.aggregate("loose", F.lit(0).cast("bigint"), lambda n, x: n + F.size(F.split(x, " ")))).alias("n"))
-    shards = sizes.select(F.col("host").alias("h"), F.ceil(F.col("n") / shard_tokens).alias("shards"))
-    dealt = loose.join(shards, F.col("host") == F.col("h")).select("page", "host", "loose", F.pmod(F.xxhash64("page"), F.greatest("shards", F.lit(1))).alias("shard"))
-    kind = dict(loose.dtypes)["page"]
+class Streams:
+    """The token streams of pages' blocks, as numbers."""
+
+    def __init__(self, pages: list[list[str]]):
+        import numpy as np
+
+        vocabulary: dict[str, int] = {}
+        self.words = [[b.split(" ") for b in blocks] for blocks in pages]
+        self.tokens = np.array([vocabulary.setdefault(t, len(vocabulary)) for blocks in self.words for b in blocks for t in b], "i8")
+        self.sizes = np.array([sum(map(len, blocks)) for blocks in self.words], "i8")
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.stream = np.repeat(np.arange(len(pages)), self.sizes)
+        self.left = np.repeat(self.starts + self.sizes, self.sizes) - np.arange(len(self.tokens))
+        self.vocabulary = list(vocabulary)
+
+    def digests(self, width: int):
+        """A 64-bit hash of the first ``width`` tokens of every suffix that has as many."""
+        import numpy as np
+        from xxhash import xxh64_intdigest
+
+        own = np.array([xxh64_intdigest(t) for t in self.vocabulary], "u8")[self.tokens] if len(self.tokens) else np.zeros(0, "u8")
+        out = np.zeros(len(own), "u8")
+        with np.errstate(over="ignore"):
+            for i in range(min(width, len(own))):
+                out *= np.uint64(0x9E3779B97F4A7C15)
+                out[: len(own) - i] += own[i:]
+            out ^= out >> np.uint64(29)
+        return out.view("i8")
+
+    def covered(self, places, width: int):
+        """Which tokens the starts at ``places`` cover."""
+        import numpy as np
+
+        edge = np.zeros(len(self.tokens) + 1, "i8")
+        np.add.at(edge, places, 1)
+        np.add.at(edge, np.minimum(places + width, len(self.tokens)), -1)
+        return np.cumsum(edge)[:-1] > 0
+
+    def text(self, page: int, kinds, repeated, site) -> str:
+        """The main text of a page: ``repeated`` and ``site`` tell of its tokens whether a repeat, or one of the whole site, covers them."""
+        lo = int(self.starts[page])
+        found: dict[int, list[tuple[int, list[str], int]]] = {LOOSE: [], ARTICLE: []}
+        for n, (words, kind) in enumerate(zip(self.words[page], kinds)):
+            hi = lo + len(words)
+            if kind != FURNITURE:
+                cover = (site if kind == ARTICLE else repeated)[lo:hi]
+                left = [w for w, c in zip(words, cover.tolist()) if not c] if cover.any() else words
+                found[kind].append((n, left, len(words)))
+            lo = hi
+        if 2 * sum(len(left) for _, left, _ in found[ARTICLE]) < sum(k for *_, k in found[ARTICLE]):
+            article = [(n, words) for (n, _, _), words in zip(found[ARTICLE], (w for w, k in zip(self.words[page], kinds) if k == ARTICLE))]
+        else:
+            article = [(n, left) for n, left, _ in found[ARTICLE]]
+        loose = [(n, left) for n, left, _ in found[LOOSE]]
+        if sum(len(w) for _, w in loose) <= sum(len(w) for _, w in article):
+            loose = []
+        return "\n".join(" ".join(words) for _, words in sorted(article + loose) if words)
+
+
+def host_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
+
+
+def dealt(pages: DataFrame, shard: int, copies: int) -> DataFrame:
+    """(key, url, html) with ``host shards shard counted``: the shard of its host's where a page's suffixes are sorted, and whether it counts
+    there. Equal contents are in one shard, but for those with many copies, which count in just one."""
+    named = pages.withColumn("host", host_of(F.col("url")))
+    content = F.xxhash64("host", "html")
+    large = named.groupBy("host").agg(F.sum(F.length("html")).alias("n")).filter(F.col("n") > shard)
+    # both are small, and written so that a host or content with very many pages isn't joined in one task
+    large = written(large.select(F.col("host").alias("large"), F.ceil(F.col("n") / shard).cast("int").alias("of")), "hosts")
+    hot = written(named.groupBy(content.alias("hot")).count().filter(F.col("count") > copies).select("hot"), "copies")
+    rows = named.withColumn("content", content).join(large, F.col("host") == F.col("large"), "left").join(hot, F.col("content") == F.col("hot"), "left")
+    home = F.pmod("content", "shards").cast("int")
+    rows = rows.withColumn("shards", F.coalesce("of", F.lit(1)))
+    spread = F.when(F.col("hot").isNull(), home).otherwise(F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
+    return rows.select("key", "url", "html", "host", "shards", spread.alias("shard"), (spread == home).alias("counted"))
+
+
+def indexed(pages: DataFrame, width: int, kinds: dict[str, str]) -> DataFrame:
+    """Shards of ``dealt`` as rows ``key url host text first blocks kinds digests contents``: the text of pages of hosts of one shard; of
+    others the blocks, with a mark for the first row of each content, and in one row (without blocks) the shard's starts that
+    reach the share."""
 
     def run(table):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
-        # a page is one page, however often its row is repeated
-        seen: dict = {}
-        for page, blocks in zip(table.column("page").to_pylist(), table.column("loose").to_pylist()):
-            seen.setdefault(page, [t for b in blocks for t in b.split(" ")])
-        pages, streams = list(seen), list(seen.values())
-        stream, place, rank = sorted_starts(streams, width)
-        first = np.r_[True, rank[1:] != rank[:-1]] if len(rank) else np.zeros(0, bool)
-        group = np.cumsum(first) - 1
-        own = np.unique(np.stack([group, stream], 1), axis=0)[:, 0] if len(rank) else np.zeros(0, "i8")
-        n_pages = np.bincount(own, minlength=int(first.sum()))
-        heads = np.flatnonzero(first)
-        digests = np.array([xxh64_intdigest(" ".join(streams[stream[i]][place[i] : place[i] + width])) for i in heads], "u8").view("i8")
-        count = np.where(first, n_pages[group], 0) if len(rank) else np.zeros(0, "i8")
-        host = table.column("host")[0].as_py() if table.num_rows else ""
-        return pa.table(
-            {
-                "host": pa.array([host] * len(rank), pa.string()),
-                "page": pa.array([pages[i] for i in stream], table.schema.field("page").type),
-                "place": pa.array(place, pa.int32()),
-                "digest": pa.array(digests[group] if len(rank) else digests, pa.int64()),
-                "pages": pa.array(count, pa.int64()),
-            }
+        schema = pa.schema(
+            [table.schema.field("key"), table.schema.field("url"), ("host", pa.string()), ("text", pa.string()), ("first", pa.bool_())]
+            + [("blocks", pa.list_(pa.string())), ("kinds", pa.binary()), ("digests", pa.list_(pa.int64())), ("contents", pa.int64())]
         )
+        alone = table.column("shards")[0].as_py() == 1
+        host = table.column("host")[0].as_py()
+        at: dict[str, int] = {}
+        row = [at.setdefault(h, len(at)) for h in table.column("html").to_pylist()]
+        parsed = [blocks_of(h) for h in at]
+        counted = np.zeros(len(at), bool)
+        np.logical_or.at(counted, row, table.column("counted").to_numpy())
+        streams = Streams([b for b, _ in parsed])
+        place, rank = sorted_starts(streams.tokens, streams.left, width)
+        change = np.r_[True, rank[1:] != rank[:-1]][: len(rank)]
+        group = np.cumsum(change) - 1
+        # distinct contents of each class, whose suffixes stand in the order of their streams
+        stream = streams.stream[place]
+        once = (change | np.r_[True, stream[1:] != stream[:-1]][: len(stream)]) & counted[stream]
+        n = np.bincount(group[once], minlength=int(change.sum()))
+        contents = int(counted.sum())
+        columns = {name: [None] * len(row) for name in schema.names[3:]}
+        if alone:
+            often, all_over = shares(n, contents)
+            repeated, site = streams.covered(place[often[group]], width), streams.covered(place[all_over[group]], width)
+            texts = [streams.text(i, k, repeated, site) for i, (_, k) in enumerate(parsed)]
+            columns["text"] = [texts[i] for i in row]
+        else:
+            new = set(np.flatnonzero(counted).tolist())
+            for i, k in enumerate(row):
+                columns["first"][i] = k in new
+                new.discard(k)
+            columns["blocks"] = [parsed[i][0] for i in row]
+            columns["kinds"] = [bytes(parsed[i][1]) for i in row]
+        out = pa.table([table.column("key"), table.column("url"), pa.array([host] * len(row), pa.string()), *(pa.array(columns[c], schema.field(c).type) for c in schema.names[3:])], schema=schema)
+        if not alone:
+            named = streams.digests(width)[place[np.flatnonzero(change)[n >= SHARE * max(1, contents)]]]
+            stats = [[None], [None], [host], [None], [None], [None], [None], [named.tolist()], [contents]]
+            out = pa.concat_tables([out, pa.table([pa.array(v, f.type) for v, f in zip(stats, schema)], schema=schema)])
+        return out
+
+    schema = f"key {kinds['key']}, url {kinds['url']}, host string, text string, first boolean, blocks array<string>, kinds binary, digests array<bigint>, contents bigint"
+    return bounded(pages).groupBy("host", "shard").applyInArrow(run, schema)
+
+
+def shares(n, contents):
+    """Whether starts in ``n`` of so many contents are repeats, and whether they are all over the site. Numbers or columns."""
+    return (n >= 2) & (n >= SHARE * contents), (n >= SITE) & (n >= SITE_SHARE * contents)
+
+
+def places_of(streams: Streams, digest, width: int, page: int, wanted):
+    """Places of a page whose starts have one of the digests ``wanted`` (an Arrow list, or null)."""
+    import numpy as np
+
+    if not wanted.is_valid or not len(wanted):
+        return np.zeros(0, "i8")
+    lo = int(streams.starts[page])
+    own = slice(lo, lo + int(streams.sizes[page]))
+    return lo + np.flatnonzero((streams.left[own] >= width) & np.isin(digest[own], wanted.values.to_numpy()))
+
+
+def site_digests(rows: DataFrame, width: int) -> DataFrame:
+    """(of, repeated, site): of hosts of several shards in ``indexed`` the digests of starts that reach the shares, counted over all
+    contents. A shard names at most a page's tokens over ``SHARE`` of them."""
+    stats = rows.filter("digests is not null")
+    named = written(stats.select("host", F.explode("digests").alias("d")).groupBy(F.col("host").alias("of")).agg(F.collect_set("d").alias("named")), "named")
+    each = rows.filter("first").select("host", "blocks").join(named, F.col("host") == F.col("of")).select("host", "blocks", "named")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            streams = Streams(b.column(1).to_pylist())
+            digest, found = streams.digests(width), {}
+            for i, (host, wanted) in enumerate(zip(b.column(0).to_pylist(), b.column(2))):
+                found.setdefault(host, []).append(np.unique(digest[places_of(streams, digest, width, i, wanted)]))
+            for host, digests in found.items():
+                values, n = np.unique(np.concatenate(digests), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(values), pa.string()), pa.array(values), pa.array(n.astype("i8"))], names=["host", "digest", "n"])
+
+    counts = bounded(each).mapInArrow(run, "host string, digest bigint, n bigint").groupBy("host", "digest").agg(F.sum("n").alias("n"))
+    contents = stats.groupBy(F.col("host").alias("h")).agg(F.sum("contents").alias("contents"))
+    often, all_over = shares(F.col("n"), F.col("contents"))
+    reached = counts.join(contents, F.col("host") == F.col("h")).filter(often)
+    return reached.groupBy(F.col("host").alias("of")).agg(F.collect_list("digest").alias("repeated"), F.collect_list(F.when(all_over, F.col("digest"))).alias("site"))
+
+
+def covered_texts(pages: DataFrame, width: int, kinds: dict[str, str]) -> DataFrame:
+    """(key, url, blocks, kinds, repeated, site) to (key, url, text)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            streams = Streams(b.column("blocks").to_pylist())
+            digest, covers = streams.digests(width), []
+            for name in ("repeated", "site"):
+                places = [places_of(streams, digest, width, i, wanted) for i, wanted in enumerate(b.column(name))]
+                covers.append(streams.covered(np.concatenate(places), width))
+            texts = [streams.text(i, k, *covers) for i, k in enumerate(b.column("kinds").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"])
+
+    return bounded(pages).mapInArrow(run, f"key {kinds['key']}, url {kinds['url']}, text string")
+
 
-    starts = written(dealt.groupBy("host", "shard").applyInArrow(run, f"host string, page {kind}, place int, digest bigint, pages bigint"), "starts")
-    contents = loose.groupBy(F.col("host").alias("of")).agg(F.countDistinct("page").alias("contents"))
-    several = starts.groupBy(F.col("host").alias("h"), F.col("digest").alias("d")).agg(F.sum("pages").alias("n"))
-    several = several.join(contents, F.col("h") == F.col("of")).filter((F.col("n") > 1) & (F.col("n") >= SHARE * F.col("contents"))).select("h", "d")
-    return starts.join(several, (F.col("host") == F.col("h")) & (F.col("digest") == F.col("d")), "left_semi").groupBy("page").agg(F.collect_list("place").alias("places"))
-
-
-def unique_runs(blocks: list[str], places, width: int = REPEAT) -> str:
-    """The text of ``blocks`` without the tokens that starts at ``places`` cover."""
-    covered: set[int] = set()
-    for p in places if places is not None else ():
-        covered.update(range(p, p + width))
-    out, n = [], 0
-    for b in blocks:
-        tokens = b.split(" ")
-        kept = [t for i, t in enumerate(tokens, n) if i not in covered]
-        n += len(tokens)
-        if kept:
-            out.append(" ".join(kept))
-    return "\n".join(out)
-
-
-def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", *, width: int = REPEAT, shard_tokens: int = SHARD) -> DataFrame:
+def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", *, width: int = REPEAT, shard: int = SHARD, copies: int = COPIES) -> DataFrame:
     """``key url text`` of each page."""
-    parsed = written(parse_pages(pages, key, url, html), "parsed")
-    without = parsed.filter(F.size("loose") > 0)
-    # a page is its host and content
-    without = without.withColumn("page", F.sha2(F.concat_ws("\n", "host", F.concat_ws(" ", "loose")), 256))
-    marked = without.join(repeated_places(without.select("page", "host", "loose"), width, shard_tokens), "page", "left")
-
-    @F.pandas_udf("string")
-    def runs(loose: pd.Series, places: pd.Series) -> pd.Series:
-        return pd.Series([unique_runs(list(b), p, width) for b, p in zip(loose, places)], dtype="object")
-
-    cleaned = marked.select("key", "url", runs("loose", "places").alias("text"))
-    kept = parsed.filter(F.size("loose") == 0).select("key", "url", "text").unionByName(cleaned)
-    return kept.select(F.col("key").alias(key), F.col("url").alias(url), "text")
+    named = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
+    kinds = dict(named.dtypes)
+    rows = written(indexed(dealt(named, shard, copies), width, kinds), "pages")
+    texts = rows.filter("text is not null").select("key", "url", "text")
+    several = rows.filter("blocks is not null")
+    sites = written(site_digests(rows, width), "sites")
+    more = several.join(sites, F.col("host") == F.col("of"), "left").select("key", "url", "blocks", "kinds", "repeated", "site")
+    out = texts.unionByName(covered_texts(more, width, kinds))
+    return out.select(F.col("key").alias(key), F.col("url").alias(url), "text")
 
 
 def op9_main_text(spark, sf_dir: str) -> DataFrame:
