@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from labelkite.llm import chunk_dedup, encoding, line_rules, ordinal, packing, sketch, token_file, warc
+from labelkite.llm import chunk_dedup, encoding, line_rules, ordinal, packing, simhash, sketch, token_file, warc
 from labelkite.llm.common import scratch_path, written
 
 WORDS = "the of and to in house river, Mountain. seven! éclair façade 12 x".split()
@@ -34,7 +34,6 @@ def docs(spark):
 
 def whole(name, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return [np.array(t.encode(x or "", add_special_tokens=False).ids + [end], "<u4") for x in texts()]
 
 
@@ -48,6 +47,14 @@ def test_stretches_give_the_ids_of_whole_texts(name):
     assert e.encode(fuzz) == e.library(fuzz)  # from the memo
 
 
+def test_strings_of_special_tokens_are_these_tokens():
+    for name, one in (("byte_bpe_50k.json", 50256), ("word_bpe_49k.json", 49407)):
+        t = Tokenizer.from_file(public_tokenizers.path(name))
+        want = t.encode("a <|endoftext|> b", add_special_tokens=False).ids
+        got = encoding.Encoder(name).encode(["a <|endoftext|> b"])[0]
+        assert np.frombuffer(got, "<u4").tolist() == want and one in want
+
+
 def test_packing(spark, docs):
     got = packing.pack_documents(docs).collect()
     ids = whole(packing.VOCABULARY, packing.END)
@@ -136,6 +143,53 @@ def test_next_document(spark, buckets):
     assert {k: v if v is not None else by_id[30] for k, v in got.items()} == {k: by_id[k - 1] if k else by_id[30] for k in by_id}
 
 
+def brute_edit(rows):
+    """(n_chars, sha256 of the edited text, exact likeness to it and to the next text) of each id."""
+    order = sorted(rows, key=lambda r: -r[0])
+    shingles = lambda t: {" ".join(w[i : i + 5]) for w in [re.findall(r"[^\x20\x09-\x0D]+", t)] for i in range(max(1, len(w) - 4)) if w}
+    like = lambda a, b: 1.0 if not a and not b else len(a & b) / len(a | b)
+    out = {}
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        t, after = t or "", after or ""
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), like(shingles(t), shingles(edited)), like(shingles(t), shingles(after)))
+    return out
+
+
+def test_all_of_op4_against_brute_force(spark, tmp_path):
+    """Texts of fewer shingles than a sketch has, so that its likeness is exact."""
+    rnd = random.Random(6)
+    rows = [(i * 7 % 61, rnd.choice([None, "", "é😀" * 9, "same words here again and again in it"])) for i in range(12)]
+    rows += [(100 + i, " ".join(rnd.choice(WORDS) for _ in range(rnd.choice([2, 30, 90])))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in sketch.op4_sketches(spark, str(tmp_path)).collect()}
+    want = brute_edit(rows)
+    assert set(got) == set(want)
+    for i, (n, sha, edited, after) in want.items():
+        assert (got[i].n_chars, got[i].edited_sha256) == (n, sha)
+        assert got[i].near_edited == pytest.approx(edited) and got[i].near_next == pytest.approx(after)
+    equal = {r.fingerprint for i, r in got.items() if dict(rows)[i] == "same words here again and again in it"}
+    assert len(equal) <= 1
+
+
+@pytest.mark.parametrize("rows", [[(None, "b"), (None, "a"), (None, "c")], [], [(5, "x"), (5, "y"), (None, "z"), (7, "q")]])
+def test_next_document_of_null_and_equal_ids(spark, rows):
+    sent, order = sketch.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", 4)
+    got = [tuple(r) for r in sent.withColumn("next", F.lead("text").over(order)).filter("copied = 0").select("doc_id", "text", "next").collect()]
+    first = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
+    assert sorted(got, key=repr) == sorted([(*r, first[(i + 1) % len(first)][1]) for i, r in enumerate(first)], key=repr)
+
+
+def test_sketches_of_parts_merge(spark):
+    rnd = random.Random(8)
+    rows = [(i % 3, " ".join(str(rnd.randrange(3000)) for _ in range(200))) for i in range(40)]
+    df = spark.createDataFrame(rows, "part int, text string")
+    got = {r.part: r.sketch for r in sketch.merged_by(df.select("part", sketch.sketch(F.col("text")).alias("sketch")), ["part"]).collect()}
+    whole_parts = df.groupBy("part").agg(F.flatten(F.collect_list(sketch.shingle_hashes(F.col("text")))).alias("h")).select("part", sketch.bottom(F.col("h")).alias("s"))
+    assert got == {r.part: r.s for r in whole_parts.collect()}
+
+
 def brute_rules(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
@@ -161,6 +215,43 @@ def test_line_rules(spark):
     assert line_rules.judge(df.limit(0)).count() == 0
 
 
+def test_line_reasons(spark):
+    text = "Home\nAbout us\n\nContact\nShop\nCart\nA real sentence is here.\nThe\nBUY NOW AND SAVE MORE THAN EVER BEFORE.\nWe use cookies, see our privacy policy."
+    long = "A long line of text that says very much and somewhere in it the privacy policy is named, but it goes on and on with many more words to be read."
+    df = spark.createDataFrame([(text,), (long + " " + long,), ("a\nb\nc\nd\n",)], "t string")
+    got = [r.r for r in df.select(line_rules.line_reasons(F.col("t")).alias("r")).collect()]
+    assert got[0] == ["menu", "menu", None, "menu", "menu", "menu", None, "fragment", "capitals", "boilerplate"]
+    assert got[1] == [None] and got[2] == ["fragment"] * 4 + [None]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    """Names that the operators use themselves."""
+    names = "_hash _key _mark _m _numbers fp fp0 _row _text node root mark".split()
+    kind = "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names)
+    text = "A plain sentence about the river and the house, with words enough to stay for long. " * 6
+    rows = [(i, text + f"It ends by number {i // 2}.", *names) for i in range(6)]
+    docs = written(spark.createDataFrame(rows, kind), "names")
+    for out in (simhash.near_duplicates(docs), chunk_dedup.dedup(docs).drop("words_cut"), line_rules.clean(docs, max_repeat_percent=100), ordinal.score(docs, None).select(*docs.columns)):
+        got = out.collect()
+        assert got and out.columns == docs.columns and all(tuple(r)[2:] == tuple(names) for r in got)
+    assert line_rules.judge(docs).first()["_m"] == "_m"
+    prints = simhash.fingerprints(docs)
+    assert {r.fp for r in simhash.grouped(prints).collect()} == {"fp"}
+
+
+def test_warc_of_other_writers():
+    """Folded headers, no space behind the colon, foreign ids, no HTTP head, no digest, false magic, records over ranges."""
+    body = b"payload" * 50_000
+    odd = b"WARC/1.0\r\nWARC-Type:resource\r\nWARC-Record-ID: <urn:x:1>\r\nX-Long: a\r\n b\r\nnot a header\r\nContent-Length:%d\r\n\r\n" % len(body)
+    data = warc.GZIP_MAGIC + b"no" + __import__("gzip").compress(odd + body + b"\r\n\r\n") + warc.page_record(7, None, b"x", None, False) + warc.GZIP_MAGIC
+    read_at = lambda n, place: data[place : place + n]
+    for size in (50, 1 << 20):
+        found = [warc.parse(x) for lo in range(0, len(data), size) for x in warc.members_in(read_at, lo, min(len(data), lo + size), chunk=64)]
+        assert [x["warc-type"] for x in found] == ["resource", "response"] and found[0]["x-long"] == "a b"
+        assert warc.page_of(found[0]["warc-record-id"]) is None and warc.page_of(found[1]["warc-record-id"]) == 7
+        assert warc.payload_of(found[0]) == (body, len(body), warc.digest(body)) and warc.payload_of(found[1])[0] == b"x"
+
+
 def test_warc_round_trip(spark, monkeypatch):
     rnd = random.Random(9)
     pages = [(1, "http://a/ü x", "<p>é</p>"), (2, None, None), (3, "u", ""), (9, "u", "<p>é</p>"), (9, "u", "<p>é</p>"), (5, "u", "<p>é</p>"), (-4, "u", "big" * 200_000), (None, "n", "own")]
@@ -216,6 +307,66 @@ def test_chunks_move_with_the_text():
     assert len(cut(text) - cut(b"some words more " + text[:5000] + b" put in here " + text[5000:])) <= 6
 
 
+def test_sample_of_the_classifier_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ordinal, "fit", lambda rows: seen.extend(rows))
+    docs = spark.range(3000).select((F.col("id") % 2).alias("doc_id"), F.lit("some words here").alias("text"))
+    ordinal.train(docs, spark.createDataFrame([(0, 0), (1, 2)], "doc_id bigint, grade int"), sample=2)
+    assert len(seen) == 2
+
+
+def test_gradient_of_the_classifier():
+    """At the fitted weights the penalised likelihood, worked out plainly, can't be raised much along any direction tried."""
+    rnd = np.random.default_rng(3)
+    rows = [(int(g), rnd.choice(np.arange(g * 10, g * 10 + 25), 8, replace=False).astype("i4"), np.ones(8, "f4")) for g in rnd.integers(0, 3, 300)]
+    w, theta = ordinal.fit(rows, steps=400)
+    y = np.array([r[0] for r in rows])
+    weight = (1 / np.bincount(y) ** 0.5)[y]
+    weight /= weight.sum()
+
+    def loss(w, theta):
+        s = np.array([w[p].sum() for _, p, _ in rows])
+        cut = np.r_[-np.inf, theta, np.inf]
+        p = 1 / (1 + np.exp(-(cut[y + 1] - s))) - 1 / (1 + np.exp(-(cut[y] - s)))
+        return -(weight * np.log(p)).sum() + ordinal.PENALTY * 1e-2 / 2 * (w * w).sum()
+
+    best = loss(w.astype("f8"), theta)
+    used = np.unique(np.concatenate([r[1] for r in rows]))
+    for k in used:
+        for step in (-0.05, 0.05):
+            other = w.astype("f8").copy()
+            other[k] += step
+            assert loss(other, theta) > best - 2e-3
+    for k in (0, 1):
+        for step in (-0.05, 0.05):
+            other = theta.copy()
+            other[k] += step
+            assert loss(w.astype("f8"), other) > best - 2e-3
+
+
+def brute_repeats(texts):
+    """Chunks met before, by a dictionary of their bytes."""
+    seen, out = set(), {}
+    for i, t in sorted(texts.items()):
+        data = chunk_dedup.clean_bytes(t)
+        begin, end, *_ = chunk_dedup.chunk_ends([data])
+        for n, (s, e) in enumerate(zip(begin, end)):
+            if data[s:e] in seen:
+                out.setdefault(i, set()).add(n)
+            seen.add(data[s:e])
+    return out
+
+
+def test_repeats_against_brute_force(spark):
+    rnd = random.Random(14)
+    parts = [" ".join(f"w{rnd.randrange(400)}" for _ in range(rnd.choice([5, 40, 80]))) for _ in range(12)]
+    rows = [(i, " ".join(rnd.choice(parts) for _ in range(4)) if i % 5 else None) for i in range(60)]
+    docs = written(spark.createDataFrame(rows, "doc_id bigint, text string"), "t")
+    found = written(chunk_dedup.chunks(docs, "doc_id", "text"), "chunks")
+    got = {r.key: set(r.numbers) for r in chunk_dedup.repeats(found).collect()}
+    assert got == brute_repeats(dict(rows))
+
+
 def test_quality_classifier(spark):
     """Held-out accuracy over three kinds of text, and what happens without labels."""
     rnd = random.Random(13)
