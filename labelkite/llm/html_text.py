@@ -40,7 +40,7 @@ SHARE = 0.1
 SITE_SHARE = 0.5
 SITE = 5
 #: Characters of html in a shard of a host, about.
-SHARD = 4_000_000
+SHARD = 2_000_000
 #: Rows of one content beyond which its copies are dealt over the shards of their host.
 COPIES = 1000
 LOOSE, ARTICLE, FURNITURE = 0, 1, 2
@@ -251,8 +251,22 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), HOST, 1))
 
 
+def packed(blocks: list[str], kinds: list[int]) -> bytes:
+    """Blocks with their kinds, compressed: a line for each, as blocks have no line breaks."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress("\n".join(f"{k}{b}" for k, b in zip(kinds, blocks)).encode("utf-8", "surrogatepass"))
+
+
+def unpacked(blob: bytes) -> tuple[list[str], list[int]]:
+    import zstandard
+
+    lines = zstandard.ZstdDecompressor().decompress(blob).decode("utf-8", "surrogatepass").split("\n")
+    return [x[1:] for x in lines if x], [int(x[0]) for x in lines if x]
+
+
 def dealt(pages: DataFrame, shard: int, copies: int) -> DataFrame:
-    """(key, url, html) with ``host shards shard counted``: the shard of its host's where a page's suffixes are sorted, and whether it counts
+    """(key, url, html) with ``host shards shard counted content``: the shard of its host's where a page's suffixes are sorted, and whether it counts
     there. Equal contents are in one shard, but for those with many copies, which count in just one."""
     named = pages.withColumn("host", host_of(F.col("url")))
     content = F.xxhash64("host", "html")
@@ -264,13 +278,27 @@ def dealt(pages: DataFrame, shard: int, copies: int) -> DataFrame:
     home = F.pmod("content", "shards").cast("int")
     rows = rows.withColumn("shards", F.coalesce("of", F.lit(1)))
     spread = F.when(F.col("hot").isNull(), home).otherwise(F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
-    return rows.select("key", "url", "html", "host", "shards", spread.alias("shard"), (spread == home).alias("counted"))
+    return rows.select("key", "url", "html", "host", "shards", spread.alias("shard"), (spread == home).alias("counted"), "content")
+
+
+def parsed(pages: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``dealt`` with ``packed`` blocks in place of html, so that markup isn't shuffled."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            blobs = pa.array([packed(*blocks_of(h)) for h in b.column("html").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [blobs], names=[*names, "blob"])
+
+    names = ["key", "url", "host", "shards", "shard", "counted", "content"]
+    return bounded(pages).mapInArrow(run, f"key {kinds['key']}, url {kinds['url']}, host string, shards int, shard int, counted boolean, content bigint, blob binary")
 
 
 def indexed(pages: DataFrame, width: int, kinds: dict[str, str]) -> DataFrame:
-    """Shards of ``dealt`` as rows ``key url host text first blocks kinds digests contents``: the text of pages of hosts of one shard; of
-    others the blocks, with a mark for the first row of each content, and in one row (without blocks) the shard's starts that
-    reach the share."""
+    """Shards of ``parsed`` as rows ``key url host text first blob digests contents``: the text of pages of hosts of one shard; of others the
+    blocks, with a mark for the first row of each content, and in one row (without blocks) the shard's starts that reach the
+    share."""
 
     def run(table):
         import numpy as np
@@ -278,16 +306,17 @@ def indexed(pages: DataFrame, width: int, kinds: dict[str, str]) -> DataFrame:
 
         schema = pa.schema(
             [table.schema.field("key"), table.schema.field("url"), ("host", pa.string()), ("text", pa.string()), ("first", pa.bool_())]
-            + [("blocks", pa.list_(pa.string())), ("kinds", pa.binary()), ("digests", pa.list_(pa.int64())), ("contents", pa.int64())]
+            + [("blob", pa.binary()), ("digests", pa.list_(pa.int64())), ("contents", pa.int64())]
         )
         alone = table.column("shards")[0].as_py() == 1
         host = table.column("host")[0].as_py()
-        at: dict[str, int] = {}
-        row = [at.setdefault(h, len(at)) for h in table.column("html").to_pylist()]
-        parsed = [blocks_of(h) for h in at]
+        at: dict[int, int] = {}
+        row = [at.setdefault(c, len(at)) for c in table.column("content").to_pylist()]
+        blobs = dict(zip(row, table.column("blob").to_pylist()))
+        pages = [unpacked(blobs[i]) for i in range(len(at))]
         counted = np.zeros(len(at), bool)
         np.logical_or.at(counted, row, table.column("counted").to_numpy())
-        streams = Streams([b for b, _ in parsed])
+        streams = Streams([b for b, _ in pages])
         place, rank = sorted_starts(streams.tokens, streams.left, width)
         change = np.r_[True, rank[1:] != rank[:-1]][: len(rank)]
         group = np.cumsum(change) - 1
@@ -300,23 +329,22 @@ def indexed(pages: DataFrame, width: int, kinds: dict[str, str]) -> DataFrame:
         if alone:
             often, all_over = shares(n, contents)
             repeated, site = streams.covered(place[often[group]], width), streams.covered(place[all_over[group]], width)
-            texts = [streams.text(i, k, repeated, site) for i, (_, k) in enumerate(parsed)]
+            texts = [streams.text(i, k, repeated, site) for i, (_, k) in enumerate(pages)]
             columns["text"] = [texts[i] for i in row]
         else:
             new = set(np.flatnonzero(counted).tolist())
             for i, k in enumerate(row):
                 columns["first"][i] = k in new
                 new.discard(k)
-            columns["blocks"] = [parsed[i][0] for i in row]
-            columns["kinds"] = [bytes(parsed[i][1]) for i in row]
+            columns["blob"] = [blobs[i] for i in row]
         out = pa.table([table.column("key"), table.column("url"), pa.array([host] * len(row), pa.string()), *(pa.array(columns[c], schema.field(c).type) for c in schema.names[3:])], schema=schema)
         if not alone:
             named = streams.digests(width)[place[np.flatnonzero(change)[n >= SHARE * max(1, contents)]]]
-            stats = [[None], [None], [host], [None], [None], [None], [None], [named.tolist()], [contents]]
+            stats = [[None], [None], [host], [None], [None], [None], [named.tolist()], [contents]]
             out = pa.concat_tables([out, pa.table([pa.array(v, f.type) for v, f in zip(stats, schema)], schema=schema)])
         return out
 
-    schema = f"key {kinds['key']}, url {kinds['url']}, host string, text string, first boolean, blocks array<string>, kinds binary, digests array<bigint>, contents bigint"
+    schema = f"key {kinds['key']}, url {kinds['url']}, host string, text string, first boolean, blob binary, digests array<bigint>, contents bigint"
     return bounded(pages).groupBy("host", "shard").applyInArrow(run, schema)
 
 
@@ -341,14 +369,14 @@ def site_digests(rows: DataFrame, width: int) -> DataFrame:
     contents. A shard names at most a page's tokens over ``SHARE`` of them."""
     stats = rows.filter("digests is not null")
     named = written(stats.select("host", F.explode("digests").alias("d")).groupBy(F.col("host").alias("of")).agg(F.collect_set("d").alias("named")), "named")
-    each = rows.filter("first").select("host", "blocks").join(named, F.col("host") == F.col("of")).select("host", "blocks", "named")
+    each = rows.filter("first").select("host", "blob").join(named, F.col("host") == F.col("of")).select("host", "blob", "named")
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            streams = Streams(b.column(1).to_pylist())
+            streams = Streams([unpacked(x)[0] for x in b.column(1).to_pylist()])
             digest, found = streams.digests(width), {}
             for i, (host, wanted) in enumerate(zip(b.column(0).to_pylist(), b.column(2))):
                 found.setdefault(host, []).append(np.unique(digest[places_of(streams, digest, width, i, wanted)]))
@@ -364,19 +392,20 @@ def site_digests(rows: DataFrame, width: int) -> DataFrame:
 
 
 def covered_texts(pages: DataFrame, width: int, kinds: dict[str, str]) -> DataFrame:
-    """(key, url, blocks, kinds, repeated, site) to (key, url, text)."""
+    """(key, url, blob, repeated, site) to (key, url, text)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for b in batches:
-            streams = Streams(b.column("blocks").to_pylist())
+            pages = [unpacked(x) for x in b.column("blob").to_pylist()]
+            streams = Streams([blocks for blocks, _ in pages])
             digest, covers = streams.digests(width), []
             for name in ("repeated", "site"):
                 places = [places_of(streams, digest, width, i, wanted) for i, wanted in enumerate(b.column(name))]
                 covers.append(streams.covered(np.concatenate(places), width))
-            texts = [streams.text(i, k, *covers) for i, k in enumerate(b.column("kinds").to_pylist())]
+            texts = [streams.text(i, k, *covers) for i, (_, k) in enumerate(pages)]
             yield pa.RecordBatch.from_arrays([b.column("key"), b.column("url"), pa.array(texts, pa.string())], names=["key", "url", "text"])
 
     return bounded(pages).mapInArrow(run, f"key {kinds['key']}, url {kinds['url']}, text string")
@@ -386,11 +415,11 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     """``key url text`` of each page."""
     named = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     kinds = dict(named.dtypes)
-    rows = written(indexed(dealt(named, shard, copies), width, kinds), "pages")
+    rows = written(indexed(parsed(dealt(named, shard, copies), kinds), width, kinds), "pages")
     texts = rows.filter("text is not null").select("key", "url", "text")
-    several = rows.filter("blocks is not null")
+    several = rows.filter("blob is not null")
     sites = written(site_digests(rows, width), "sites")
-    more = several.join(sites, F.col("host") == F.col("of"), "left").select("key", "url", "blocks", "kinds", "repeated", "site")
+    more = several.join(sites, F.col("host") == F.col("of"), "left").select("key", "url", "blob", "repeated", "site")
     out = texts.unionByName(covered_texts(more, width, kinds))
     return out.select(F.col("key").alias(key), F.col("url").alias(url), "text")
 
