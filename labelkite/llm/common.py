@@ -81,7 +81,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor costs a reread, and Python work above it isn't run twice.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ TILE = 2048
 #: Own rows up to which a group is compared together with others.
 SMALL = 64
 #: Comparisons held at once.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 def hashed(text: str | None, width: int, seed: int, distinct: bool = False):
@@ -362,8 +362,8 @@ def least(hashes):
 
 
 def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple[int, ...], k: int) -> DataFrame:
-    """For each document ``key mark node fp0 fp1 ... shape low high lanes parts``: two hashes of the text, fingerprints of its distinct
-    words, one of its distinct shingles, these in ``least``, and the ``k`` smallest 32-bit hashes of them."""
+    """For each document ``key mark node fp0 fp1 ... low high lanes parts``: two hashes of the text, fingerprints of its distinct words,
+    its distinct shingles in ``least``, and the ``k`` smallest 32-bit hashes of them."""
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
@@ -373,7 +373,7 @@ def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple
 
         for b in batches:
             texts = b.column(1).to_pylist()
-            node, prints, shape, bits, lanes, parts = [], [], [], [], [], []
+            node, prints, bits, lanes, parts = [], [], [], [], []
             for t in texts:
                 shingles = np.unique(hashed(t, width, 42))
                 keys, of = least(shingles)
@@ -381,15 +381,14 @@ def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple
                 bits.append(of)
                 node.append(xxh3_64_intdigest((t or "").encode()))
                 prints.append([majority(hashed(t, 1, s, True)) for s in seeds])
-                shape.append(majority(shingles))
                 parts.append(np.unique(shingles.astype("u4").view("i4"))[:k])
             prints = np.array(prints, "u8").reshape(-1, len(seeds)).view("i8")
             bits = np.array(bits, "u8").reshape(-1, 2).view("i8")
-            columns = [b.column(0), b.column(2), pa.array(np.array(node, "u8").view("i8")), *(pa.array(prints[:, i].copy()) for i in range(len(seeds))), pa.array(np.array(shape, "u8").view("i8"))]
+            columns = [b.column(0), b.column(2), pa.array(np.array(node, "u8").view("i8")), *(pa.array(prints[:, i].copy()) for i in range(len(seeds)))]
             columns += [pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), pa.array(lanes, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "mark", "node", *(f"fp{i}" for i in range(len(seeds))), "shape", "low", "high", "lanes", "parts"])
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "mark", "node", *(f"fp{i}" for i in range(len(seeds))), "low", "high", "lanes", "parts"])
 
-    schema = f"key {kind}, mark int, node bigint, " + "".join(f"fp{i} bigint, " for i in range(len(seeds))) + "shape bigint, low bigint, high bigint, lanes array<bigint>, parts array<int>"
+    schema = f"key {kind}, mark int, node bigint, " + "".join(f"fp{i} bigint, " for i in range(len(seeds))) + "low bigint, high bigint, lanes array<bigint>, parts array<int>"
     return bounded(docs.select(key, text, F.hash(text))).mapInArrow(run, schema)
 
 
@@ -402,45 +401,41 @@ def in_lanes(values: DataFrame) -> DataFrame:
     return shared.join(values.select(*rest), "node").select("anchor", F.explode(F.array(F.lit(0), F.lit(1))).alias("away"), *rest)
 
 
-def apart_by(columns, x, y, most: int):
-    """How many bits rows differ in, over shapes and (if there) least bits, and whether they are close enough in each."""
+def apart_by(low, high, x, y):
+    """In how many of their least bits rows differ."""
     import numpy as np
 
-    far = np.bitwise_count(columns[0][x] ^ columns[0][y]).astype("i4")
-    near = far <= most
-    if len(columns) > 1:
-        more = np.bitwise_count(columns[1][x] ^ columns[1][y]).astype("i4") + np.bitwise_count(columns[2][x] ^ columns[2][y])
-        far, near = far + more, near & (more <= LEAST_BITS)
-    return far, near
+    return np.bitwise_count(low[x] ^ low[y]).astype("i2") + np.bitwise_count(high[x] ^ high[y])
 
 
-def candidates(rows: DataFrame, shape_bits: int) -> DataFrame:
-    """Pairs (a, b) of ``node`` that meet in rows (anchor, away, node, shape) with shapes at most ``shape_bits`` apart, and
-    where rows have least bits (low, high), also in these at most ``LEAST_BITS``.
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``node`` that meet in rows (anchor, away, node, low, high) and differ in at most ``LEAST_BITS`` of their least bits.
 
-    Of the pairs that meet in a block only a forest of those with the closest shapes goes on, so pairs grow with the rows
-    and not with the square of a group. A link of the forest can fail where another one would have passed: see ``between``.
+    Of the pairs that meet in a block only a forest of the closest ones goes on, so pairs grow with the rows and not with the
+    square of a group. A link of the forest can fail where another one would have passed: see ``between``.
     """
 
     def compare(columns, met):
         import numpy as np
 
-        anchor, node, prints = columns[0], columns[3], [c.view("u8") for c in columns[4:]]
+        anchor, node, low, high = columns[0], columns[3], columns[4].view("u8"), columns[5].view("u8")
         left, right = [], []
         for kind, x, y in met:
             if kind == "pairs":
                 use = np.flatnonzero(node[x] != node[y])
                 x, y = x[use], y[use]
             else:
-                i, j = np.nonzero(np.bitwise_count(prints[0][slice(*x), None] ^ prints[0][None, slice(*y)]) <= shape_bits)
+                i, j = np.nonzero(np.bitwise_count(low[slice(*x), None] ^ low[None, slice(*y)]) <= LEAST_BITS)
                 x, y = x[0] + i, y[0] + j
                 use = node[x] != node[y]
                 x, y = x[use], y[use]
-            far, near = apart_by(prints, x, y, shape_bits)
+            far = apart_by(low, high, x, y)
+            near = far <= LEAST_BITS
             x, y, far = x[near], y[near], far[near]
             # a node's rows at one anchor are one vertex
-            _, vertex = np.unique(np.stack([anchor[np.concatenate([x, y])], node[np.concatenate([x, y])]]), axis=1, return_inverse=True)
-            vertex = vertex.ravel()
+            both = np.concatenate([x, y])
+            with np.errstate(over="ignore"):
+                _, vertex = np.unique(anchor[both] * np.int64(0x9E3779B97F4A7C1) ^ node[both], return_inverse=True)
             best = lightest_forest(vertex[: len(x)], vertex[len(x) :], far)
             left.append(node[x[best]])
             right.append(node[y[best]])
@@ -449,26 +444,25 @@ def candidates(rows: DataFrame, shape_bits: int) -> DataFrame:
         pair = np.unique(np.sort(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=1), axis=0)
         return pair[:, 0].copy(), pair[:, 1].copy()
 
-    prints = [c for c in ("shape", "low", "high") if c in rows.columns]
-    return by_group(dealt(rows.select("anchor", "away", "node", *prints), "node"), compare, "a bigint, b bigint").distinct()
+    return by_group(dealt(rows.select("anchor", "away", "node", "low", "high"), "node"), compare, "a bigint, b bigint").distinct()
 
 
-def between(rows: DataFrame, shape_bits: int) -> DataFrame:
-    """All pairs (a, b) of ``node`` that meet in rows (anchor, away, node, tree, shape, low, high), as close as ``candidates`` and in
-    different trees."""
+def between(rows: DataFrame) -> DataFrame:
+    """All pairs (a, b) of ``node`` that meet in rows (anchor, away, node, tree, low, high), as close as ``candidates`` and in different
+    trees."""
 
     def compare(columns, met):
         import numpy as np
 
-        node, tree, prints, found = columns[3], columns[4], [c.view("u8") for c in columns[5:]], []
+        node, tree, low, high, found = columns[3], columns[4], columns[5].view("u8"), columns[6].view("u8"), []
         for kind, x, y in met:
             if kind == "pairs":
                 use = np.flatnonzero(tree[x] != tree[y])
                 x, y = x[use], y[use]
             else:
-                i, j = np.nonzero((np.bitwise_count(prints[0][slice(*x), None] ^ prints[0][None, slice(*y)]) <= shape_bits) & (tree[slice(*x), None] != tree[None, slice(*y)]))
+                i, j = np.nonzero((np.bitwise_count(low[slice(*x), None] ^ low[None, slice(*y)]) <= LEAST_BITS) & (tree[slice(*x), None] != tree[None, slice(*y)]))
                 x, y = x[0] + i, y[0] + j
-            near = apart_by(prints, x, y, shape_bits)[1]
+            near = apart_by(low, high, x, y) <= LEAST_BITS
             x, y = x[near], y[near]
             pair = np.sort(np.stack([node[x], node[y]], 1), axis=1)
             found.append(np.unique(pair, axis=0) if len(pair) else pair)
@@ -477,7 +471,7 @@ def between(rows: DataFrame, shape_bits: int) -> DataFrame:
         pair = np.unique(np.concatenate(found), axis=0)
         return pair[:, 0].copy(), pair[:, 1].copy()
 
-    return by_group(dealt(rows.select("anchor", "away", "node", "tree", "shape", "low", "high"), "node"), compare, "a bigint, b bigint").distinct()
+    return by_group(dealt(rows.select("anchor", "away", "node", "tree", "low", "high"), "node"), compare, "a bigint, b bigint").distinct()
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -501,11 +495,11 @@ def united(tables) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44), shape_bits: int = 22, k: int = 512) -> DataFrame:
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *, width: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42,), k: int = 512) -> DataFrame:
     """The documents that stay: of each group that links of at least ``similarity`` join, the one with the smallest key.
 
     At 64 bits a similarity of 0.8 of five-word shingles is some ten bits away, too far for a covering. The fingerprints of
-    a text's distinct words are much closer (mostly within three bits), so these choose the pairs, for each seed; and each
+    a text's distinct words are much closer (mostly within three bits), so these choose the pairs; and each
     pair is then compared by its shingles: exactly where each has fewer than ``k`` distinct ones; beyond, the ``k`` smallest
     hashes settle what they put ``CLEAR`` away from ``similarity``, and the others are compared by all their shingles.
     Copies that are cut, extended or changed in one place have other words, so lanes of the shingles' least values choose pairs
@@ -522,7 +516,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
 
     seen = written(texts_seen(docs, key, text, width=width, seeds=seeds, k=k), "seen")
     columns = [f"fp{i}" for i in range(len(seeds))]
-    nodes = written(seen.groupBy("node").agg(*(F.min(c).alias(c) for c in [*columns, "shape", "low", "high"]), F.first("lanes").alias("lanes")), "nodes")
+    nodes = written(seen.groupBy("node").agg(*(F.min(c).alias(c) for c in [*columns, "low", "high"]), F.first("lanes").alias("lanes")), "nodes")
 
     def alike(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
@@ -546,17 +540,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         return out
 
     def met(of: DataFrame, *more: str) -> list[DataFrame]:
-        near = [anchored(of.select(F.col(c).alias("fp"), "node", "shape", *more)).drop("fp") for c in columns]
-        return [*near, in_lanes(of.select("node", "lanes", *{"shape": 0, "low": 0, "high": 0, **dict.fromkeys(more)}))]
+        near = [anchored(of.select(F.col(c).alias("fp"), "node", *more, "low", "high")).drop("fp") for c in columns]
+        return [*near, in_lanes(of.select("node", "lanes", *more, "low", "high"))]
 
-    pairs = written(united(candidates(rows, shape_bits) for rows in met(nodes)).distinct(), "pairs")
+    pairs = written(united(candidates(rows) for rows in met(nodes)).distinct(), "pairs")
     first = alike(pairs)
     trees = written(components(first), "trees").select(F.col("node").alias("n"), F.col("root").alias("tree"))
     # a node that met any other is in the forest
     some = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
     apart = nodes.join(some, F.col("node") == F.col("m"), "left_semi").join(trees, F.col("node") == F.col("n"), "left").withColumn("tree", F.coalesce("tree", "node")).drop("n")
     apart = written(apart, "apart")
-    rest = written(united(between(rows, shape_bits) for rows in met(apart, "tree", "low", "high")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
+    rest = written(united(between(rows) for rows in met(apart, "tree")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     second = alike(rest)
     linked = written(first.unionByName(second), "linked")
     dropped(pairs, rest, apart, trees, first, second)
