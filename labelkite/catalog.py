@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from labelkite.plans import fields, labels, scans
+from labelkite.plans import fields, labels, lookups, scans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (scans, labels, fields):
+for _part in (scans, labels, fields, lookups):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

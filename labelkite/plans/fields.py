@@ -181,8 +181,11 @@ def field_accuracy(spark, d):
 _HITS = " + ".join("CASE WHEN regexp_matches(t, '(^|[^a-z0-9]){}([^a-z0-9]|$)') THEN 1 ELSE 0 END".format("{}") for _ in (0,))
 
 
+SPACED = r"[\x20\x09-\x0D]*"
+
+
 def _category_sql() -> str:
-    scores = ", ".join(f"{' + '.join(_HITS.format(w) for w in words)} AS c{i}" for i, words in enumerate(extract.CATEGORIES.values()))
+    scores = ", ".join(f"{' + '.join(_HITS.format(w.replace(' ', SPACED)) for w in words)} AS c{i}" for i, words in enumerate(extract.CATEGORIES.values()))
     names = ", ".join(f"{{'n': c{i}, 'o': {-i}, 'c': '{c}'}}" for i, c in enumerate(extract.CATEGORIES))
     return f"""SELECT doc_id, CASE WHEN top = 0 THEN 'OTHER' ELSE r[1].c END AS category, CASE WHEN top = 0 THEN 'UNCERTAIN' WHEN second >= greatest(1, top - 1) AND top < 4 THEN 'CONFLICTING' ELSE 'DETECTED' END AS state
                FROM (SELECT doc_id, r, r[1].n AS top, r[2].n AS second FROM (SELECT doc_id, list_sort([{names}], 'DESC') AS r FROM (SELECT doc_id, {scores} FROM (SELECT doc_id, lower(text) AS t FROM documents))))"""

@@ -181,15 +181,6 @@ def inspections_without_evaluations(spark, d):
     return domain.inspections(spark, d).join(domain.evaluations(spark, d), "inspection_id", "left_anti").select("inspection_id")
 
 
-@query("""SELECT organization_id, inspection_id, printf('INS-%s-%06d', strftime(created_at, '%Y'), row_number() OVER (PARTITION BY strftime(created_at, '%Y'), organization_id ORDER BY inspection_id)) AS inspection_number FROM inspections""")
-def inspection_numbers(spark, d):
-    """Numbers within an organisation and year, so no window holds the whole table."""
-    i = domain.inspections(spark, d)
-    year = F.date_format("created_at", "yyyy")
-    n = F.row_number().over(Window.partitionBy(year, "organization_id").orderBy("inspection_id"))
-    return i.select("organization_id", "inspection_id", F.format_string("INS-%s-%06d", year, n).alias("inspection_number"))
-
-
 @query("SELECT count(*) AS n, count(DISTINCT o_custkey) AS n_actors, min(o_orderkey) AS oldest, count(*) FILTER (o_orderpriority IS DISTINCT FROM '1-URGENT') AS n_legacy FROM orders")
 def legacy_preview(spark, d):
     """How many records are not of the current version, where none counts as another."""
