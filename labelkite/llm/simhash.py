@@ -31,7 +31,9 @@ TILE = 2048
 #: Own rows up to which a group is compared together with others.
 SMALL = 64
 #: Comparisons held at once.
-BLOCK = 1_000_000
+BLOCK = 500_000
+#: Fingerprints that are replicated to their anchors at once.
+SLICE = 20_000
 
 
 def hashed(text: str | None, width: int, seed: int, distinct: bool = False):
@@ -115,8 +117,8 @@ def anchored(values: DataFrame) -> DataFrame:
         for s, t in enumerate(table):
             masks[s, : len(t)] = t
         for whole in batches:
-            for lo in range(0, whole.num_rows, 100_000):
-                b = whole.slice(lo, 100_000)
+            for lo in range(0, whole.num_rows, SLICE):
+                b = whole.slice(lo, SLICE)
                 fp = b.column("fp").to_numpy(zero_copy_only=False).view("u8")
                 for half in (0, 1):
                     x = (fp >> np.uint64(32 * half)) & np.uint64(0x7FFFFFFF)
