@@ -554,7 +554,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     apart = written(apart, "apart")
     rest = written(united(between(rows) for rows in met(apart, "tree")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
     second = alike(rest)
-    linked = written(first.unionByName(second), "linked")
+    # the trees join what their links do, and are stars already
+    joined = trees.filter("n <> tree").select(F.col("n").alias("a"), F.col("tree").alias("b"))
+    linked = written(joined.unionByName(second), "linked")
     dropped(pairs, rest, apart, trees, first, second)
     groups = components(linked).select(F.col("node").alias("n"), "root")
     named = seen.select("key", "mark", "node").join(groups, F.col("node") == F.col("n"), "left").select("key", "mark", F.coalesce("root", "node").alias("root"))
