@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from labelkite.plans import fields, labels, lookups, scans
+from labelkite.plans import fields, labels, lookups, measures, scans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (scans, labels, fields, lookups):
+for _part in (scans, labels, fields, lookups, measures):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

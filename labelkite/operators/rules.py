@@ -20,6 +20,8 @@ LIBRARY = (
     ("LM-PCR-6H", "6(1)(h)", "declaration_present", 1.0, False, "import_only", (), ("country_of_origin",)),
     ("LM-PCR-9A", "9(1)", "legibility", 1.0, False, "retail_package", (), ()),
     ("LM-PCR-13A", "13(1)", "declaration_present", 1.0, False, "retail_package", (), ("batch_lot",)),
+    ("LM-PCR-6-1-PLACE", "6(1), 7(1), 9", "placement", 1.0, False, "retail_package", (), ("net_quantity", "mrp", "manufacturer", "consumer_care_phone", "consumer_care_email")),
+    ("LM-PCR-7FONT", "7(2), 7(3)", "font_size", 1.0, False, "retail_package", (), ()),
     ("LM-PCR-STD-QTY", "5", "manual_only", 1.0, False, "retail_package", (), ()),
     ("LM-PCR-4-EXEMPT", "4", "manual_only", 1.0, False, "any", (), ()),
     ("LM-PCR-7-ERR", "7", "manual_only", 1.0, False, "retail_package", (), ()),
@@ -62,7 +64,7 @@ def required_heights(panels: DataFrame, family: str = "family", area: str = "are
 
 def height_status(measured: Column, required: Column, lower: Column, area_estimated: Column) -> Column:
     """Passes at the required height; fails well below it (or below the next lower one, where the area is an estimate)."""
-    floor = F.when(area_estimated, lower).otherwise(required)
+    floor = F.when(area_estimated & (lower > 0), lower).otherwise(required)
     return F.when(measured.isNull() | required.isNull(), "UNCERTAIN").when(measured >= required, "PASS").when(measured < floor * BORDERLINE, "FAIL").otherwise("UNCERTAIN")
 
 
@@ -106,11 +108,21 @@ def legibility(quality: Column) -> Column:
     return F.when(quality.isin("GOOD", "ACCEPTABLE"), "PASS").otherwise("UNCERTAIN")
 
 
-def placement(fields: DataFrame, watched: tuple[str, ...], panels: tuple[str, ...] = ("FRONT", "TOP")) -> DataFrame:
-    """Whether the watched declarations that were read stand on a main panel. It never fails: a photo may lack a side."""
-    w = fields.filter(F.col("field_name").isin(*watched) & F.col("state").isin("DETECTED", "MANUALLY_CORRECTED"))
-    facts = w.groupBy("inspection_id").agg(F.count_if(F.col("role").isin(*panels)).alias("on_panel"), F.count_if(~F.col("role").isin(*panels)).alias("off_panel"), F.count_if(F.col("role").isNull()).alias("unknown"))
-    return facts.withColumn("status", F.when((F.col("off_panel") == 0) & (F.col("unknown") == 0) & (F.col("on_panel") > 0), "PASS").otherwise("UNCERTAIN"))
+def placement(inspections: DataFrame, fields: DataFrame, watched: tuple[str, ...], panels: tuple[str, ...] = ("FRONT", "TOP")) -> DataFrame:
+    """Where the watched declarations that were read stand: a row for each inspection, with counts, status and confidence.
+
+    ``fields``: inspection_id, field_name, value, state, role of the image. It passes where some stand on a main panel and
+    none on another side, and never fails: a photo may lack a side.
+    """
+    w = fields.filter(F.col("field_name").isin(*watched) & F.col("state").isin("DETECTED", "MANUALLY_CORRECTED") & substantive(F.col("value")))
+    role = F.coalesce("role", F.lit(""))
+    main = role.isin(*panels)
+    facts = w.groupBy("inspection_id").agg(F.count_if(main).alias("on_panel"), F.count_if(~main & (role != "")).alias("off_panel"), F.count_if(role == "").alias("unknown"))
+    j = inspections.select("inspection_id").join(facts, "inspection_id", "left").fillna(0, ["on_panel", "off_panel", "unknown"])
+    on, off, unknown = F.col("on_panel") > 0, F.col("off_panel") > 0, F.col("unknown") > 0
+    status = F.when(on & ~off, "PASS").otherwise("UNCERTAIN")
+    confidence = F.when(F.lit(not watched), 0.2).when(on & ~off, 0.55).when(off & (on | ~unknown), 0.4).otherwise(0.3)
+    return j.withColumns({"status": status, "confidence": confidence})
 
 
 def next_versions(current: DataFrame, incoming: DataFrame) -> DataFrame:
