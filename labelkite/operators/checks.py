@@ -86,27 +86,34 @@ def date_findings(best_before: Column, made: Column, packed: Column, imported: C
     """
     bare_iso = lambda c: F.regexp_replace(c, r"\|AMBIGUOUS", "")
     iso = lambda c: F.when(bare_iso(c).rlike("^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), bare_iso(c).try_cast("date"))
-    mfg, pkd, imp, exp = iso(made), iso(packed), iso(imported), iso(expires)
     semantic = F.get_json_object(best_before, "$.type") == "DURATION_FROM_REFERENCE"
-    reference = F.when(semantic, F.get_json_object(best_before, "$.reference"))
-    bare = F.when(best_before.rlike(r"(?i)^\s*[0-9]{1,3}\s*(months?|days?|years?|weeks?)\s*$"), duration_days(best_before))
-    days = F.when(semantic, duration_days(F.get_json_object(best_before, "$.duration"))).otherwise(bare)
-    since = F.when(reference == REFERENCES[0], mfg).when(reference == REFERENCES[1], pkd).when(reference == REFERENCES[2], imp)
-    until = iso(best_before)
+    bare = F.when(best_before.rlike(r"(?i)^\s*[0-9]{1,3}\s*(months?|days?|years?|weeks?)\s*$"), best_before)
+    facts = F.struct(
+        iso(made).alias("mfg"), iso(packed).alias("pkd"), iso(imported).alias("imp"), iso(expires).alias("exp"), iso(best_before).alias("until"),
+        duration_days(F.when(semantic, F.get_json_object(best_before, "$.duration")).otherwise(bare)).alias("days"),
+        F.when(semantic, F.get_json_object(best_before, "$.reference")).alias("reference"), (F.coalesce(best_before, F.lit("")) == "").alias("no_end"),
+    )
+    # an array of one, so that each text is parsed once
+    return F.transform(F.array(facts), _findings)[0]
+
+
+def _findings(f: Column) -> Column:
+    mfg, pkd, exp, days, reference = f["mfg"], f["pkd"], f["exp"], f["days"], f["reference"]
+    since = F.when(reference == REFERENCES[0], mfg).when(reference == REFERENCES[1], pkd).when(reference == REFERENCES[2], f["imp"])
     code = lambda ok: F.when(ok, "CONSISTENT").otherwise("INCONSISTENT")
     near = lambda a: F.abs(F.date_diff(exp, a)) <= TOLERANCE
     referred = days.isNotNull() & (F.coalesce(reference, F.lit("")) != "")
     ends = (
         F.when(referred & since.isNotNull(), code(exp.isNull() | near(F.date_add(since, days)))).when(referred, "UNVERIFIABLE")
-        .when(until.isNotNull() & exp.isNotNull(), code(near(until))).when(days.isNotNull(), "UNVERIFIABLE")
+        .when(f["until"].isNotNull() & exp.isNotNull(), code(near(f["until"]))).when(days.isNotNull(), "UNVERIFIABLE")
     )
     gap, shelf = F.date_diff(pkd, mfg), F.date_diff(exp, mfg)
-    no_end = F.coalesce(best_before, F.lit("")) == ""
     found = (
         ("best_before", ends), ("packing", F.when(gap.isNotNull(), code((gap >= 0) & (gap <= PACKING_WITHIN)))),
-        ("shelf_life", F.when(shelf.isNotNull() & no_end, code((shelf > 0) & (shelf <= LONGEST_SHELF)))),
+        ("shelf_life", F.when(shelf.isNotNull() & f["no_end"], code((shelf > 0) & (shelf <= LONGEST_SHELF)))),
     )
-    return F.array_compact(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(n).alias("about"), c.alias("code"))) for n, c in found]))
+    named = F.array(*[F.struct(F.lit(n).alias("about"), c.alias("code")) for n, c in found])
+    return F.filter(named, lambda x: x["code"].isNotNull())
 
 
 def date_code(text: Column) -> Column:

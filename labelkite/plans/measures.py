@@ -198,9 +198,10 @@ def corroborated_mails(spark, d):
 
 @query("""WITH t AS (SELECT l_orderkey AS inspection_id, l_linenumber AS line, l_suppkey, l_partkey, l_shipdate::DATE AS made, l_shipdate::DATE + (l_partkey % 120 - 10)::INT AS packed, l_shipdate::DATE + (l_partkey % 500)::INT AS ends,
                  l_suppkey % 5 AS kind FROM lineitem)
-          SELECT inspection_id, line, l_partkey, l_suppkey, CASE kind WHEN 0 THEN CASE WHEN abs(date_diff('day', made + 360, ends)) <= 45 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END WHEN 1 THEN 'UNVERIFIABLE' WHEN 2 THEN 'UNVERIFIABLE'
+          , r AS (SELECT inspection_id, line, l_partkey, l_suppkey, CASE kind WHEN 0 THEN CASE WHEN abs(date_diff('day', made + 360, ends)) <= 45 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END WHEN 1 THEN 'UNVERIFIABLE' WHEN 2 THEN 'UNVERIFIABLE'
                  WHEN 3 THEN CASE WHEN abs(date_diff('day', made + 300, ends)) <= 45 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END END AS best_before,
-              CASE WHEN packed - made BETWEEN 0 AND 90 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END AS packing, CASE WHEN kind = 4 THEN CASE WHEN ends - made > 0 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END END AS shelf_life FROM t""")
+              CASE WHEN packed - made BETWEEN 0 AND 90 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END AS packing, CASE WHEN kind = 4 THEN CASE WHEN ends - made > 0 THEN 'CONSISTENT' ELSE 'INCONSISTENT' END END AS shelf_life FROM t)
+          SELECT * FROM (UNPIVOT r ON best_before, packing, shelf_life INTO NAME about VALUE code)""")
 def date_consistency(spark, d):
     made = F.to_date("l_shipdate")
     later = lambda n: F.date_add(made, n.cast("int")).cast("string")
@@ -208,8 +209,7 @@ def date_consistency(spark, d):
     after = lambda name: F.lit('{"type": "DURATION_FROM_REFERENCE", "duration": "12 months", "reference": "%s"}' % name)
     ends = F.when(kind == 0, after("MANUFACTURING_DATE")).when(kind == 1, after("IMPORT_DATE")).when(kind == 2, F.lit("9 Months")).when(kind == 3, later(F.lit(300)))
     found = checks.date_findings(ends, made.cast("string"), later(F.col("l_partkey") % 120 - 10), F.lit(None).cast("string"), later(F.col("l_partkey") % 500))
-    got = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("inspection_id"), F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", F.map_from_entries(found).alias("m"))
-    return got.select("inspection_id", "line", "l_partkey", "l_suppkey", *[F.col("m")[n].alias(n) for n in ("best_before", "packing", "shelf_life")])
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("inspection_id"), F.col("l_linenumber").alias("line"), "l_partkey", "l_suppkey", F.inline(found))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders WHERE o_orderdate >= TIMESTAMP '2000-01-01'""")
