@@ -32,12 +32,18 @@ CHUNK = 1_000_000
 _encoders: dict = {}
 
 
-def byte_letters() -> dict[int, str]:
-    """Characters to the letters that a byte-level vocabulary has for their bytes: printable bytes stand for themselves, the
-    others, in order, for the characters from 256 on."""
+def letters() -> list[str]:
+    """The letter that a byte-level vocabulary has for each byte: printable bytes stand for themselves, the others, in order, for
+    the characters from 256 on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in printable]
     letter = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+    return [letter[b] for b in range(256)]
+
+
+def byte_letters() -> dict[int, str]:
+    """Characters to the letters of their bytes."""
+    letter = letters()
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 

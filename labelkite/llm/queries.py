@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelkite.llm import chunk_dedup, html_text, line_rules, ordinal, packing, periodic, piece_sampling, simhash, sketch, token_file, warc
+from labelkite.llm import alignment, chunk_dedup, html_text, line_rules, ordinal, packing, periodic, piece_sampling, simhash, sketch, token_file, warc
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
@@ -16,6 +16,7 @@ QUERIES = {
     "op7_ordinal_quality": ordinal.op7_ordinal_quality,
     "op8_line_rules": line_rules.op8_line_rules,
     "op12_periodic_runs": periodic.op12_periodic_runs,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 
 #: The rules of ``line_rules`` over each line, and the base measures over each text.
