@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelkite.llm import alignment, chunk_dedup, html_text, line_rules, ordinal, packing, periodic, piece_sampling, simhash, sketch, token_file, warc
+from labelkite.llm import alignment, chunk_dedup, html_text, line_rules, ordinal, packing, periodic, phrase_index, piece_sampling, simhash, sketch, token_file, warc
 
 QUERIES = {
     "op1_best_two_fit": packing.op1_best_two_fit,
@@ -15,6 +15,7 @@ QUERIES = {
     "op6_piece_sampling": piece_sampling.op6_piece_sampling,
     "op7_ordinal_quality": ordinal.op7_ordinal_quality,
     "op8_line_rules": line_rules.op8_line_rules,
+    "op11_phrase_index": phrase_index.op11_phrase_index,
     "op12_periodic_runs": periodic.op12_periodic_runs,
     "op13_token_alignment": alignment.op13_token_alignment,
 }
@@ -53,3 +54,37 @@ for _name, _value in [("PHRASES", "|".join(line_rules.BOILERPLATE)), *_FIXED.ite
     _LINE_RULES = _LINE_RULES.replace(_name, _value)
 
 ORACLES: dict[str, str] = {"op8_line_rules": _LINE_RULES}
+
+#: The windows of the benchmark in each document, by all windows of all documents; proximity by the places of the rarest word.
+_PHRASES = r"""
+WITH texts AS (SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'UPPER', 'LOWER'), 'WORD') AS w FROM documents),
+bench AS (SELECT DISTINCT item_id::VARCHAR AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'UPPER', 'LOWER'), 'WORD') AS w FROM benchmark WHERE item_id IS NOT NULL),
+starts AS (SELECT item_id, w, unnest(range(greatest(len(w) - WINDOW, 0) + 1)) AS i FROM bench WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item_id, list_slice(w, i + 1, i + WINDOW) AS words FROM starts),
+phrases AS (SELECT DISTINCT words, len(words) AS size FROM windows),
+vocabulary AS (SELECT DISTINCT unnest(words) AS word FROM phrases),
+places AS (SELECT doc, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS at FROM texts),
+held AS (SELECT p.* FROM places p SEMI JOIN vocabulary v ON p.word = v.word),
+counts AS (SELECT word, count(*) AS n FROM held GROUP BY 1),
+spread AS (SELECT words, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM phrases),
+rarest AS (SELECT words, arg_min(s.word, (n, s.word, place)) AS word, arg_min(place, (n, s.word, place)) AS place, len(words) AS size
+           FROM spread s JOIN counts c ON s.word = c.word GROUP BY words HAVING count(*) = len(words)),
+candidates AS (SELECT h.doc, h.at, r.words, r.size, h.at - r.place AS start, list_slice(t.w, greatest(h.at - REACH, 0) + 1, h.at + REACH + 1) AS around, t.w
+               FROM held h JOIN rarest r ON h.word = r.word JOIN texts t ON h.doc = t.doc),
+judged AS (SELECT doc, words, size, start, start >= 0 AND list_slice(w, start + 1, start + size) = words AS exact FROM candidates WHERE list_has_all(around, words)),
+near AS (SELECT doc, count(DISTINCT words) AS n_near FROM judged GROUP BY 1),
+hits AS (SELECT doc, count(DISTINCT p) AS n_hit FROM (SELECT doc, unnest(range(start, start + size)) AS p FROM judged WHERE exact) GROUP BY 1),
+found AS (SELECT DISTINCT doc, item_id FROM judged j JOIN windows w ON j.words = w.words WHERE exact),
+items AS (SELECT doc, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM found GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM texts t LEFT JOIN near n ON t.doc = n.doc LEFT JOIN hits h ON t.doc = h.doc LEFT JOIN items i ON t.doc = i.doc"""
+for _name, _value in {
+    "UPPER": phrase_index.UPPER,
+    "LOWER": phrase_index.LOWER,
+    "WORD": phrase_index.SPLIT.replace("[", "[^", 1),
+    "WINDOW": str(phrase_index.WINDOW),
+    "REACH": str(phrase_index.WINDOW - 1 + phrase_index.SLOP),
+}.items():
+    _PHRASES = _PHRASES.replace(_name, _value)
+ORACLES["op11_phrase_index"] = _PHRASES
