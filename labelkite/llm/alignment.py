@@ -81,13 +81,13 @@ class Aligner:
             if "▁" in piece.lstrip("▁"):
                 raise ValueError(f"piece {k} has a space mark inside")
             self.b_bytes.append(bytes([int(piece[3:-1], 16)]) if self.b.is_byte(k) else piece.replace("▁", " ").encode())
+        self.a_size, self.b_size = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_name, self.b_name = list(map(str, range(self.a_ids))), list(map(str, range(self.b_ids)))
+        #: Pairs are numbered by stripe, in a stripe by B's ids, for each of these by A's.
+        self.base = [((b % STRIPES) * self.rows + b // STRIPES) * self.a_ids for b in range(self.b_ids)]
         self.memo: dict[str, tuple | None] = {}
         self.once: set[str] = set()
 
-    def code(self, a: int, b: int) -> int:
-        """The number of a pair: stripes come one after the other, in a stripe B's ids, for each of these A's."""
-        return ((b % STRIPES) * self.rows + b // STRIPES) * self.a_ids + a
-
     @property
     def rows(self) -> int:
         """B ids of a stripe."""
@@ -106,25 +106,31 @@ class Aligner:
         if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
             return None
         groups, codes, i, j = [], [], 0, 0
+        a_size, b_size, a_name, b_name, base = self.a_size, self.b_size, self.a_name, self.b_name, self.base
         while i < len(a):
-            first, second, at, bt = i, j, len(self.a_bytes[a[i]]), len(self.b_bytes[b[j]])
+            x, y = a[i], b[j]
+            left, right, at, bt = a_name[x], b_name[y], a_size[x], b_size[y]
             i, j = i + 1, j + 1
             while at != bt:
                 if at < bt:
-                    at += len(self.a_bytes[a[i]])
+                    x = a[i]
+                    at += a_size[x]
+                    left += "," + a_name[x]
                     i += 1
                 else:
-                    bt += len(self.b_bytes[b[j]])
+                    y = b[j]
+                    bt += b_size[y]
+                    right += "," + b_name[y]
                     j += 1
-            groups.append(",".join(map(str, a[first:i])) + "|" + ",".join(map(str, b[second:j])))
-            codes.append(self.code(a[i - 1], b[j - 1]))
+            groups.append(left + "|" + right)
+            codes.append(base[y] + x)
         return ";".join(groups), struct.pack(f"<{len(codes)}q", *codes), len(a), len(b)
 
     def align(self, texts: list[str]) -> list[list[tuple] | None]:
         """For each text what ``grouped`` gives of its units, none if it has no tokens."""
         units = [self.units(t) if t else [] for t in texts]
-        new = sorted({u for found in units for u in found if u not in self.memo})
         known = self.memo
+        new = sorted(set().union(*units) - known.keys())
         if new:
             many = sum(map(len, units))
             a = [x.ids for x in self.a.encode_batch_fast([" " + u for u in new], add_special_tokens=False)]
@@ -143,12 +149,13 @@ class Aligner:
                 self.once |= short - again
                 if len(self.once) > ONCE:
                     self.once.clear()
-            get = lambda u: fresh[u] if u in fresh else known[u]
+            look = [fresh.get(u) or known.get(u) for found in units for u in found]
         else:
-            get = known.__getitem__
-        out: list = []
+            look = [known[u] for found in units for u in found]
+        out, at = [], 0
         for found in units:
-            parts = list(map(get, found))
+            parts = look[at : at + len(found)]
+            at += len(found)
             out.append(None if not parts or None in parts else parts)
         return out
 
@@ -300,7 +307,7 @@ def pair_counts(aligned: DataFrame, *, a_path: str | None = None, b_path: str |
             yield done()
 
     pairs = aligned.filter("kind = 'pair'").select("stripe", "codes", "many")
-    return written(bounded(pairs.repartition("stripe").sortWithinPartitions("stripe")).mapInArrow(run, "stripe int, codes binary, many binary, best binary"), "pair-counts")
+    return written(bounded(pairs.repartition(int(aligned.sparkSession.conf.get("spark.sql.shuffle.partitions")), "stripe").sortWithinPartitions("stripe")).mapInArrow(run, "stripe int, codes binary, many binary, best binary"), "pair-counts")
 
 
 def pairs(counts: DataFrame, *, a_path: str | None = None, b_path: str | None = None) -> DataFrame:
