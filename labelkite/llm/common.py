@@ -6,6 +6,7 @@ import contextlib
 import tempfile
 import threading
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,9 +87,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*tables: DataFrame) -> None:
-    """Delete tables from ``written`` that nothing reads any more."""
+    """Delete tables from ``written``, or selected from one, that nothing reads any more."""
     for t in tables:
-        remove(t.sparkSession, list({f.rpartition("/")[0] for f in t.inputFiles()}))
+        remove(t.sparkSession, list({unquote(f).rpartition("/")[0] for f in t.inputFiles()}))  # files are given as URIs
 
 
 #: Bytes of a batch that a Python worker gets at once, instead of Spark's 64 MB: a batch is held several times over.

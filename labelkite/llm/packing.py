@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import bounded, written
+from labelkite.llm.common import bounded, fresh, written
 
 CAPACITY = 2048
 VOCABULARY = "byte_bpe_50k.json"
@@ -104,27 +104,22 @@ def runs(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
 
 
 def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; ``pieces`` must be a stored table, as it is read twice.
+    """``pieces`` with ``sequence_id`` and ``offset``, in place of columns of these names; ``pieces`` must be a stored table, as it is
+    read twice.
 
     ``keys``: columns that order pieces of one length, so that the result doesn't depend on the partitions.
     """
-    spark = pieces.sparkSession
+    pieces = pieces.select(*[c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
     fits = pieces.filter(F.col(length).between(1, capacity))
-    counts = {int(n): c for n, c in fits.groupBy(length).count().collect()}  # one row for each length
+    size, bucket, before, rank = fresh(pieces.columns, "size", "bucket", "before", "rank")
+    counts = {int(r[0]): r[1] for r in fits.groupBy(F.col(length).alias(size)).agg(F.count("*")).collect()}  # one row for each length
     table = runs(counts, capacity)
     buckets = max(LEAST_BUCKETS, sum(counts.values()) // BUCKET_ROWS)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    marked = fits.withColumn("_bucket", bucket)
-    before = (
-        marked.groupBy(length, "_bucket")
-        .count()
-        .withColumn("_before", F.sum("count").over(Window.partitionBy(length).orderBy("_bucket")) - F.col("count"))
-        .select(F.col(length).alias("_length"), F.col("_bucket").alias("_b"), "_before")
-    )
-    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(length, "_bucket").orderBy(*keys))).join(
-        before, (F.col(length) == F.col("_length")) & (F.col("_bucket") == F.col("_b"))
-    )
-    ranked = ranked.withColumn("_rank", F.col("_rank") - 1 + F.col("_before")).select(*pieces.columns, "_rank")
+    marked = fits.select("*", F.col(length).alias(size), F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias(bucket))
+    many = marked.groupBy(size, bucket).agg(F.count("*").alias(rank))
+    many = many.select(size, bucket, (F.sum(rank).over(Window.partitionBy(size).orderBy(bucket)) - F.col(rank)).alias(before))
+    within = F.row_number().over(Window.partitionBy(size, bucket).orderBy(*keys))
+    ranked = marked.withColumn(rank, within).join(many, [size, bucket]).select(*pieces.columns, (F.col(rank) - 1 + F.col(before)).alias(rank))
     names = list(pieces.columns)
 
     def place(batches):
@@ -135,9 +130,9 @@ def pack(pieces: DataFrame, keys: list[str], length: str = "length", capacity: i
         run_key = r[:, 0] * (1 << 48) + r[:, 1]
         for b in batches:
             n = b.column(length).to_numpy(zero_copy_only=False).astype("i8")
-            rank = b.column("_rank").to_numpy(zero_copy_only=False)
-            at = r[np.searchsorted(run_key, n * (1 << 48) + rank, "right") - 1] if len(n) else r[:0]
-            i = rank - at[:, 1]
+            place_of = b.column(rank).to_numpy(zero_copy_only=False)
+            at = r[np.searchsorted(run_key, n * (1 << 48) + place_of, "right") - 1] if len(n) else r[:0]
+            i = place_of - at[:, 1]
             per = np.maximum(at[:, 2], 1)
             yield pa.RecordBatch.from_arrays([b.column(c) for c in names] + [pa.array(at[:, 3] + i // per), pa.array(at[:, 4] + i % per * n)], names=[*names, "sequence_id", "offset"])
 

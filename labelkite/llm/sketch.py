@@ -17,7 +17,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import let, words
+from labelkite.llm.common import fresh, let, words
 
 K = 128
 WIDTH = 5
@@ -62,8 +62,9 @@ def merged(sketches: Column, k: int = K) -> Column:
 
 def merged_by(rows: DataFrame, keys: list[str], sketches: str = "sketch", k: int = K, fan: int = 256) -> DataFrame:
     """``keys sketch``: the sketch of all texts of each group, merged in two steps (``fan`` parts of a group, then these)."""
-    part = rows.select(*keys, sketches, F.pmod(F.xxhash64(sketches), F.lit(fan)).alias("_fan"))
-    half = part.groupBy(*keys, "_fan").agg(merged(F.col(sketches), k).alias(sketches))
+    (part_of,) = fresh([*keys, sketches], "part")
+    part = rows.select(*keys, sketches, F.pmod(F.xxhash64(sketches), F.lit(fan)).alias(part_of))
+    half = part.groupBy(*keys, part_of).agg(merged(F.col(sketches), k).alias(sketches))
     return half.groupBy(*keys).agg(merged(F.col(sketches), k).alias(sketches))
 
 

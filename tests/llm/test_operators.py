@@ -384,3 +384,26 @@ def test_quality_classifier(spark):
     assert {(r.kept, r.expected_grade) for r in ordinal.score(docs, None).collect()} == {(True, None)}
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 0, 0), (3, None, None)], "doc_id bigint, quality int, toxic int")
     assert {(r.doc_id, r.grade) for r in ordinal.graded(labels).collect()} == {(1, 0), (2, 1)}
+
+
+def test_packing_and_merging_with_clashing_names(spark):
+    names = ["_bucket", "_before", "_rank", "_length", "_b", "sequence_id", "offset", "size", "bucket", "before", "rank"]
+    docs = written(spark.range(40).select(F.col("id").alias("doc_id"), (F.col("id") % 7 + 1).alias("length"), *[F.lit(-5).alias(n) for n in names]), "clash")
+    got = packing.pack(docs, ["doc_id"], capacity=10).collect()
+    assert {r.doc_id for r in got} == set(range(40)) and all(r._bucket == r.rank == r.size == -5 for r in got)
+    held = Counter()
+    for r in got:
+        held[r.sequence_id] += r.length
+    assert max(held.values()) <= 10 and sum(held.values()) == sum(i % 7 + 1 for i in range(40))
+    rows = spark.createDataFrame([(1, 1, [1, 2]), (1, 1, [2, 3]), (2, 1, [9])], "part int, _part int, _fan array<bigint>")
+    assert {(r.part, tuple(r._fan)) for r in sketch.merged_by(rows, ["part", "_part"], "_fan").collect()} == {(1, (1, 2, 3)), (2, (9,))}
+
+
+def test_dropped_tables_under_a_folder_with_a_blank(spark, tmp_path, monkeypatch):
+    from labelkite.llm import common
+
+    monkeypatch.setattr(common, "shared_dir", lambda s: f"file://{tmp_path}/a b")
+    table = written(spark.range(3), "gone")
+    assert table.count() == 3 and list((tmp_path / "a b").iterdir())
+    common.dropped(table)
+    assert not list((tmp_path / "a b").iterdir())
