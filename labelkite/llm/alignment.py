@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import bounded, scratch_path, written
+from labelkite.llm.common import bounded, only, scratch_path, written
 from labelkite.llm.encoding import WHITE, letters
 
 A_VOCABULARY = "byte_bpe_50k.json"
@@ -163,6 +163,7 @@ class Aligner:
 def aligner(a_path: str | None = None, b_path: str | None = None) -> Aligner:
     """One aligner for each worker process and pair of files."""
     if (a_path, b_path) not in _aligners:
+        only("aligners", _aligners.clear)
         _aligners[a_path, b_path] = Aligner(a_path, b_path)
     return _aligners[a_path, b_path]
 

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import bounded, fresh, written
+from labelkite.llm.common import bounded, fresh, only, written
 
 REACH = 3
 MOST = 32
@@ -110,6 +110,7 @@ def chunks(docs: DataFrame, key: str, text: str, reach: int = REACH) -> DataFram
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
+        only("chunks")
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
@@ -168,6 +169,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", *, reach: in
     joined = docs.select(*names, F.hash(text).alias(m)).join(marked, F.col(key).eqNullSafe(F.col(k)) & (F.col(m) == F.col(mark)), "left").select(*names, places)
 
     def run(batches):
+        only("chunks")
         import pyarrow as pa
 
         for b in batches:

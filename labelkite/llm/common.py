@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import tempfile
 import threading
 import uuid
@@ -104,6 +106,26 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
+#: What clears the caches of this worker process, by the name of the operator that has them.
+_caches: dict[str, object] = {}
+
+
+def only(name: str, clear=None) -> None:
+    """Caches of one operator at a time: a worker process outlives its task, and clears here what other operators left in it.
+
+    ``clear``: empties the caches that ``name`` is about to fill.
+    """
+    others = [k for k in _caches if k != name]
+    for k in others:
+        _caches.pop(k)()
+    if others:
+        gc.collect()
+        with contextlib.suppress(AttributeError, OSError):  # where the C library has it, freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
+    if clear:
+        _caches[name] = clear
+
+
 def fresh(columns: list[str], *names: str) -> list[str]:
     """``names`` with as many underscores before them as none of ``columns`` has (letters' case doesn't tell names apart)."""
     taken, out = {c.lower() for c in columns}, []

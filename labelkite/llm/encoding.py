@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 import struct
 
+from labelkite.llm.common import only
+
 #: Unicode white space, the characters that both libraries agree on.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD = re.compile(r"[\x1c-\x1f\u180e\u200b\ufeff]")
@@ -137,6 +139,7 @@ class Encoder:
 def encoder(name: str, path: str | None = None) -> Encoder:
     """One encoder for each worker process and file."""
     if (name, path) not in _encoders:
+        only("encoders", _encoders.clear)
         _encoders[name, path] = Encoder(name, path)
     return _encoders[name, path]
 

@@ -23,7 +23,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import bounded
+from labelkite.llm.common import bounded, only
 
 SIZE_BITS = 18
 SAMPLE = 10_000
@@ -89,6 +89,7 @@ _features: list[Features] = []
 
 def features() -> Features:
     if not _features:
+        only("features", _features.clear)
         _features.append(Features())
     return _features[0]
 

@@ -24,7 +24,7 @@ import zlib
 
 from pyspark.sql import DataFrame
 
-from labelkite.llm.common import bounded
+from labelkite.llm.common import bounded, only
 
 VOCABULARY = "piece_bpe_32k.model"
 ALPHA = 5e-4
@@ -308,6 +308,7 @@ _samplers: dict = {}
 
 def sampler(path: str | None = None, alpha: float = ALPHA) -> Sampler:
     if (path, alpha) not in _samplers:
+        only("samplers", _samplers.clear)
         _samplers[path, alpha] = Sampler(path, alpha)
     return _samplers[path, alpha]
 

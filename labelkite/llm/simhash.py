@@ -24,14 +24,14 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelkite.llm.common import bounded, dropped, fresh, let, written
+from labelkite.llm.common import bounded, dropped, fresh, let, only, written
 
 BITS = 3
 TILE = 2048
 #: Own rows up to which a group is compared together with others.
 SMALL = 64
 #: Comparisons held at once.
-BLOCK = 500_000
+BLOCK = 100_000
 #: Fingerprints that are replicated to their anchors at once.
 SLICE = 20_000
 
@@ -70,6 +70,7 @@ def fingerprints(docs: DataFrame, text: str = "text", *, width: int = 3, seeds:
     kinds = dict(docs.dtypes)
 
     def run(batches):
+        only("simhash")
         import numpy as np
         import pyarrow as pa
 
@@ -108,6 +109,7 @@ def anchored(values: DataFrame) -> DataFrame:
     rest = [c for c in values.columns if c != "fp"]
 
     def run(batches):
+        only("simhash")
         import numpy as np
         import pyarrow as pa
 
@@ -231,6 +233,7 @@ def by_group(groups: DataFrame, compare, schema: str) -> DataFrame:
     """
 
     def run(batches):
+        only("simhash")
         import numpy as np
         import pyarrow as pa
 
@@ -369,6 +372,7 @@ def texts_seen(docs: DataFrame, key: str, text: str, *, width: int, seeds: tuple
     kind = dict(docs.dtypes)[key]
 
     def run(batches):
+        only("simhash")
         import numpy as np
         import pyarrow as pa
         from xxhash import xxh3_64_intdigest
@@ -480,6 +484,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     """(node, text) to (node, all): the hashes of all distinct shingles."""
 
     def run(batches):
+        only("simhash")
         import numpy as np
         import pyarrow as pa
 

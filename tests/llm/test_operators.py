@@ -407,3 +407,18 @@ def test_dropped_tables_under_a_folder_with_a_blank(spark, tmp_path, monkeypatch
     assert table.count() == 3 and list((tmp_path / "a b").iterdir())
     common.dropped(table)
     assert not list((tmp_path / "a b").iterdir())
+
+
+def test_caches_of_one_operator_at_a_time():
+    from labelkite.llm import common
+
+    encoding.encoder("byte_bpe_50k.json").encode(["some text"])
+    assert encoding._encoders
+    ordinal.features().of("some text")
+    assert not encoding._encoders and ordinal._features
+    ordinal.features().of("some more")
+    common.only("simhash")
+    assert not ordinal._features and not common._caches
+    encoding.encoder("byte_bpe_50k.json")
+    encoding.encoder("word_bpe_49k.json")
+    assert len(encoding._encoders) == 2
