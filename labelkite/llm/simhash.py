@@ -347,6 +347,8 @@ CLEAR = 0.1
 PERMUTATIONS, LANES, ROWS = 128, 20, 5
 #: Of 128 bits, how many may differ: at similarity 0.8 some 12.8 do, with a deviation of 3.4.
 LEAST_BITS = 30
+#: Nodes of a block that are compared with all of another, and values whose marks are held at once.
+NODES, COLUMNS = 512, 4096
 
 
 def least(hashes):
@@ -418,7 +420,7 @@ def candidates(rows: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``node`` that meet in rows (anchor, away, node, low, high) and differ in at most ``LEAST_BITS`` of their least bits.
 
     Of the pairs that meet in a block only a forest of the closest ones goes on, so pairs grow with the rows and not with the
-    square of a group. A link of the forest can fail where another one would have passed: see ``between``.
+    square of a group. A link of the forest can fail where another one would have passed: see ``within``.
     """
 
     def compare(columns, met):
@@ -453,31 +455,114 @@ def candidates(rows: DataFrame) -> DataFrame:
     return by_group(dealt(rows.select("anchor", "away", "node", "low", "high"), "node"), compare, "a bigint, b bigint").distinct()
 
 
-def between(rows: DataFrame) -> DataFrame:
-    """All pairs (a, b) of ``node`` that meet in rows (anchor, away, node, tree, low, high), as close as ``candidates`` and in different
-    trees."""
+def shared(x, y):
+    """How many values each array of ``x`` has in common with each of ``y``, as a matrix; arrays have no value twice."""
+    import numpy as np
 
-    def compare(columns, met):
+    out = np.zeros((len(x), len(y)), "f4")
+    values = np.concatenate([*x, *y]) if len(x) + len(y) else np.zeros(0, "i4")
+    row = np.repeat(np.arange(len(x) + len(y)), [len(v) for v in [*x, *y]])
+    _, place = np.unique(values, return_inverse=True)
+    left = row < len(x)
+    both = np.intersect1d(place[left], place[~left])
+    at = np.searchsorted(both, place)
+    use = np.flatnonzero(both[np.minimum(at, len(both) - 1)] == place) if len(both) else both
+    at, row = at[use], row[use]
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    for lo in range(0, len(both), COLUMNS):
+        i, j = np.searchsorted(at, [lo, lo + COLUMNS])
+        marks = np.zeros((len(x) + len(y), min(COLUMNS, len(both) - lo)), "f4")
+        marks[row[i:j], at[i:j] - lo] = 1
+        out += marks[: len(x)] @ marks[len(x) :].T
+    return out
+
+
+def judged(x, y, k: int):
+    """(similarity, whether it is exact) of each array of ``x`` and each of ``y``, which hold the ``k`` smallest hashes of sets.
+
+    Arrays with fewer are whole sets. Else what lies below the smaller of the two largest values is compared.
+    """
+    import numpy as np
+
+    top = lambda rows: np.array([v[-1] if len(v) >= k else 2**31 for v in rows], "i8")
+    size = lambda rows: np.array([len(v) for v in rows], "i8")
+    a, b = np.broadcast_to(size(x)[:, None], (len(x), len(y))), np.broadcast_to(size(y), (len(x), len(y)))
+    whole = (size(x) < k)[:, None] & (size(y) < k)
+    if not whole.all():
+        a = np.stack([np.searchsorted(v, top(y), "right") for v in x])
+        b = np.stack([np.searchsorted(v, top(x), "right") for v in y], 1)
+    both = shared(x, y).astype("i8")
+    union = a + b - both
+    return np.where(union == 0, 1.0, both / np.maximum(union, 1)), whole
+
+
+def within(rows: DataFrame, similarity: float, k: int) -> DataFrame:
+    """(a, b, sure) from rows (comp, node, tree, parts): links between the trees of each component, by comparing all its nodes of
+    different trees. Links that are not ``sure`` need all shingles to tell.
+
+    A component's nodes are dealt into blocks of about ``NODES``, those of its largest tree apart, and compared by two blocks at
+    a time, but for two of that tree. Of the sure links of two blocks only a forest goes on.
+    """
+    by_tree = rows.groupBy("comp", "tree").agg(F.count("*").alias("n"))
+    sizes = by_tree.groupBy("comp").agg(F.count("*").alias("trees"), F.sum("n").alias("all"), F.max(F.struct("n", "tree")).alias("top")).filter("trees > 1")
+    sizes = written(sizes.select(F.col("comp").alias("c"), F.col("top.tree").alias("largest"), *(F.ceil(n / NODES).cast("int").alias(x) for n, x in ((F.col("all") - F.col("top.n"), "others"), (F.col("top.n"), "mine")))), "open")
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("tree") == F.col("largest"), F.col("mine")).otherwise(F.col("others"))).cast("int")
+    block = own + F.when(F.col("tree") == F.col("largest"), F.col("others")).otherwise(0)
+    dealt_to = F.sequence(F.lit(0), F.col("others") + F.when(F.col("block") < F.col("others"), F.col("mine")).otherwise(0) - 1)
+    tile = F.transform(dealt_to, lambda x: F.struct(F.least("block", x).alias("i"), F.greatest("block", x).alias("j")))
+    placed = rows.join(sizes, F.col("comp") == F.col("c")).withColumn("block", block).select("comp", "node", "tree", "parts", "block", F.explode(tile).alias("tile"))
+    tiles = placed.select("comp", F.col("tile.i").alias("i"), F.col("tile.j").alias("j"), (F.col("block") != F.col("tile.i")).cast("int").alias("side"), "node", "tree", "parts")
+
+    def links_of(same: bool, held):
         import numpy as np
 
-        node, tree, low, high, found = columns[3], columns[4], columns[5].view("u8"), columns[6].view("u8"), []
-        for kind, x, y in met:
-            if kind == "pairs":
-                use = np.flatnonzero(tree[x] != tree[y])
-                x, y = x[use], y[use]
-            else:
-                i, j = np.nonzero((np.bitwise_count(low[slice(*x), None] ^ low[None, slice(*y)]) <= LEAST_BITS) & (tree[slice(*x), None] != tree[None, slice(*y)]))
-                x, y = x[0] + i, y[0] + j
-            near = apart_by(low, high, x, y) <= LEAST_BITS
-            x, y = x[near], y[near]
-            pair = np.sort(np.stack([node[x], node[y]], 1), axis=1)
-            found.append(np.unique(pair, axis=0) if len(pair) else pair)
-        if not found:
-            return node[:0], node[:0]
-        pair = np.unique(np.concatenate(found), axis=0)
-        return pair[:, 0].copy(), pair[:, 1].copy()
+        side = np.array([r[0] for r in held])
+        node, tree = np.array([r[1] for r in held], "i8"), np.array([r[2] for r in held], "i8")
+        x = np.flatnonzero(side == 0)
+        y = x if same else np.flatnonzero(side == 1)
+        apart = tree[x][:, None] != tree[y]
+        if not apart.any():
+            return []
+        parts = [r[3] for r in held]
+        like, exact = judged([parts[i] for i in x], [parts[i] for i in y], k)
+        sure = apart & np.where(exact, like >= similarity, like >= similarity + CLEAR)
+        open_ = apart & ~exact & (like >= similarity - CLEAR) & ~sure
+        i, j = np.nonzero(sure)
+        child, root = forest(tree[x[i]], tree[y[j]])
+        i, j = np.nonzero(open_)
+        i, j = x[i], y[j]
+        now = dict(zip(child.tolist(), root.tolist()))
+        named = np.array([now.get(t, t) for t in tree.tolist()], "i8")
+        use = (named[i] != named[j]) & ((not same) | (node[i] < node[j]))
+        return [(child, root, True), (node[i[use]], node[j[use]], False)]
 
-    return by_group(dealt(rows.select("anchor", "away", "node", "tree", "low", "high"), "node"), compare, "a bigint, b bigint").distinct()
+    def run(batches):
+        only("simhash")
+        import numpy as np
+        import pyarrow as pa
+
+        present, held = None, []
+
+        def sent():
+            for a, b, sure in links_of(present[1] == present[2], held):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(a, "i8")), pa.array(np.asarray(b, "i8")), pa.array([sure] * len(a))], names=["a", "b", "sure"])
+
+        for batch in batches:
+            parts = batch.column("parts")
+            values, cut = parts.values.to_numpy(), parts.offsets.to_numpy()
+            numbers = (batch.column(c).to_pylist() for c in ("comp", "i", "j", "side", "node", "tree"))
+            for n, (comp, i, j, side, node, tree) in enumerate(zip(*numbers)):
+                if (comp, i, j) != present:
+                    if held:
+                        yield from sent()
+                    present, held = (comp, i, j), []
+                held.append((side, node, tree, values[cut[n] : cut[n + 1]].copy()))
+        if held:
+            yield from sent()
+
+    return bounded(tiles.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")).mapInArrow(run, "a bigint, b bigint, sure boolean")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -510,9 +595,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     pair is then compared by its shingles: exactly where each has fewer than ``k`` distinct ones; beyond, the ``k`` smallest
     hashes settle what they put ``CLEAR`` away from ``similarity``, and the others are compared by all their shingles.
     Copies that are cut, extended or changed in one place have other words, so lanes of the shingles' least values choose pairs
-    as well: at 0.8 one of 20 is equal in all but 4 of 10,000 pairs. Pairs whose least bits are clearly apart aren't compared.
-    First a forest of the pairs that meet is compared, then every met pair that the links found so far leave apart, so
-    documents are joined just as if all met pairs had been compared.
+    as well: at 0.8 one of 20 is equal in all but 4 of 10,000 pairs. Pairs whose least bits are clearly apart don't count as
+    met. A forest of the pairs that meet joins texts to loose components and is compared first; what its links leave apart
+    within a loose component is then compared node by node, so documents are joined just as if all pairs within it had been.
     Rows of equal key and text are one document and stay or go together. ``docs`` must be a stored table.
     """
     from labelkite.llm.sketch import resemblance
@@ -525,15 +610,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
     columns = [f"fp{i}" for i in range(len(seeds))]
     nodes = written(seen.groupBy("node").agg(*(F.min(c).alias(c) for c in [*columns, "low", "high"]), F.first("lanes").alias("lanes")), "nodes")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
-        parts = written(seen.join(used, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.first("parts").alias("parts")), "parts")
-        both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
-        whole = (F.size("pa") < k) & (F.size("pb") < k)
-        judged = both.select("a", "b", whole.alias("whole"), F.when(whole, jaccard("pa", "pb")).otherwise(resemblance(F.col("pa"), F.col("pb"), k)).alias("s"))
-        judged = written(judged.filter(F.col("s") >= F.when(F.col("whole"), F.lit(similarity)).otherwise(F.lit(similarity - CLEAR))), "judged")
-        open_ = (~F.col("whole")) & (F.col("s") < similarity + CLEAR)
-        unclear = judged.filter(open_).select("a", "b")
+    def settled(unclear: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that are alike by all their shingles."""
         asked = unclear.select(F.explode(F.array("a", "b")).alias("n")).distinct()
         first = seen.join(asked, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.min(F.struct(F.col("key").isNotNull().alias("x"), "key", "mark")).alias("first"))
         # one row of each text; rows of equal key and hash are equal texts
@@ -542,27 +620,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", *,
         texts = texts.join(first, F.col("key").eqNullSafe(F.col("k")) & (F.col("mark") == F.col("m"))).select("node", "text")
         sets = written(sets_of(texts, width).dropDuplicates(["node"]), "sets")
         exact = unclear.join(sets.select(F.col("node").alias("a"), F.col("all").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("all").alias("pb")), "b")
-        out = written(judged.filter(~open_).select("a", "b").unionByName(exact.filter(jaccard("pa", "pb") >= similarity).select("a", "b")), "alike")
-        dropped(parts, judged, first, sets)
-        return out
+        return exact.filter(jaccard("pa", "pb") >= similarity).select("a", "b")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.explode(F.array("a", "b")).alias("n")).distinct()
+        parts = written(seen.join(used, F.col("node") == F.col("n"), "left_semi").groupBy("node").agg(F.first("parts").alias("parts")), "parts")
+        both = pairs.join(parts.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(parts.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+        whole = (F.size("pa") < k) & (F.size("pb") < k)
+        like = both.select("a", "b", whole.alias("whole"), F.when(whole, jaccard("pa", "pb")).otherwise(resemblance(F.col("pa"), F.col("pb"), k)).alias("s"))
+        like = written(like.filter(F.col("s") >= F.when(F.col("whole"), F.lit(similarity)).otherwise(F.lit(similarity - CLEAR))), "judged")
+        open_ = (~F.col("whole")) & (F.col("s") < similarity + CLEAR)
+        out = written(like.filter(~open_).select("a", "b").unionByName(settled(like.filter(open_).select("a", "b"))), "alike")
+        dropped(like)
+        return out, parts
 
-    def met(of: DataFrame, *more: str) -> list[DataFrame]:
-        near = [anchored(of.select(F.col(c).alias("fp"), "node", *more, "low", "high")).drop("fp") for c in columns]
-        return [*near, in_lanes(of.select("node", "lanes", *more, "low", "high"))]
+    def met(of: DataFrame) -> list[DataFrame]:
+        near = [anchored(of.select(F.col(c).alias("fp"), "node", "low", "high")).drop("fp") for c in columns]
+        return [*near, in_lanes(of.select("node", "lanes", "low", "high"))]
 
     pairs = written(united(candidates(rows) for rows in met(nodes)).distinct(), "pairs")
-    first = alike(pairs)
+    first, parts = alike(pairs)
     trees = written(components(first), "trees").select(F.col("node").alias("n"), F.col("root").alias("tree"))
-    # a node that met any other is in the forest
-    some = pairs.select(F.explode(F.array("a", "b")).alias("m")).distinct()
-    apart = nodes.join(some, F.col("node") == F.col("m"), "left_semi").join(trees, F.col("node") == F.col("n"), "left").withColumn("tree", F.coalesce("tree", "node")).drop("n")
-    apart = written(apart, "apart")
-    rest = written(united(between(rows) for rows in met(apart, "tree")).distinct().join(pairs, ["a", "b"], "left_anti"), "rest")
-    second = alike(rest)
+    # each node that met any other is in a loose component
+    loose = written(components(pairs), "loose").select("node", F.col("root").alias("comp"))
+    inside = written(loose.join(trees, F.col("node") == F.col("n"), "left").select("comp", "node", F.coalesce("tree", "node").alias("tree")), "inside")
+    found = written(within(inside.join(parts, "node"), similarity, k), "within")
+    second = written(found.filter("sure").select("a", "b").unionByName(settled(found.filter("not sure").select("a", "b"))), "second")
     # the trees join what their links do, and are stars already
     joined = trees.filter("n <> tree").select(F.col("n").alias("a"), F.col("tree").alias("b"))
     linked = written(joined.unionByName(second), "linked")
-    dropped(pairs, rest, apart, trees, first, second)
+    dropped(pairs, parts, loose, inside, found, trees, first, second)
     groups = components(linked).select(F.col("node").alias("n"), "root")
     named = seen.select("key", "mark", "node").join(groups, F.col("node") == F.col("n"), "left").select("key", "mark", F.coalesce("root", "node").alias("root"))
     named = written(named, "named")

@@ -238,3 +238,50 @@ def test_long_pairs_close_to_the_threshold(spark):
     print("close to 0.8, wrong of 60:", len(kept ^ want), "gone", 124 - len(want))
     assert 10 < len(want & set(range(1, 120, 2))) < 50
     assert kept == want
+
+
+def test_dense_groups_of_pairs_that_fail(spark, monkeypatch):
+    """Copies edited so that most pairs fail, with chains that only some of them close: by blocks as by all pairs."""
+    monkeypatch.setattr(simhash, "NODES", 16)  # many blocks
+    monkeypatch.setattr(simhash, "COLUMNS", 64)
+    rnd = random.Random(12)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rnd.choice([1, 2, 4, 8, 14])):
+            w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(500 + i, t) for i, t in rows[:5]] + [(600, None), (601, ""), (602, " ")]
+    docs = written(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), "docs")
+    sets = {i: {tuple((t or "").split()[k : k + 5]) for k in range(max(1, len((t or "").split()) - 4))} if (t or "").split() else set() for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            u = sets[i] | sets[j]
+            if i < j and (not u or len(sets[i] & sets[j]) >= 0.8 * len(u)):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    want = sorted(i for i in sets if find(i) == i)
+    assert sorted(r.doc_id for r in simhash.near_duplicates(docs).collect()) == want and 20 < len(want) < 140
+
+
+def test_judged_is_exact_for_whole_sets():
+    rnd = np.random.default_rng(5)
+    rows = [np.unique(rnd.integers(-40, 40, n).astype("i4")) for n in (0, 1, 5, 30, 60, 60)]
+    like, exact = simhash.judged(rows, rows[::-1], 512)
+    for i, a in enumerate(rows):
+        for j, b in enumerate(rows[::-1]):
+            u = len(np.union1d(a, b))
+            assert exact[i, j] and like[i, j] == (len(np.intersect1d(a, b)) / u if u else 1.0)
+    large = [np.sort(rnd.choice(10**6, 4000, replace=False).astype("i4")) for _ in range(2)]
+    mixed = np.unique(np.r_[large[0][:3000], large[1][:1000]])
+    truth = len(np.intersect1d(large[0], mixed)) / len(np.union1d(large[0], mixed))
+    like, exact = simhash.judged([large[0][:512]], [mixed[:512]], 512)
+    assert not exact[0, 0] and abs(like[0, 0] - truth) < 0.12
