@@ -18,7 +18,6 @@ PUBLIC_MAIL = (
 #: Days between dates that still agree, days from making to packing, longest shelf life.
 TOLERANCE, PACKING_WITHIN, LONGEST_SHELF = 45, 90, 3650
 REFERENCES = ("MANUFACTURING_DATE", "PACKING_DATE", "IMPORT_DATE")
-FIELD_CHECKS = ("declaration_present", "net_quantity", "mrp_declaration")
 
 
 def outcomes(applied: DataFrame, fields: DataFrame, quality: DataFrame, heights: DataFrame, placed: DataFrame) -> DataFrame:
@@ -27,21 +26,24 @@ def outcomes(applied: DataFrame, fields: DataFrame, quality: DataFrame, heights:
     ``quality``: inspection_id, quality (null: no images); ``heights`` and ``placed``: inspection_id, status, confidence.
     Each has a row for an inspection at most. A type that isn't known is undecided.
     """
-    by_field = rules.declarations(applied, fields).select("inspection_id", "rule_id", F.col("status").alias("_status"), F.col("confidence").alias("_sure"))
     side = lambda df, name: df.select("inspection_id", F.struct("status", "confidence").alias(name))
-    j = applied.join(by_field, ["inspection_id", "rule_id"], "left").join(quality.select("inspection_id", "quality"), "inspection_id", "left")
-    j = j.join(side(heights, "_height"), "inspection_id", "left").join(side(placed, "_place"), "inspection_id", "left")
+    # one row for each inspection, so that its rules are shuffled once and meet all of it
+    sides = quality.select("inspection_id", "quality").join(side(heights, "_height"), "inspection_id", "full_outer")
+    sides = sides.join(side(placed, "_place"), "inspection_id", "full_outer").join(rules.field_facts(fields), "inspection_id", "full_outer")
+    j = applied.join(sides, "inspection_id", "left")
+    field = rules.declared(F.lit(True), F.col("fields"), F.col("facts"))
+    j = j.withColumn("_field", F.when(F.col("check_type").isin(*rules.FIELD_CHECKS) & (F.size("fields") > 0), field))
     kind, q = F.col("check_type"), F.col("quality")
     q_sure = F.when(q.isin("GOOD", "ACCEPTABLE"), 0.7).when(q.isNull() | (q == "UNUSABLE"), 0.2).otherwise(0.3)
 
     def pick(field: Column, legible: Column, part: str, off, none, unmeasured: float | str, unplaced: float | str) -> Column:
         return (
-            F.when(F.col("applicability_kind") != "APPLIES", off).when(kind.isin(*FIELD_CHECKS), field).when(kind == "legibility", legible)
+            F.when(F.col("applicability_kind") != "APPLIES", off).when(kind.isin(*rules.FIELD_CHECKS), field).when(kind == "legibility", legible)
             .when(kind == "font_size", F.coalesce(F.col(f"_height.{part}"), F.lit(unmeasured))).when(kind == "placement", F.coalesce(F.col(f"_place.{part}"), F.lit(unplaced))).otherwise(none)
         )
 
-    status = pick(F.col("_status"), rules.legibility(q), "status", "NOT_APPLICABLE", "UNCERTAIN", "UNCERTAIN", "UNCERTAIN")
-    confidence = pick(F.col("_sure"), q_sure, "confidence", 1.0, 0.1, 0.2, 0.3)
+    status = pick(F.col("_field.status"), rules.legibility(q), "status", "NOT_APPLICABLE", "UNCERTAIN", "UNCERTAIN", "UNCERTAIN")
+    confidence = pick(F.col("_field.confidence"), q_sure, "confidence", 1.0, 0.1, 0.2, 0.3)
     return j.select("inspection_id", "rule_id", "rule_number", "check_type", "weight", "critical", "applicability_kind", status.alias("status"), confidence.alias("confidence"))
 
 

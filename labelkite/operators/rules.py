@@ -86,22 +86,41 @@ def applicability(rules: DataFrame, contexts: DataFrame) -> DataFrame:
     return contexts.crossJoin(F.broadcast(rules)).withColumn("applicability_kind", kind)
 
 
+#: Types of check that ask whether a declaration was read.
+FIELD_CHECKS = ("declaration_present", "net_quantity", "mrp_declaration")
+
+
+def field_facts(fields: DataFrame) -> DataFrame:
+    """``inspection_id facts``: all readings of an inspection in one array, a few dozen at most.
+
+    ``fields``: inspection_id, field_name, value, state, confidence, human_absent.
+    """
+    seen = F.coalesce(F.col("state").isin("DETECTED", "MANUALLY_CORRECTED") & substantive(F.col("value")), F.lit(False))
+    fact = F.struct("field_name", seen.alias("seen"), "confidence", F.coalesce(F.col("state") == "CONFLICTING", F.lit(False)).alias("conflicting"), "human_absent")
+    return fields.groupBy("inspection_id").agg(F.collect_list(fact).alias("facts"))
+
+
+def declared(applies: Column, asked: Column, facts: Column) -> Column:
+    """struct(status, confidence) of a rule that asks for any of the fields ``asked``, over an inspection's ``facts``."""
+    own = F.coalesce(F.filter(facts, lambda f: F.array_contains(asked, f["field_name"])), F.filter(facts, lambda f: F.lit(False)))
+    told = F.filter(own, lambda f: f["human_absent"].isNotNull())
+    absent = (F.size(told) > 0) & F.forall(told, lambda f: f["human_absent"])
+    best = F.array_max(F.transform(F.filter(own, lambda f: f["seen"]), lambda f: f["confidence"]))
+    some = lambda name: F.coalesce(F.exists(own, lambda f: f[name]), F.lit(False))
+    status = F.when(~applies, "NOT_APPLICABLE").when(some("seen"), "PASS").when(some("conflicting"), "UNCERTAIN").when(absent, "FAIL").otherwise("UNCERTAIN")
+    return F.struct(status.alias("status"), F.when(status == "PASS", best).when(status == "FAIL", 1.0).otherwise(0.3).alias("confidence"))
+
+
 def declarations(applied: DataFrame, fields: DataFrame) -> DataFrame:
-    """Outcomes of ``declaration_present``, ``net_quantity`` and ``mrp_declaration`` rules.
+    """Outcomes of ``declaration_present``, ``net_quantity`` and ``mrp_declaration`` rules that ask for some field.
 
     ``fields``: inspection_id, field_name, value, state, confidence, human_absent. A substantive reading passes; a person
-    who confirmed the absence fails it; all else stays undecided: what wasn't read is no violation.
+    who confirmed the absence fails it; all else stays undecided: what wasn't read is no violation. An inspection's readings
+    are gathered once and all its rules are evaluated over them.
     """
-    asked = applied.filter(F.col("check_type").isin("declaration_present", "net_quantity", "mrp_declaration")).select("inspection_id", "rule_id", "rule_number", "check_type", "weight", "critical", "applicability_kind", F.explode("fields").alias("field_name"))
-    seen = F.col("state").isin("DETECTED", "MANUALLY_CORRECTED") & substantive(F.col("value"))
-    joined = asked.join(fields, ["inspection_id", "field_name"], "left")
-    facts = joined.groupBy("inspection_id", "rule_id", "rule_number", "check_type", "weight", "critical", "applicability_kind").agg(
-        F.coalesce(F.bool_or(seen), F.lit(False)).alias("seen"), F.max(F.when(seen, F.col("confidence"))).alias("best"),
-        F.coalesce(F.bool_or(F.col("state") == "CONFLICTING"), F.lit(False)).alias("conflicting"), F.coalesce(F.bool_and(F.col("human_absent")), F.lit(False)).alias("absent"),
-    )
-    status = F.when(F.col("applicability_kind") != "APPLIES", "NOT_APPLICABLE").when(F.col("seen"), "PASS").when(F.col("conflicting"), "UNCERTAIN").when(F.col("absent"), "FAIL").otherwise("UNCERTAIN")
-    confidence = F.when(status == "PASS", F.col("best")).when(status == "FAIL", 1.0).otherwise(0.3)
-    return facts.select("inspection_id", "rule_id", "rule_number", "check_type", "weight", "critical", "applicability_kind", status.alias("status"), confidence.alias("confidence"))
+    asked = applied.filter(F.col("check_type").isin(*FIELD_CHECKS) & (F.size("fields") > 0)).join(field_facts(fields), "inspection_id", "left")
+    judged = asked.withColumn("judged", declared(F.col("applicability_kind") == "APPLIES", F.col("fields"), F.col("facts")))
+    return judged.select("inspection_id", "rule_id", "rule_number", "check_type", "weight", "critical", "applicability_kind", "judged.*")
 
 
 def legibility(quality: Column) -> Column:

@@ -137,6 +137,15 @@ def all_check_types(spark, d):
     return checks.outcomes(applied, read, quality, _height_checks(spark, d), _placed(spark, d)).select("inspection_id", "rule_id", "check_type", "status", "confidence")
 
 
+@query(f"""SELECT inspection_id, string_agg(rule_id || ':' || status, ' ' ORDER BY rule_id) AS checks, count(*) FILTER (status = 'FAIL') AS failed, round(sum(confidence), 6) AS sure FROM ({ORACLES['all_check_types']}) GROUP BY 1""")
+def checks_by_inspection(spark, d):
+    """All outcomes of an inspection in one row."""
+    one = F.struct("rule_id", F.concat_ws(":", "rule_id", "status").alias("check"), "confidence")
+    by = all_check_types(spark, d).groupBy("inspection_id").agg(F.array_sort(F.collect_list(one)).alias("all"), F.count_if(F.col("status") == "FAIL").alias("failed"))
+    sure = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["confidence"])
+    return by.select("inspection_id", F.array_join(F.transform("all", lambda x: x["check"]), " ").alias("checks"), "failed", F.round(sure, 6).alias("sure"))
+
+
 @query("""SELECT o_orderkey AS inspection_id, CASE WHEN valid THEN px ELSE 8 END::DOUBLE AS calibration_px_per_mm, CASE WHEN valid AND px IS NOT NULL THEN CASE k % 5 WHEN 1 THEN 'manual_px_per_mm' ELSE 'reference_length(12.5 mm, 100 px)' END ELSE 'old' END AS calibration_source,
             CASE WHEN valid AND k % 5 = 3 THEN 40.0 END::DOUBLE AS panel_width_mm, CASE WHEN valid AND k % 5 = 3 THEN 50.0 END::DOUBLE AS panel_height_mm, CASE WHEN NOT valid THEN 7.0 END::DOUBLE AS pdp_area_cm2
           FROM (SELECT *, o_orderkey AS k, CASE o_orderkey % 5 WHEN 1 THEN 4.0 WHEN 2 THEN 8.0 END AS px, o_orderkey % 5 IN (1, 2, 3) AS valid FROM orders)""")
@@ -161,15 +170,15 @@ def letter_height_questions(spark, d):
     return measure.heights_for_questions(table(spark, d, "part").select(F.col("p_partkey").alias("question_id"), q.alias("question")))
 
 
-@query("""SELECT l_orderkey AS inspection_id, l_linenumber AS image_id, l_suppkey AS block, 0.5 * least(1, (l_partkey % 60) / 1600.0::DOUBLE / 0.04) + 0.25 * l_discount + 0.25 * (1 - l_tax) AS prominence_exact,
+@query("""SELECT l_orderkey AS inspection_id, l_linenumber AS image_id, l_suppkey AS block, round_even(0.5 * least(1, (l_partkey % 60) / 1600.0::DOUBLE / 0.04) + 0.25 * l_discount + 0.25 * (1 - l_tax), 3) AS prominence,
             CASE WHEN l_quantity % 5 = 0 THEN 'UNREADABLE' WHEN l_partkey % 5 + 1 > 3 THEN CASE WHEN l_suppkey % 100 >= 40 THEN 'READABLE' ELSE 'MARGINAL' END WHEN (l_partkey % 5 + 1) > 1 THEN 'MARGINAL' ELSE 'UNREADABLE' END AS readability FROM lineitem""")
 def block_prominence(spark, d):
     l = table(spark, d, "lineitem")
     high = (F.col("l_partkey") % 60).cast("double")
     n = F.when(F.col("l_quantity").cast("long") % 5 == 0, 0).otherwise(6)
     read = measure.readability(n, F.col("l_partkey") % 5 + 1, F.col("l_suppkey") % 100, F.lit(0.3), F.lit(0.1))
-    exact = 0.5 * F.least(F.lit(1.0), high / 1600 / 0.04) + 0.25 * F.col("l_discount") + 0.25 * (1 - F.col("l_tax"))
-    return l.select(F.col("l_orderkey").alias("inspection_id"), F.col("l_linenumber").alias("image_id"), F.col("l_suppkey").alias("block"), exact.alias("prominence_exact"), read.alias("readability"))
+    stands_out = measure.prominence(high, F.lit(1600), F.col("l_discount"), 1 - F.col("l_tax"))
+    return l.select(F.col("l_orderkey").alias("inspection_id"), F.col("l_linenumber").alias("image_id"), F.col("l_suppkey").alias("block"), stands_out.alias("prominence"), read.alias("readability"))
 
 
 @query("""WITH settled AS (SELECT inspection_id, rule_number FROM evaluations WHERE status = 'FAIL' AND inspection_id % 3 < 2)
