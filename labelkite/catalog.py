@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from labelkite.plans import fields, labels, layout, lookups, measures, scans
+from labelkite.plans import fields, labels, layout, lookups, measures, repairs, scans
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _part in (scans, labels, fields, lookups, measures, layout):
+for _part in (scans, labels, fields, lookups, measures, layout, repairs):
     QUERIES |= _part.QUERIES
     ORACLES |= _part.ORACLES

@@ -19,16 +19,18 @@ ANCHORS = (
 )
 
 
-def repaired(text: Column) -> Column:
+def repaired(text: Column, identifier: Column | None = None) -> Column:
     """struct(text, changes array<struct<was, now>>): letters for digits in tokens that are numbers otherwise.
 
-    A token with any other letter (a code, a word) stays as it was read, and so does one without a digit.
+    A token with any other letter (a code, a word) stays as it was read, and so does one without a digit. Where the line names an
+    ``identifier``, a token that ends like a unit is a code as well.
     """
+    code = F.lit(False) if identifier is None else F.coalesce(identifier, F.lit(False))
 
     def fixed(token: Column) -> Column:
         core = F.regexp_extract(token, _TOKEN, 2)
         now = F.concat(F.regexp_extract(token, _TOKEN, 1), F.translate(core, LETTERS, DIGITS), F.regexp_extract(token, _TOKEN, 3))
-        return F.struct(token.alias("was"), F.when(token.rlike(_TOKEN) & core.rlike("[0-9]"), now).otherwise(token).alias("now"))
+        return F.struct(token.alias("was"), F.when(token.rlike(_TOKEN) & core.rlike("[0-9]") & ~(code & (F.regexp_extract(token, _TOKEN, 3) != "")), now).otherwise(token).alias("now"))
 
     tokens = F.transform(F.split(text, " "), fixed)
     return F.struct(F.array_join(F.transform(tokens, lambda t: t["now"]), " ").alias("text"), F.filter(tokens, lambda t: t["was"] != t["now"]).alias("changes"))

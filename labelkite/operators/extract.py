@@ -210,7 +210,7 @@ def candidates(lines: DataFrame) -> DataFrame:
     """All candidates of all lines, with ``seq`` (their order) and the flags that ranking reads. Each line is read once."""
     readings = [F.struct(F.lit(n).alias("n"), r.alias("r")) for n, extract in enumerate(EXTRACTORS) for r in extract()]
     found = flagged(lines).select(*COLUMNS, F.explode(F.filter(F.array(*readings), lambda x: x["r"].isNotNull())).alias("x"))
-    seq = F.col("image_id") * 10_000_000_000 + F.col("x.n").cast("bigint") * 1_000_000_000 + F.col("line_index")
+    seq = F.struct("image_id", F.col("x.n").alias("extractor"), "line_index")
     out = found.select(*COLUMNS, "x.r.field_name", "x.r.value", "x.r.score", "x.r.confidence", seq.alias("seq"), "x.r.role_uncertain")
     return out.withColumn("ambiguous", F.col("value").endswith("|AMBIGUOUS"))
 
