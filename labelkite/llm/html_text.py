@@ -57,6 +57,9 @@ FURNISHED = frozenset("head nav footer aside form menu dialog button select".spl
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Words in a class or id that mark furniture outside of articles only: in them, they name parts of the text.
 IN_ARTICLES = frozenset("header legal login masthead navigation search teaser disclaimer copyright".split())
+#: Words that join others to names of furniture, and words that mark it in articles only where nothing else is named.
+JOINED = frozenset("area bar block body box button buttons container content form icon icons inner item items link links list media post posts section slot thread unit widget wrap wrapper".split())
+DOUBTFUL = frozenset("banner menu notice overlay promotion related replies reply share social sponsor".split())
 #: Words in a class or id that mark furniture.
 NAMED = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies"
@@ -72,7 +75,11 @@ HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
-    """A header inside an article is part of it, an article inside another one is a reader's comment."""
+    """A header inside an article is part of it, an article inside another one is a reader's comment.
+
+    Inside articles a name marks furniture as a whole only (``share-buttons``, not ``notice-board``), a doubtful one where the
+    element has no other name (``social``, not ``social science``), and never on an element within a line of text.
+    """
     if tag in FURNISHED or tag == ("article" if in_article else "header"):
         return True
     if not attributes or tag in ("body", "html"):
@@ -83,8 +90,14 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
         if name.lower() == "role":
             if value in ROLES:
                 return True
-        elif named.intersection(re.split(r"[^a-z0-9]+", value)):
-            return True
+        elif not in_article:
+            if named.intersection(re.split(r"[^a-z0-9]+", value)):
+                return True
+        elif tag in BLOCKS:
+            names = [re.split(r"[^a-z0-9]+", token) for token in value.split()]
+            whole = [bool(named.intersection(n)) and all(x in named or x in JOINED for x in n if x) for n in names]
+            if any(w and (len(n) > 1 or n[0] not in DOUBTFUL) for w, n in zip(whole, names)) or (whole and all(whole)):
+                return True
     return False
 
 
@@ -273,11 +286,14 @@ def dealt(pages: DataFrame, shard: int, copies: int) -> DataFrame:
     large = named.groupBy("host").agg(F.sum(F.length("html")).alias("n")).filter(F.col("n") > shard)
     # both are small, and written so that a host or content with very many pages isn't joined in one task
     large = written(large.select(F.col("host").alias("large"), F.ceil(F.col("n") / shard).cast("int").alias("of")), "hosts")
-    hot = written(named.groupBy(content.alias("hot")).count().filter(F.col("count") > copies).select("hot"), "copies")
+    hot = named.groupBy(content.alias("hot")).agg(F.count("*").alias("n"), F.min("key").alias("least")).filter(F.col("n") > copies)
+    hot = written(hot.select("hot", "least"), "copies")
     rows = named.withColumn("content", content).join(large, F.col("host") == F.col("large"), "left").join(hot, F.col("content") == F.col("hot"), "left")
     home = F.pmod("content", "shards").cast("int")
     rows = rows.withColumn("shards", F.coalesce("of", F.lit(1)))
-    spread = F.when(F.col("hot").isNull(), home).otherwise(F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
+    # the copy with the least key goes home, so that the content counts there whatever the others' keys
+    stays = F.col("hot").isNull() | F.col("key").eqNullSafe(F.col("least"))
+    spread = F.when(stays, home).otherwise(F.pmod(F.xxhash64("key"), F.col("shards")).cast("int"))
     return rows.select("key", "url", "html", "host", "shards", spread.alias("shard"), (spread == home).alias("counted"), "content")
 
 

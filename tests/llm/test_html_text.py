@@ -134,3 +134,23 @@ def test_edited_copies_of_an_article_stay_whole(spark):
     rows = [(i, f"http://h.example/{i}", f"<article><p>{body} end{i}</p></article><footer>all of us here</footer>") for i in range(9)]
     got = html_text.main_text(spark.createDataFrame(rows, KIND)).collect()
     assert sorted((r.page_id, r.text) for r in got) == [(i, f"{body} end{i}") for i in range(9)]
+
+
+def test_names_inside_articles():
+    keep = ['<div class="notice-board">kept</div>', '<p class="social science">kept</p>', '<p>one <span class="related-work">kept</span> two</p>', '<span id="share">kept</span>', '<div class="research">kept</div>', '<p class="legal">kept</p>']
+    drop = ['<div class="share-buttons">gone</div>', '<div class="social">gone</div>', '<section id="related-posts">gone</section>', '<div class="ad wide">gone</div>', '<div class="newsletter signup">gone</div>', '<ul class="comment-list">gone</ul>', "<aside>gone</aside>"]
+    for x in keep:
+        blocks, kinds = html_text.blocks_of(f"<article><p>text</p>{x}</article>")
+        assert "kept" in " ".join(b for b, k in zip(blocks, kinds) if k == html_text.ARTICLE), x
+    for x in drop:
+        blocks, kinds = html_text.blocks_of(f"<article><p>text</p>{x}</article>")
+        assert "gone" not in " ".join(b for b, k in zip(blocks, kinds) if k != html_text.FURNITURE), x
+    blocks, kinds = html_text.blocks_of('<body><div class="notice-board">menu</div><article><p>text</p></article></body>')
+    assert kinds == [html_text.FURNITURE, html_text.ARTICLE]
+
+
+def test_contents_with_many_copies_count_once_in_their_home(spark):
+    rows = [(i, "http://h/x", f"<p>content {i % 4} {'w ' * 40}</p>") for i in range(240)] + [(None, "http://h/x", "<p>none</p>")] * 30
+    pages = spark.createDataFrame(rows, "key bigint, url string, html string")
+    got = html_text.dealt(pages, 100, 20).filter("counted").select("content").distinct().count()
+    assert got == 5
