@@ -58,7 +58,7 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 #: Words in a class or id that mark furniture outside of articles only: in them, they name parts of the text.
 IN_ARTICLES = frozenset("header legal login masthead navigation search teaser disclaimer copyright".split())
 #: Words that join others to names of furniture, and words that mark it in articles only where nothing else is named.
-JOINED = frozenset("area bar block body box button buttons container content form icon icons inner item items link links list media post posts section slot thread unit widget wrap wrapper".split())
+JOINED = frozenset("area bar block body bottom box button buttons container content form icon icons inline inner item items left link links list media post posts reader readers right section site slot thread top unit user users widget wrap wrapper".split())
 DOUBTFUL = frozenset("banner menu notice overlay promotion related replies reply share social sponsor".split())
 #: Words in a class or id that mark furniture.
 NAMED = frozenset(
