@@ -78,7 +78,7 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
     """A header inside an article is part of it, an article inside another one is a reader's comment.
 
     Inside articles a name marks furniture as a whole only (``share-buttons``, not ``notice-board``), a doubtful one where the
-    element has no other name (``social``, not ``social science``), and never on an element within a line of text.
+    element has no other name (``social``, not ``social science``); an element within a line only by one undoubted name (``ad``).
     """
     if tag in FURNISHED or tag == ("article" if in_article else "header"):
         return True
@@ -93,10 +93,11 @@ def is_furniture(tag: str, attributes: str, in_article: bool) -> bool:
         elif not in_article:
             if named.intersection(re.split(r"[^a-z0-9]+", value)):
                 return True
-        elif tag in BLOCKS:
+        else:
             names = [re.split(r"[^a-z0-9]+", token) for token in value.split()]
             whole = [bool(named.intersection(n)) and all(x in named or x in JOINED for x in n if x) for n in names]
-            if any(w and (len(n) > 1 or n[0] not in DOUBTFUL) for w, n in zip(whole, names)) or (whole and all(whole)):
+            sure = [w and (n[0] not in DOUBTFUL if len(n) == 1 else tag in BLOCKS) for w, n in zip(whole, names)]
+            if any(sure) or (tag in BLOCKS and whole and all(whole)):
                 return True
     return False
 
