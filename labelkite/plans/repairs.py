@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelkite.operators import ranking, repair, snapshots
+from labelkite.operators import identity, needles, ranking, repair, snapshots
 from labelkite.plans.layout import _LINED, lined
 from labelkite.session import table
 from labelkite.sources.domain import with_views
@@ -99,3 +99,42 @@ def snapshot_differences(spark, d):
         "inspection_id", c["fields_changed"].alias("fields_changed"), c["rules_changed"].alias("rules_changed"), c["score_changed"].alias("score_changed"), c["classification_changed"].alias("classification_changed"), c["any"].alias("any_change"),
         F.array_join("headline", " | ").alias("headline"), F.array_join("newly_flagged", ",").alias("newly_flagged"), F.array_join("no_longer_flagged", ",").alias("no_longer_flagged"), "unresolved_before", "unresolved_after",
     )
+
+
+def _panels(spark, d):
+    """Two images of a pack, from parts: a front with a mark and a title, a side with declarations."""
+    k = F.col("p_partkey")
+    mark = F.concat(F.lit("Z"), F.upper(F.substring_index("p_name", " ", 1)))
+    box = F.struct(*[F.lit(v).alias(c) for c, v in (("x1", 0), ("y1", 0), ("x2", 100), ("y2", 20))])
+    line = lambda image, n, text: F.struct(F.lit(image).alias("image_id"), F.lit(n).alias("line_index"), text.alias("text"))
+    side = F.when(k % 3 == 0, F.concat(mark, F.lit("X on shelf"))).when(k % 3 == 1, F.concat(mark, F.lit("X and "), mark, F.lit("QQ"))).otherwise(F.lit("nothing here"))
+    lines = F.array(
+        line(1, 0, mark), line(1, 1, F.concat(F.lit("Common name: "), F.col("p_name"))), line(2, 0, F.concat(F.lit("Brand: B"), k.cast("string"))), line(2, 1, F.lit("Packed by:")),
+        line(2, 2, F.concat(F.lit("Acme "), k.cast("string"), F.lit(" Foods Pvt Ltd"))), line(2, 3, side),
+    )
+    return table(spark, d, "part").select(k.alias("inspection_id"), F.lit(0.9).alias("confidence"), box.alias("bbox"), F.inline(lines))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name, 'Z' || upper(string_split(p_name, ' ')[1]) AS mark FROM part)
+          SELECT k AS inspection_id, 'brand' AS field_name, 'B' || k AS value, false AS inferred FROM p UNION ALL SELECT k, 'common_name', p_name, false FROM p UNION ALL SELECT k, 'packer', 'Acme ' || k || ' Foods Pvt Ltd', false FROM p
+          UNION ALL SELECT k, 'brand', mark, true FROM p WHERE k % 3 < 2""")
+def identity_readings(spark, d):
+    """Brands, common names and companies of two panels in one run; a mark that another panel bears out is inferred."""
+    return identity.candidates(_panels(spark, d)).filter("field_name in ('brand', 'common_name', 'packer')").select("inspection_id", "field_name", "value", "inferred")
+
+
+@query("""SELECT p_partkey AS inspection_id, 'Z' || upper(string_split(p_name, ' ')[1]) AS value, CASE WHEN p_partkey % 3 = 0 AND length(string_split(p_name, ' ')[1]) > 2 THEN 'Z' || upper(string_split(p_name, ' ')[1]) || 'X' END AS completed FROM part""")
+def completed_marks(spark, d):
+    """Marks cut at their end, which another panel prints in full; where its words disagree they stay."""
+    lines = _panels(spark, d)
+    marks = lines.filter("image_id = 1 and line_index = 0").select("inspection_id", F.lit(0).alias("mark_id"), F.col("text").alias("value"))
+    return identity.completed_marks(marks, lines).select("inspection_id", "value", "completed")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN 0.0 ELSE 1.0 END::DOUBLE AS similarity, CASE p_partkey % 3 WHEN 2 THEN 0.62 ELSE 0.97 END::DOUBLE AS confidence, p_partkey % 3 = 2 AS inferred FROM part""")
+def readings_borne_out(spark, d):
+    """Names against the recognised text of their picture: in it, in it with other spaces and marks, and not a letter of it."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    text = F.when(k % 3 == 0, F.concat(F.lit("12 "), F.upper("p_name"), F.lit(" 34"))).when(k % 3 == 1, F.concat(F.lit("#"), F.replace("p_name", F.lit(" "), F.lit("-\n")))).otherwise("0123456789")
+    read = p.select("p_partkey", F.col("p_name").alias("value"), F.lit(0.99).alias("confidence"))
+    return needles.corroborated(read, p.select("p_partkey", text.alias("text")), ["p_partkey"]).select("p_partkey", "similarity", "confidence", "inferred")
