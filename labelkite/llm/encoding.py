@@ -9,7 +9,7 @@ texts that hold a special token's own string, which the library takes for that t
 from __future__ import annotations
 
 import re
-import struct
+from array import array
 
 from labelkite.llm.common import only
 
@@ -49,6 +49,20 @@ def byte_letters() -> dict[int, str]:
     return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(256)}
 
 
+def spaced(text: str) -> list[str]:
+    """The stretches of a byte-level vocabulary, without the pattern where lines have single spaces between their words alone."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        words = line.split()
+        if not words or " ".join(words) != line:
+            return STRETCHES["byte_bpe_50k.json"].findall(text)
+        if out:
+            out.append("\n")
+        out.append(words[0])
+        out += [" " + w for w in words[1:]]
+    return out
+
+
 class Encoder:
     def __init__(self, name: str, path: str | None = None):
         import os
@@ -62,7 +76,7 @@ class Encoder:
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.find = STRETCHES[name].findall if name == "byte_bpe_50k.json" else str.split  # alike on texts that aren't odd
+        self.find = spaced if name == "byte_bpe_50k.json" else str.split  # as STRETCHES, on texts that aren't odd
         self.lower = name == "word_bpe_49k.json"
         self.bytes = byte_letters()
         self.once: set[str] = set()
@@ -80,20 +94,25 @@ class Encoder:
 
     def _stretches(self, new: set[str]) -> dict[str, bytes]:
         """The ids of each stretch: plain ones by the library's model directly, others by all of the library."""
-        out, others, marks = {}, [], self.marks
+        out, others, marks, tokenize, lower, space = {}, [], self.marks, self.tokenizer.model.tokenize, self.lower, self.bytes[32]
         for x in new:
+            word = x[1:] if x[0] == " " else x
+            if word.isascii() and word.isalpha():  # most are, and their letters stand for themselves
+                if lower:
+                    word = word.lower()
+                out[x] = array("I", [t.id for t in tokenize(word if x[0] != " " else space + word)]).tobytes()
+                continue
             plain = PLAIN.fullmatch(x)
             if not plain:
                 others.append(x)
                 continue
             letters, after = plain.groups()
-            ids = self._run(letters.lower() if self.lower else letters)
+            ids = self._run(letters.lower() if lower else letters)
             if after not in marks:
                 if len(marks) > 10_000:
                     marks.clear()
                 marks[after] = self._run(after) if after else []
-            ids = ids + marks[after]
-            out[x] = struct.pack(f"<{len(ids)}I", *ids)
+            out[x] = array("I", ids + marks[after]).tobytes()
         out.update(zip(others, self.library(others), strict=True))
         return out
 
