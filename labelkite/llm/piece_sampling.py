@@ -38,6 +38,8 @@ SHORT = 40
 #: Bits of a stretch's length, which hold that of any text.
 PLACE_BITS = 31
 LONGEST = (1 << PLACE_BITS) - 1
+#: Of a piece as a number (end, how far back it begins, id): what one more letter adds.
+ONWARD = 1 << 32 | 1 << 24
 MARK = "▁"
 #: Stands for a space mark in a text; no valid text has it.
 OWN_MARK = "\udc81"
@@ -89,12 +91,15 @@ class Sampler:
         self.byte_ids = {int(names[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         plain = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         self.pieces = {names[i]: i for i in plain}
+        self.longest = max(map(len, self.pieces))
+        #: By letter: what may follow, and the id of the piece that ends here, -1 if none does.
         self.trie: dict = {}
         for p, i in self.pieces.items():
             node = self.trie
             for c in p:
-                node = node.setdefault(c, {})
-            node[""] = i
+                last = node.setdefault(c, [{}, -1])
+                node = last[0]
+            last[1] = i
         scores = [sp.get_score(i) for i in range(n)]
         least = min(x for x in scores if x > -1e8)  # pieces without a score of their own have -1e9: they count as the last
         self.weight = np.array([math.exp(alpha * max(x, least)) for x in scores])
@@ -139,17 +144,20 @@ class Sampler:
 
     def edges(self, x: str, base: int, out: list[int]) -> None:
         """Add all pieces in a stretch whose first state is ``base``, as numbers: end, how far back it begins, id."""
-        root, n, add = self.trie, len(x), out.append
-        for i in range(n):
-            node = root
-            if x[i] not in self.pieces:
-                add(base + i + 1 << 32 | 1 << 24 | self._rare(x[i]))
-            for j in range(i, n):
-                node = node.get(x[j])
+        root, pieces, longest, add, number = self.trie, self.pieces, self.longest, out.append, base << 32
+        for i in range(len(x)):
+            if x[i] not in pieces:
+                add(number + ONWARD | self._rare(x[i]))
+            nodes, to = root, number
+            for c in x[i : i + longest]:
+                node = nodes.get(c)
                 if node is None:
                     break
-                if "" in node:
-                    add(base + j + 1 << 32 | j + 1 - i << 24 | node[""])
+                to += ONWARD
+                nodes, piece = node
+                if piece >= 0:
+                    add(to | piece)
+            number += 1 << 32
 
     def lattices(self, new: list[str], low: int):
         """Tables of the lattices of stretches, states numbered from ``low``, and where each begins."""
