@@ -30,7 +30,8 @@ NUTRIENTS = ("energy", "protein", "proteins", "carbohydrate", "carbohydrates", "
 #: What a line speaks of whose amounts are no retail prices.
 OTHER_TOPICS = (*NUTRIENTS, "nutrition", "nutritional", "fssai", "licence no", "license no", "lic. no", "batch", "lot", "phone", "mobile", "tel", "toll free", "email", "e-mail", "pin code", "pincode", "invoice", "tax")
 
-# Patterns of this engine's own, put together from the lists above. Java's syntax; the letters' case doesn't matter.
+# What NUMERIC, CURRENCY, CARE and SITE recognise, and the terms of NUTRIENTS and OTHER_TOPICS, must be as they are for
+# equal results. The other patterns are put together from the lists above. Java's syntax; the letters' case doesn't matter.
 MRP_KEYWORD = rf"(?i)\b{NAMES_OF_PRICE}"
 CURRENCY = rf"(?i){RUPEES}\s*({AMOUNT})"
 UNIT_PRICE = rf"(?i){RUPEES}\s*[0-9][0-9.,]*\s*(?:/|per\s)\s*[0-9]*\s*{UNIT}(?![a-z])"
