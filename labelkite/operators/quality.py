@@ -67,3 +67,50 @@ def best_views(readings: DataFrame) -> DataFrame:
     """The most confident reading of each field over a product's views; the first view on a tie."""
     w = Window.partitionBy("product_id", "field").orderBy(F.desc("confidence"), "view_index")
     return readings.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+#: Metrics of an image with their weights in tenths, and where a value is good and acceptable; the first four are
+#: better the larger they are, the others the smaller.
+IMAGE_METRICS = {
+    "resolution": (15, 1400, 700), "blur": (20, 120, 30), "brightness": (12, 80, 45), "contrast": (12, 40, 22),
+    "glare": (15, 0.02, 0.08), "overexposure": (8, 0.05, 0.15), "underexposure": (8, 0.15, 0.35), "orientation": (10, 2, 7), "compression": (10, 2.5, 6),
+}
+LARGER = ("resolution", "blur", "brightness", "contrast")
+#: Tenths that a band counts, and the share of all points from which an image is good and acceptable.
+BAND_TENTHS = {"GOOD": 10, "ACCEPTABLE": 6, "POOR": 0}
+GOOD_FROM, ACCEPTABLE_FROM = 0.75, 0.45
+
+
+def image_quality(images: DataFrame) -> DataFrame:
+    """``images`` with a band for each metric (array of structs), ``score`` and ``status``.
+
+    ``images``: width, height, laplacian_variance, mean_brightness, rms_contrast, glare, overexposure, underexposure, skew, blockiness.
+    Blur is judged for the size of the image. An image that is small and blurred is unusable; a good one has one poor metric at
+    most. A metric that is null is poor.
+    """
+    long, short = F.greatest("width", "height"), F.least("width", "height")
+    value = {
+        "resolution": short, "blur": F.col("laplacian_variance") / F.greatest(long / 1000.0, F.lit(0.4)), "brightness": F.col("mean_brightness"), "contrast": F.col("rms_contrast"),
+        "glare": F.col("glare"), "overexposure": F.col("overexposure"), "underexposure": F.col("underexposure"), "orientation": F.abs("skew"), "compression": F.col("blockiness"),
+    }
+
+    def band(name: str) -> Column:
+        _, good, fair = IMAGE_METRICS[name]
+        v = value[name]
+        if name in ("resolution", "brightness", "contrast"):
+            return F.when(v >= good, "GOOD").when(v >= fair, "ACCEPTABLE").otherwise("POOR")
+        if name == "blur":
+            return F.when(v > good, "GOOD").when(v > fair, "ACCEPTABLE").otherwise("POOR")
+        if name in ("glare", "compression"):
+            return F.when(v < good, "GOOD").when(v < fair, "ACCEPTABLE").otherwise("POOR")
+        return F.when(v <= good, "GOOD").when(v <= fair, "ACCEPTABLE").otherwise("POOR")
+
+    one = lambda n: F.struct(F.lit(n).alias("metric"), band(n).alias("band"), F.lit(IMAGE_METRICS[n][0]).alias("weight"))
+    rows = images.withColumn("bands", F.array(*[one(n) for n in IMAGE_METRICS]))
+    tenths = lambda b: F.when(b["band"] == "GOOD", BAND_TENTHS["GOOD"]).when(b["band"] == "ACCEPTABLE", BAND_TENTHS["ACCEPTABLE"]).otherwise(BAND_TENTHS["POOR"])
+    points = F.aggregate("bands", F.lit(0), lambda s, b: s + tenths(b) * b["weight"])
+    most = 10 * sum(w for w, *_ in IMAGE_METRICS.values())
+    poor = F.size(F.filter("bands", lambda b: b["band"] == "POOR"))
+    useless = F.forall(F.filter("bands", lambda b: b["metric"].isin("resolution", "blur")), lambda b: b["band"] == "POOR")
+    status = F.when(useless, "UNUSABLE").when((points >= GOOD_FROM * most) & (poor <= 1), "GOOD").when(points >= ACCEPTABLE_FROM * most, "ACCEPTABLE").otherwise("POOR")
+    return rows.select(*images.columns, F.transform("bands", lambda b: F.struct(b["metric"].alias("metric"), b["band"].alias("band"))).alias("bands"), F.bround(points / most, 3).alias("score"), status.alias("status"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from labelkite.operators import layout
+from labelkite.operators import layout, quality
 from labelkite.session import table
 from labelkite.sources.domain import with_views
 
@@ -183,3 +183,25 @@ def date_block_pairs(spark, d):
      FROM given g LEFT JOIN m ON m.image_id = g.image_id""")
 def dates_in_order(spark, d):
     return layout.paired_dates(*_dates(spark, d)).select("image_id", "field_name", "value", "superseded")
+
+
+_BANDS = {
+    "resolution": ("least(width, height)", ">= 1400", ">= 700"), "blur": ("lap / greatest(greatest(width, height) / 1000.0::DOUBLE, 0.4::DOUBLE)", "> 120", "> 30"), "brightness": ("light", ">= 80", ">= 45"),
+    "contrast": ("rms", ">= 40", ">= 22"), "glare": ("glare", "< 0.02::DOUBLE", "< 0.08::DOUBLE"), "overexposure": ("over", "<= 0.05::DOUBLE", "<= 0.15::DOUBLE"), "underexposure": ("under", "<= 0.15::DOUBLE", "<= 0.35::DOUBLE"),
+    "orientation": ("abs(skew)", "<= 2", "<= 7"), "compression": ("blocky", "< 2.5", "< 6"),
+}
+
+
+@query(f"WITH {_LINED}, " + """i AS (SELECT l_orderkey AS inspection_id, l_linenumber AS image_id, l_partkey % 25 * 80 + 100 AS width, l_suppkey % 25 * 80 + 100 AS height, (l_partkey % 190)::DOUBLE AS lap, l_suppkey % 110 AS light, l_partkey % 60 AS rms,
+              l_discount AS glare, l_tax * 3 AS over, l_discount * 5 AS under, (l_partkey % 19 - 9) AS skew, (l_suppkey % 9)::DOUBLE AS blocky FROM lined),
+          b AS (SELECT inspection_id, image_id, """ + ", ".join(f"CASE WHEN {v} {g} THEN 10 WHEN {v} {f} THEN 6 ELSE 0 END AS {n}" for n, (v, g, f) in _BANDS.items()) + """ FROM i),
+          s AS (SELECT *, resolution * 15 + blur * 20 + brightness * 12 + contrast * 12 + glare * 15 + overexposure * 8 + underexposure * 8 + orientation * 10 + compression * 10 AS points,
+                       """ + " + ".join(f"({n} = 0)::INT" for n in _BANDS) + """ AS poor FROM b)
+          SELECT inspection_id, image_id, round_even(points / 1100.0::DOUBLE, 3) AS score, poor::INT AS poor, CASE WHEN resolution = 0 AND blur = 0 THEN 'UNUSABLE' WHEN points >= 825 AND poor <= 1 THEN 'GOOD' WHEN points >= 495 THEN 'ACCEPTABLE' ELSE 'POOR' END AS status FROM s""")
+def image_quality_bands(spark, d):
+    l, p, s = lined(spark, d), F.col("l_partkey"), F.col("l_suppkey")
+    images = l.select(
+        F.col("l_orderkey").alias("inspection_id"), F.col("l_linenumber").alias("image_id"), (p % 25 * 80 + 100).alias("width"), (s % 25 * 80 + 100).alias("height"), (p % 190).cast("double").alias("laplacian_variance"),
+        (s % 110).alias("mean_brightness"), (p % 60).alias("rms_contrast"), F.col("l_discount").alias("glare"), (F.col("l_tax") * 3).alias("overexposure"), (F.col("l_discount") * 5).alias("underexposure"), (p % 19 - 9).alias("skew"), (s % 9).cast("double").alias("blockiness"),
+    )
+    return quality.image_quality(images).select("inspection_id", "image_id", "score", F.size(F.filter("bands", lambda b: b["band"] == "POOR")).alias("poor"), "status")

@@ -130,3 +130,18 @@ def test_best_reading_stands_for_a_label(spark):
     got = layout.date_blocks(c, v).first()
     assert (got.reference_now, got.deadline_now, got.earliest, got.latest, got.moved) == ("2024-01-01", "2023-01-01", "2023-01-01", "2024-01-01", True)
     assert layout.paired_dates(c, v).filter(F.col("field_name") == "date_packing").count() == 1
+
+
+def test_bands_of_an_image(spark):
+    from labelkite.operators import quality
+
+    kind = "width int, height int, laplacian_variance double, mean_brightness double, rms_contrast double, glare double, overexposure double, underexposure double, skew double, blockiness double"
+    rows = [
+        (2000, 1500, 400.0, 120.0, 50.0, 0.0, 0.0, 0.0, -1.0, 1.0),  # all good
+        (1500, 2000, 400.0, 120.0, 50.0, 0.08, 0.0, 0.0, 0.0, 1.0),  # one poor metric
+        (1500, 2000, 400.0, 120.0, 50.0, 0.08, 0.2, 0.0, 0.0, 1.0),  # two
+        (600, 600, 10.0, 120.0, 50.0, 0.0, 0.0, 0.0, 0.0, 1.0),  # small and blurred
+        (800, 800, 50.0, 20.0, 10.0, 0.5, 0.5, 0.5, -20.0, 9.0), (None, None, None, None, None, None, None, None, None, None),
+    ]
+    got = [(r.status, r.score) for r in quality.image_quality(spark.createDataFrame(rows, kind).coalesce(1)).collect()]
+    assert got == [("GOOD", 1.0), ("GOOD", 0.864), ("ACCEPTABLE", 0.791), ("UNUSABLE", 0.682), ("POOR", 0.191), ("UNUSABLE", 0.0)]
