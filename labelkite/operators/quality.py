@@ -114,3 +114,24 @@ def image_quality(images: DataFrame) -> DataFrame:
     useless = F.forall(F.filter("bands", lambda b: b["metric"].isin("resolution", "blur")), lambda b: b["band"] == "POOR")
     status = F.when(useless, "UNUSABLE").when((points >= GOOD_FROM * most) & (poor <= 1), "GOOD").when(points >= ACCEPTABLE_FROM * most, "ACCEPTABLE").otherwise("POOR")
     return rows.select(*images.columns, F.transform("bands", lambda b: F.struct(b["metric"].alias("metric"), b["band"].alias("band"))).alias("bands"), F.bround(points / most, 3).alias("score"), status.alias("status"))
+
+
+def ground_truth(annotations: DataFrame) -> DataFrame:
+    """(product_id, field, truth) from annotations with ``fields`` (map of name to struct(value, unit)); a net quantity gives its value and
+    its unit as fields of their own, empty values none."""
+    told = annotations.select("product_id", F.explode("fields").alias("name", "spec")).filter(F.trim(F.coalesce("spec.value", F.lit(""))) != "")
+    quantity = F.col("name") == "net_quantity"
+    one = lambda field, truth: F.struct(field.alias("field"), truth.alias("truth"))
+    parts = F.when(quantity, F.array(one(F.lit("net_quantity_value"), F.col("spec.value")), one(F.lit("net_quantity_unit"), F.col("spec.unit")))).otherwise(F.array(one(F.col("name"), F.col("spec.value"))))
+    return told.select("product_id", F.inline(parts)).filter(F.trim(F.coalesce("truth", F.lit(""))) != "")
+
+
+def evaluated(annotations: DataFrame, readings: DataFrame) -> DataFrame:
+    """``field_accuracy`` of annotated products against the most confident reading of each field over their views.
+
+    ``readings``: product_id, view_index, field, value, confidence. Products without any view aren't evaluated; a field that no view
+    gave, or only without a value, is missing and not wrong.
+    """
+    seen = readings.select("product_id").distinct()
+    truth = ground_truth(annotations).join(seen, "product_id", "left_semi")
+    return field_accuracy(truth.join(best_views(readings).select("product_id", "field", "value", "confidence"), ["product_id", "field"], "left"))

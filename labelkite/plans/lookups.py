@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from labelkite.operators import extract, lookups, scoring
+from labelkite.operators import extract, lookups, quality, scoring
 from labelkite.session import table
 from labelkite.sources import domain
 from labelkite.sources.domain import with_views
@@ -134,3 +134,22 @@ def declared_readings(spark, d):
     )
     lines = p.select(F.col("p_partkey").alias("inspection_id"), F.lit(1).alias("image_id"), F.lit(0.9).alias("confidence"), F.posexplode(texts).alias("line_index", "text"))
     return extract.candidates(lines.select("inspection_id", "image_id", "line_index", "text", "confidence")).select("inspection_id", "field_name", "value")
+
+
+@query("""WITH p AS (SELECT * FROM part WHERE p_partkey % 7 > 0), n AS (SELECT count(*) AS n, count(*) FILTER (p_partkey % 3 = 0) AS third, count(*) FILTER (p_partkey % 2 = 0) AS half FROM p)
+          SELECT 'brand' AS field, n AS exact, 0 AS same, 0 AS wrong, 0 AS missing, 1.0::DOUBLE AS accuracy, 0.9::DOUBLE AS mean_confidence FROM n
+          UNION ALL SELECT 'mrp', 0, third, n - third, 0, round_even(third / n::DOUBLE, 4), 0.8 FROM n
+          UNION ALL SELECT 'net_quantity_value', half, 0, 0, n - half, round_even(half / n::DOUBLE, 4), 0.7 FROM n UNION ALL SELECT 'net_quantity_unit', 0, 0, 0, n, 0.0, NULL FROM n""")
+def ground_truth_evaluation(spark, d):
+    """Annotated products against what two views of each gave; a seventh of them has no view."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    spec = lambda value, unit=None: F.struct(value.alias("value"), F.lit(unit).cast("string").alias("unit"))
+    price = F.format_string("%.2f", "p_retailprice")
+    annotations = p.select(k.alias("product_id"), F.create_map(F.lit("mrp"), spec(price), F.lit("brand"), spec(F.col("p_brand")), F.lit("net_quantity"), spec(F.col("p_size").cast("string"), "g")).alias("fields"))
+    read = lambda when, view, field, value, sure: F.when(when, F.struct(F.lit(view).alias("view_index"), F.lit(field).alias("field"), value.alias("value"), F.lit(sure).alias("confidence")))
+    every = F.lit(True)
+    views = F.array_compact(F.array(
+        read(every, 0, "mrp", F.lit("0.00"), 0.5), read(every, 0, "brand", F.lower("p_brand"), 0.9), read(k % 2 == 0, 0, "net_quantity_value", F.col("p_size").cast("string"), 0.7),
+        read(k % 3 == 0, 1, "mrp", F.concat(F.lit("Rs. "), price), 0.8), read(every, 1, "brand", F.lit("other"), 0.4),
+    ))
+    return quality.evaluated(annotations, p.filter(k % 7 > 0).select(k.alias("product_id"), F.inline(views)))

@@ -145,3 +145,13 @@ def test_bands_of_an_image(spark):
     ]
     got = [(r.status, r.score) for r in quality.image_quality(spark.createDataFrame(rows, kind).coalesce(1)).collect()]
     assert got == [("GOOD", 1.0), ("GOOD", 0.864), ("ACCEPTABLE", 0.791), ("UNUSABLE", 0.682), ("POOR", 0.191), ("UNUSABLE", 0.0)]
+
+
+def test_ground_truth_over_views(spark):
+    from labelkite.operators import quality
+
+    spec = "struct<value:string,unit:string>"
+    annotations = spark.createDataFrame([(1, {"mrp": ("10.00", None), "net_quantity": ("500", "g"), "brand": (" ", None)}), (2, {"mrp": ("20", None)}), (3, {"mrp": ("30", None)})], f"product_id int, fields map<string,{spec}>")
+    readings = spark.createDataFrame([(1, 0, "mrp", "99", 0.4), (1, 1, "mrp", "10", 0.6), (1, 0, "net_quantity_value", "", 0.9), (2, 0, "mrp", "21", 0.7)], "product_id int, view_index int, field string, value string, confidence double")
+    got = {r.field: (r.exact, r["same"], r.wrong, r.missing) for r in quality.evaluated(annotations, readings).collect()}
+    assert got == {"mrp": (0, 1, 1, 0), "net_quantity_value": (0, 0, 0, 1), "net_quantity_unit": (0, 0, 0, 1)}
