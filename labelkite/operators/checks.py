@@ -147,14 +147,15 @@ def in_hero(fields: DataFrame, heroes: DataFrame, least: float = 0.6) -> DataFra
 def marks_on_other_panels(marks: DataFrame, lines: DataFrame) -> DataFrame:
     """Word marks (inspection_id, image_id, token) that start a word on another image of the inspection.
 
-    Marks meet lines by the first character of each word, so an inspection's lines aren't paired with all of its marks.
+    Marks meet lines by the first character of each word, so an inspection's lines aren't paired with all of its marks. Both sides are
+    shuffled: a word is a row, so they are far larger than the files by whose size a broadcast would be chosen.
     """
     key = lambda c: F.substring(c, 1, 1)
     word = F.explode(F.array_distinct(F.transform(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), key)))
     keyed = lines.select("inspection_id", F.col("image_id").alias("_image"), F.lower("text").alias("_text"), word.alias("_key"))
     low = F.lower("token")
     asked = marks.filter("token <> ''").withColumn("_key", key(F.regexp_extract(low, "[a-z0-9]+", 0)))
-    near = asked.join(keyed, ["inspection_id", "_key"]).filter(F.col("image_id") != F.col("_image"))
+    near = asked.hint("merge").join(keyed, ["inspection_id", "_key"]).filter(F.col("image_id") != F.col("_image"))
     hit = near.filter(F.expr(r"rlike(_text, concat('(?<![a-z0-9])\\Q', lower(token), '\\E'))"))
     return hit.select(*marks.columns).distinct()
 

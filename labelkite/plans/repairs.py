@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from labelkite.operators import identity, needles, ranking, repair, snapshots
 from labelkite.plans.layout import _LINED, lined
-from labelkite.session import table
+from labelkite.session import dealt, table
 from labelkite.sources.domain import with_views
 
 QUERIES: dict = {}
@@ -112,7 +112,7 @@ def _panels(spark, d):
         line(1, 0, mark), line(1, 1, F.concat(F.lit("Common name: "), F.col("p_name"))), line(2, 0, F.concat(F.lit("Brand: B"), k.cast("string"))), line(2, 1, F.lit("Packed by:")),
         line(2, 2, F.concat(F.lit("Acme "), k.cast("string"), F.lit(" Foods Pvt Ltd"))), line(2, 3, side),
     )
-    return table(spark, d, "part").select(k.alias("inspection_id"), F.lit(0.9).alias("confidence"), box.alias("bbox"), F.inline(lines))
+    return dealt(table(spark, d, "part"), "p_partkey").select(k.alias("inspection_id"), F.lit(0.9).alias("confidence"), box.alias("bbox"), F.inline(lines))
 
 
 @query("""WITH p AS (SELECT p_partkey AS k, p_name, 'Z' || upper(string_split(p_name, ' ')[1]) AS mark FROM part)
