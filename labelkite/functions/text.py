@@ -5,6 +5,8 @@ Patterns are written so that Java's, Python's and RE2's engines read them alike:
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,25 +40,27 @@ PHONE = r"(?:\+?91[\s-]?)?[6-9][0-9]{9}|1800[\s-]?[0-9]{3}[\s-]?[0-9]{3,4}"
 
 def squashed(text: Column) -> Column:
     """Letters and digits only, in capitals."""
-    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]", ""))
+    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", ""))
 
 
 def company_like(text: Column) -> Column:
     """Whether a line names a company, with or without spaces between its words."""
     s = squashed(text)
     word = F.lower(text).rlike(rf"\b({'|'.join(ENTITY_WORDS)})\b")
-    tail, strong = s.rlike(f"({'|'.join(ENTITY_TAILS)})$"), s.rlike("|".join(ENTITY_STRONG))
+    either = lambda tests: functools.reduce(Column.__or__, tests)
+    tail, strong = either([s.endswith(x) for x in ENTITY_TAILS]), either([s.contains(x) for x in ENTITY_STRONG])
     return F.coalesce((F.length(F.trim(text)) >= 4) & (word | ((F.length(s) >= 5) & (tail | strong))), F.lit(False))
 
 
 def script(text: Column) -> Column:
     """The script with the most characters; the first one on a tie, 'Unknown' without any."""
-    counts = [F.length(F.regexp_replace(text, f"[^{block}]", "")) for block in SCRIPTS.values()]
-    most = F.greatest(*counts)
-    out = F.when(most == 0, "Unknown")
-    for name, n in zip(SCRIPTS, counts):
-        out = out.when(n == most, name)
-    return out
+    count = lambda block: F.length(F.regexp_replace(text, f"[^{block}]+", ""))
+    one = lambda n, place, name: F.struct(n.alias("n"), F.lit(-place).alias("order"), F.lit(name).alias("name"))
+    counted = F.array_max(F.array(one(F.lit(0), len(SCRIPTS), "Unknown"), *[one(F.when(text.rlike(f"[{block}]"), count(block)).otherwise(0), i, name) for i, (name, block) in enumerate(SCRIPTS.items())]))
+    # Latin alone, or none: settled by looking for any letter of the other blocks, which reads the text once
+    others = "".join(block for name, block in SCRIPTS.items() if name != "Latin")
+    few = F.when(text.rlike(f"[{SCRIPTS['Latin']}]"), "Latin").otherwise("Unknown")
+    return F.when(text.rlike(f"[{others}]"), counted["name"]).when(text.isNotNull(), few)
 
 
 def number(text: Column) -> Column:

@@ -95,3 +95,17 @@ def test_questions(spark):
     assert [(r.topic, r.strength) for r in assistant.topics(q, known).collect()] == [("quantity", "strong")]
     rules = spark.createDataFrame([("6(1)(a)",), ("6(1)(b)",), ("9(1)",)], "rule_number string")
     assert assistant.resolved(spark.createDataFrame([("6(1)(b)",), ("9(2)",)], "reference string"), rules).filter("reference = '9(2)'").first().rule_number == "9(1)"
+
+
+def test_scripts_are_counted_once(spark):
+    df = spark.createDataFrame([("abc कखगघ",), ("abcd कख ગઘ",), ("কখ গগ कख गग",), ("12 é.",), ("",), (None,), ("ab കഖ",)], "t string")
+    got = df.select(text.script(F.col("t")).alias("s"))
+    assert [r.s for r in got.collect()] == ["Devanagari", "Latin", "Devanagari", "Unknown", "Unknown", None, "Malayalam"]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.lower().count("regexp_replace") <= len(text.SCRIPTS)
+
+
+def test_companies_by_their_tails(spark):
+    cases = {"ACME FOODSLTD": True, "A.C.M.E P-V-T.": True, "MegaPackers&co": True, "LTDX": False, "Ltd": False, "Foods inc": True, "zinc": False}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.c for r in df.select("t", text.company_like(F.col("t")).alias("c")).collect()} == cases
