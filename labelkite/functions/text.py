@@ -38,6 +38,11 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 PHONE = r"(?:\+?91[\s-]?)?[6-9][0-9]{9}|1800[\s-]?[0-9]{3}[\s-]?[0-9]{3,4}"
 
 
+def once(value: Column, made) -> Column:
+    """``made(value)`` with ``value`` worked out once, however often ``made`` names it: an array of one."""
+    return F.element_at(F.transform(F.array(value), made), 1)
+
+
 def squashed(text: Column) -> Column:
     """Letters and digits only, in capitals."""
     return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", ""))
@@ -45,11 +50,10 @@ def squashed(text: Column) -> Column:
 
 def company_like(text: Column) -> Column:
     """Whether a line names a company, with or without spaces between its words."""
-    s = squashed(text)
     word = F.lower(text).rlike(rf"\b({'|'.join(ENTITY_WORDS)})\b")
     either = lambda tests: functools.reduce(Column.__or__, tests)
-    tail, strong = either([s.endswith(x) for x in ENTITY_TAILS]), either([s.contains(x) for x in ENTITY_STRONG])
-    return F.coalesce((F.length(F.trim(text)) >= 4) & (word | ((F.length(s) >= 5) & (tail | strong))), F.lit(False))
+    named = lambda s: (F.length(s) >= 5) & (either([s.endswith(x) for x in ENTITY_TAILS]) | either([s.contains(x) for x in ENTITY_STRONG]))
+    return F.coalesce((F.length(F.trim(text)) >= 4) & (word | once(squashed(text), named)), F.lit(False))
 
 
 def script(text: Column) -> Column:
@@ -80,13 +84,17 @@ def money(text: Column) -> Column:
 
 def duration_days(text: Column) -> Column:
     """Days of a declared duration; a month counts 30 days and a year 365."""
-    t = F.lower(F.coalesce(text, F.lit("")))
-    n = F.nullif(F.regexp_extract(t, r"([0-9]{1,3})[ ]*(day|week|month|year)", 1), F.lit("")).cast("int")
-    unit = F.regexp_extract(t, r"([0-9]{1,3})[ ]*(day|week|month|year)", 2)
-    size = F.lit(None).cast("int")
-    for name, days in UNIT_DAYS.items():
-        size = F.when(unit == name, days).otherwise(size)
-    return n * size
+    def days(t: Column) -> Column:
+        n = F.nullif(F.regexp_extract(t, r"([0-9]{1,3})[ ]*(day|week|month|year)", 1), F.lit("")).cast("int")
+        return n * once(F.regexp_extract(t, r"([0-9]{1,3})[ ]*(day|week|month|year)", 2), size)
+
+    def size(unit: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for name, n in UNIT_DAYS.items():
+            out = F.when(unit == name, n).otherwise(out)
+        return out
+
+    return once(F.lower(F.coalesce(text, F.lit(""))), days)
 
 
 def parsed_date(text: Column) -> Column:

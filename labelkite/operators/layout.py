@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelkite.functions import geometry
+from labelkite.functions.text import once
 
 #: Pixels of a strip.
 STRIP = 64
@@ -111,7 +112,7 @@ def merged_passes(primary: DataFrame, secondary: DataFrame, keys: Sequence[str]
     """
     keys = list(keys)
     box = lambda b: F.struct(*[b[c].cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    one = lambda df: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_index", F.struct("text", F.col("confidence").cast("double").alias("confidence"), "variant", box(F.col("bbox")).alias("bbox")).alias("line")))).alias("of"))
+    one = lambda df: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line_index", F.struct("text", F.col("confidence").cast("double").alias("confidence"), "variant", box(F.col("bbox")).alias("bbox")).alias("line")))).alias("of"))
     p, s = one(primary).withColumnRenamed("of", "p"), one(secondary).withColumnRenamed("of", "s")
     kind = "array<struct<text:string,confidence:double,variant:string,bbox:struct<x1:int,y1:int,x2:int,y2:int>>>"
     empty = F.array().cast(kind)
@@ -119,16 +120,22 @@ def merged_passes(primary: DataFrame, secondary: DataFrame, keys: Sequence[str]
     digits = lambda x: F.regexp_replace(x["text"], "[^0-9]", "")
 
     def step(merged, x):
-        hit = F.array_position(F.transform(merged, lambda m: geometry.iou(x["bbox"], m["bbox"]) >= least), True)
-        keep = F.get(merged, (hit - 1).cast("int"))
+        share = lambda common, m: common / (geometry.area(x["bbox"]) + geometry.area(m["bbox"]) - common)
+        near = lambda m: once(geometry.overlap(x["bbox"], m["bbox"]), lambda common: share(common, m) >= least)
+        hit = F.array_position(F.transform(merged, near), True)
+        return once(hit, lambda at: F.when(at == 0, F.concat(merged, F.array(x))).otherwise(once(F.get(merged, (at - 1).cast("int")), lambda keep: met(merged, x, at, keep))))
+
+    def met(merged, x, hit, keep):
         better = x["confidence"] > keep["confidence"]
-        pick = lambda a, b: F.struct(*[F.when(better, a[c]).otherwise(b[c]).alias(c) for c in ("text", "confidence", "variant", "bbox")])
-        winner, loser = pick(x, keep), pick(keep, x)
+        two = F.when(better, F.struct(x.alias("winner"), keep.alias("loser"))).otherwise(F.struct(keep.alias("winner"), x.alias("loser")))
+        return once(two, lambda t: settled(merged, hit, t["winner"], t["loser"]))
+
+    def settled(merged, hit, winner, loser):
         now = F.transform(merged, lambda m, i: F.when(i + 1 == hit, winner).otherwise(m))
         two = (F.trim(winner["text"]) != F.trim(loser["text"])) & _code_like(winner["text"]) & _code_like(loser["text"]) & (digits(winner) != digits(loser))
         alt = F.struct(loser["text"].alias("text"), loser["confidence"].alias("confidence"), F.when(loser["variant"].endswith("+alt"), loser["variant"]).otherwise(F.concat(loser["variant"], F.lit("+alt"))).alias("variant"), loser["bbox"].alias("bbox"))
-        known = F.exists(now, lambda m: (m["bbox"] == alt["bbox"]) & (m["text"] == alt["text"]))
-        return F.when(hit == 0, F.concat(merged, F.array(x))).when(two & ~known, F.concat(now, F.array(alt))).otherwise(now)
+        known = lambda rows: F.exists(rows, lambda m: (m["bbox"] == loser["bbox"]) & (m["text"] == loser["text"]))
+        return once(now, lambda rows: F.when(two & ~known(rows), F.concat(rows, F.array(alt))).otherwise(rows))
 
     both = p.join(s, keys, "full_outer").select(*keys, lines(F.col("p")).alias("p"), lines(F.col("s")).alias("s"))
     out = both.select(*keys, F.posexplode(F.aggregate("s", F.col("p"), lambda m, x: step(m, x).cast(kind))).alias("n", "l"))

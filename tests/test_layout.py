@@ -155,3 +155,12 @@ def test_ground_truth_over_views(spark):
     readings = spark.createDataFrame([(1, 0, "mrp", "99", 0.4), (1, 1, "mrp", "10", 0.6), (1, 0, "net_quantity_value", "", 0.9), (2, 0, "mrp", "21", 0.7)], "product_id int, view_index int, field string, value string, confidence double")
     got = {r.field: (r.exact, r["same"], r.wrong, r.missing) for r in quality.evaluated(annotations, readings).collect()}
     assert got == {"mrp": (0, 1, 1, 0), "net_quantity_value": (0, 0, 0, 1), "net_quantity_unit": (0, 0, 0, 1)}
+
+
+def test_a_line_is_compared_with_a_merged_list_once(spark):
+    kind = f"image_id int, line_index int, text string, confidence double, variant string, bbox {BOX}"
+    first = spark.createDataFrame([(1, 0, "B12", 0.5, "full", (0, 0, 100, 20)), (1, 1, "word", 0.9, "full", (0, 40, 100, 60))], kind)
+    second = spark.createDataFrame([(1, 0, "B13", 0.8, "small", (0, 0, 100, 20)), (1, 1, "other", 0.3, "small", (0, 40, 100, 60)), (1, 2, "new", 0.3, "small", (300, 40, 400, 60))], kind)
+    got = layout.merged_passes(first, second)
+    assert [(r.text, r.variant) for r in got.orderBy("n").collect()] == [("B13", "small"), ("word", "full"), ("B12", "full+alt"), ("new", "small")]
+    assert got._jdf.queryExecution().analyzed().toString().count("array_position(") == 1
