@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from labelkite.functions.text import substantive
+from labelkite.functions.text import once, substantive
 
 #: The rule library (id, number, check, weight, critical, scope, categories, fields).
 FOODLIKE = ("FOOD", "BEVERAGE", "COSMETIC")
@@ -102,13 +102,15 @@ def field_facts(fields: DataFrame) -> DataFrame:
 
 def declared(applies: Column, asked: Column, facts: Column) -> Column:
     """struct(status, confidence) of a rule that asks for any of the fields ``asked``, over an inspection's ``facts``."""
-    own = F.coalesce(F.filter(facts, lambda f: F.array_contains(asked, f["field_name"])), F.filter(facts, lambda f: F.lit(False)))
-    told = F.filter(own, lambda f: f["human_absent"].isNotNull())
-    absent = (F.size(told) > 0) & F.forall(told, lambda f: f["human_absent"])
-    best = F.array_max(F.transform(F.filter(own, lambda f: f["seen"]), lambda f: f["confidence"]))
-    some = lambda name: F.coalesce(F.exists(own, lambda f: f[name]), F.lit(False))
-    status = F.when(~applies, "NOT_APPLICABLE").when(some("seen"), "PASS").when(some("conflicting"), "UNCERTAIN").when(absent, "FAIL").otherwise("UNCERTAIN")
-    return F.struct(status.alias("status"), F.when(status == "PASS", best).when(status == "FAIL", 1.0).otherwise(0.3).alias("confidence"))
+    def judged(own: Column) -> Column:
+        told = F.filter(own, lambda f: f["human_absent"].isNotNull())
+        absent = once(told, lambda t: (F.size(t) > 0) & F.forall(t, lambda f: f["human_absent"]))
+        best = F.array_max(F.transform(F.filter(own, lambda f: f["seen"]), lambda f: f["confidence"]))
+        some = lambda name: F.coalesce(F.exists(own, lambda f: f[name]), F.lit(False))
+        status = F.when(~applies, "NOT_APPLICABLE").when(some("seen"), "PASS").when(some("conflicting"), "UNCERTAIN").when(absent, "FAIL").otherwise("UNCERTAIN")
+        return once(status, lambda s: F.struct(s.alias("status"), F.when(s == "PASS", best).when(s == "FAIL", 1.0).otherwise(0.3).alias("confidence")))
+
+    return once(F.filter(facts, lambda f: F.array_contains(asked, f["field_name"])), judged)
 
 
 def declarations(applied: DataFrame, fields: DataFrame) -> DataFrame:

@@ -123,3 +123,18 @@ def test_outcomes_of_unknown_types_and_missing_sides(spark):
     quality = spark.createDataFrame([(1, "GOOD")], "inspection_id int, quality string")
     got = {r.rule_id: (r.status, r.confidence) for r in checks.outcomes(applied, fields, quality, none, none).collect()}
     assert got == {"manual_only": ("UNCERTAIN", 0.1), "legibility": ("PASS", 0.7), "font_size": ("UNCERTAIN", 0.2), "placement": ("UNCERTAIN", 0.3), "something": ("UNCERTAIN", 0.1), "off": ("NOT_APPLICABLE", 1.0)}
+
+
+def test_dates_are_taken_apart_once(spark):
+    df = spark.createDataFrame([('{"type": "DURATION_FROM_REFERENCE", "duration": "2 months", "reference": "PACKING_DATE"}', "2024-01-01|AMBIGUOUS", "2024-01-10", "2024-03-09"), (None, "2024-01-01", None, "2023-01-01"), ("3 weeks", "x", "", "2023-01")], "b string, m string, p string, e string")
+    got = df.select(checks.date_findings(F.col("b"), F.col("m"), F.col("p"), F.lit(None).cast("string"), F.col("e")).alias("f"))
+    assert [[(x.about, x.code) for x in r.f] for r in got.collect()] == [[("best_before", "CONSISTENT"), ("packing", "CONSISTENT")], [("shelf_life", "INCONSISTENT")], [("best_before", "UNVERIFIABLE")]]
+    assert got._jdf.queryExecution().analyzed().toString().count("get_json_object(") <= 4
+
+
+def test_readings_of_a_rule_are_looked_up_once(spark):
+    facts = "array<struct<field_name:string,seen:boolean,confidence:double,conflicting:boolean,human_absent:boolean>>"
+    rows = [(["a"], [("a", True, 0.7, False, None), ("a", True, 0.9, False, None)]), (["b"], [("b", False, 0.7, True, None)]), (["c"], [("c", False, 0.1, False, True)]), (["d"], [("c", True, 0.1, False, None)]), (["e"], None)]
+    got = spark.createDataFrame(rows, f"asked array<string>, facts {facts}").select(rules.declared(F.lit(True), F.col("asked"), F.col("facts")).alias("r"))
+    assert [tuple(r.r) for r in got.collect()] == [("PASS", 0.9), ("UNCERTAIN", 0.3), ("FAIL", 1.0), ("UNCERTAIN", 0.3), ("UNCERTAIN", 0.3)]
+    assert got._jdf.queryExecution().analyzed().toString().count("array_contains(") == 1
