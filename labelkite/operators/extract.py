@@ -84,10 +84,10 @@ def _nutrition_row(text: Column) -> Column:
     return F.element_at(low, 1) & text.rlike(NUTRITION)
 
 
-def flagged(lines: DataFrame) -> DataFrame:
+def flagged(lines: DataFrame, *more: str) -> DataFrame:
     """``lines`` with ``nutrition``: lines of a nutrition table, with the lines of numbers between its first and last one; and ``near_net``:
-    whether the line before or after names a net quantity. One sort of each image's lines."""
-    page = Window.partitionBy("inspection_id", "image_id")
+    whether the line before or after names a net quantity. One sort of each image's lines; ``more`` columns tell views of an image apart."""
+    page = Window.partitionBy("inspection_id", "image_id", *more)
     marked = lines.withColumn("_row", _nutrition_row(F.col("text"))).withColumn("_net", F.lower("text").contains("net") & F.col("text").rlike(NET))
     row, ordered = F.when(F.col("_row"), F.col("line_index")), page.orderBy("line_index")
     first, last = F.min(row).over(page), F.max(row).over(page)
@@ -99,9 +99,9 @@ def flagged(lines: DataFrame) -> DataFrame:
 def _reading(field: Column | str, value: Column, confidence: Column, bonus: Column | float = 0.0, when: Column | None = None, role_uncertain: bool = False) -> Column:
     """A candidate as a struct, null where ``when`` doesn't hold or the value is empty."""
     name = F.lit(field) if isinstance(field, str) else field
-    found = F.struct(name.alias("field_name"), value.alias("value"), (confidence + bonus).alias("score"), confidence.alias("confidence"), F.lit(role_uncertain).alias("role_uncertain"))
-    kept = F.coalesce(value, F.lit("")) != ""
-    return F.when(kept if when is None else F.when(when, kept).otherwise(False), found)
+    found = lambda v, sure: F.struct(name.alias("field_name"), v.alias("value"), (sure + bonus).alias("score"), sure.alias("confidence"), F.lit(role_uncertain).alias("role_uncertain"))
+    read = T.once(value, lambda v: F.when(F.coalesce(v, F.lit("")) != "", T.once(confidence, lambda sure: found(v, sure))))
+    return read if when is None else F.when(when, read)
 
 
 def _conf(pattern: float, context: float | Column) -> Column:
@@ -140,10 +140,14 @@ def quantities() -> list[Column]:
     """Net quantities; a keyword on the line, or on the one before or after, gives more confidence."""
     t, net = F.col("text"), F.col("text").rlike(NET)
     raw = F.regexp_replace(F.lower(F.regexp_extract(t, QUANTITY, 2)), r"\.", "")
-    unit = raw
-    for long, short in SHORT_UNITS.items():
-        unit = F.when(raw == long, short).otherwise(unit)
-    value = F.concat_ws(" ", F.regexp_extract(t, QUANTITY, 1), unit)
+
+    def short(unit: Column) -> Column:
+        out = unit
+        for long, less in SHORT_UNITS.items():
+            out = F.when(unit == long, less).otherwise(out)
+        return out
+
+    value = F.concat_ws(" ", F.regexp_extract(t, QUANTITY, 1), T.once(raw, short))
     confidence = F.when(net, _conf(0.95, 0.85)).when(F.col("near_net"), _conf(0.55, 0.7)).otherwise(_conf(0.55, 0.4))
     return [_reading("net_quantity", value, confidence, F.when(net, 0.25).otherwise(0.0), when=_digits() & _plain() & t.rlike(QUANTITY) & ~t.rlike(UNIT_PRICE))]
 
@@ -209,10 +213,15 @@ EXTRACTORS = (prices, unit_prices, quantities, licences, batches, contacts, site
 
 def candidates(lines: DataFrame) -> DataFrame:
     """All candidates of all lines, with ``seq`` (their order) and the flags that ranking reads. Each line is read once."""
-    readings = [F.struct(F.lit(n).alias("n"), r.alias("r")) for n, extract in enumerate(EXTRACTORS) for r in extract()]
-    found = flagged(lines).select(*COLUMNS, F.explode(F.filter(F.array(*readings), lambda x: x["r"].isNotNull())).alias("x"))
+    return readings(flagged(lines))
+
+
+def readings(marked: DataFrame, *more: str) -> DataFrame:
+    """Candidates of lines that are ``flagged``, with ``more`` of their columns."""
+    found = [F.struct(F.lit(n).alias("n"), r.alias("r")) for n, extract in enumerate(EXTRACTORS) for r in extract()]
+    found = marked.select(*COLUMNS, *more, F.explode(F.filter(F.array(*found), lambda x: x["r"].isNotNull())).alias("x"))
     seq = F.struct("image_id", F.col("x.n").alias("extractor"), "line_index")
-    out = found.select(*COLUMNS, "x.r.field_name", "x.r.value", "x.r.score", "x.r.confidence", seq.alias("seq"), "x.r.role_uncertain")
+    out = found.select(*COLUMNS, "x.r.field_name", "x.r.value", "x.r.score", "x.r.confidence", seq.alias("seq"), "x.r.role_uncertain", *more)
     return out.withColumn("ambiguous", F.col("value").endswith("|AMBIGUOUS"))
 
 

@@ -6,7 +6,7 @@ beside those of the lines as they were read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelkite.functions.composite import repaired
@@ -118,13 +118,17 @@ def second_run(lines: DataFrame) -> DataFrame:
 
     Corrected lines stand in their image with its other lines. Of what is read from them only ``CORRECTED_FIELDS`` count, and only
     what the line as it was read didn't give already; ``changes`` has what was corrected. Codes after a batch, lot or part number
-    stay. ``ranking.deduplicated`` prefers corrected readings of a box.
+    stay. ``ranking.deduplicated`` prefers corrected readings of a box. Both views of an image go through the extractors in one pass,
+    without a join: lines are many times the size of what they are made from.
     """
     view = lines.withColumn("view", repaired(F.col("text"), F.col("text").rlike(_IDENTIFIER)))
     none = F.array().cast(view.schema["view"].dataType["changes"].dataType)
-    raw = extract.candidates(lines).select("*", F.lit(False).alias("corrected"), none.alias("changes"))
-    keys = list(extract.COLUMNS)
-    changed = view.filter(F.size("view.changes") > 0).select(*keys, F.col("view.changes").alias("changes"))
-    again = extract.candidates(view.withColumn("text", F.col("view.text")).drop("view")).filter(F.col("field_name").isin(*CORRECTED_FIELDS))
-    again = again.join(changed, keys).select(*raw.columns[:-2], F.lit(True).alias("corrected"), "changes")
-    return raw.unionByName(again.join(raw.select(*keys, "field_name", "value"), [*keys, "field_name", "value"], "left_anti").select(*raw.columns))
+    one = lambda text, corrected, changes: F.struct(text.alias("text"), F.lit(corrected).alias("corrected"), changes.alias("changes"))
+    views = F.array(one(F.col("text"), False, none), one(F.col("view.text"), True, F.col("view.changes")))
+    both = view.select(*[c for c in lines.columns if c != "text"], F.inline(views))
+    # the lines that stay as they are only surround the corrected ones
+    marked = extract.flagged(both, "corrected").filter(~F.col("corrected") | (F.size("changes") > 0))
+    read = extract.readings(marked, "corrected", "changes").filter(~F.col("corrected") | F.col("field_name").isin(*CORRECTED_FIELDS))
+    given = F.min(F.col("corrected").cast("int")).over(Window.partitionBy(*extract.COLUMNS, "field_name", "value"))
+    last = ("corrected", "changes")
+    return read.withColumn("_given", given).filter(~F.col("corrected") | (F.col("_given") == 1)).select(*[c for c in read.columns if c not in last], *last)

@@ -52,7 +52,7 @@ def respaced_names(spark, d):
             {'field_name': 'batch_lot', 'value': 'AO1' || p_partkey || 'X7', 'corrected': false}], recursive := true) FROM part""")
 def second_run_readings(spark, d):
     """Prices and licences whose digits were read as letters; the batch code beside them stays as it is."""
-    p = table(spark, d, "part")
+    p = dealt(table(spark, d, "part"), "p_partkey")
     price = F.translate(F.format_string("%.2f", "p_retailprice"), "015", "OIS")
     texts = F.array(F.concat(F.lit("MRP Rs. "), price), F.concat(F.lit("FSSAI Lic. No. "), F.translate(F.format_string("1%013d", "p_partkey"), "0", "O")), F.format_string("Batch No: AO1%dX7", "p_partkey"))
     lines = p.select(F.col("p_partkey").alias("inspection_id"), F.lit(1).alias("image_id"), F.lit(0.9).alias("confidence"), F.posexplode(texts).alias("line_index", "text"))

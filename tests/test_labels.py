@@ -109,3 +109,10 @@ def test_companies_by_their_tails(spark):
     cases = {"ACME FOODSLTD": True, "A.C.M.E P-V-T.": True, "MegaPackers&co": True, "LTDX": False, "Ltd": False, "Foods inc": True, "zinc": False}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     assert {r.t: r.c for r in df.select("t", text.company_like(F.col("t")).alias("c")).collect()} == cases
+
+
+def test_a_quantity_is_looked_for_once(spark):
+    df = spark.createDataFrame([("Net Wt. 20 grams", 0.9, False, False)], "text string, confidence double, nutrition boolean, near_net boolean")
+    got = df.select(extract.quantities()[0].alias("q"))
+    assert got.first().q.value == "20 g"
+    assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract(") == 2

@@ -88,3 +88,13 @@ def test_snapshot_without_any_rows(spark):
     empty = snap(spark, [], [], [], [])
     got = snapshots.differences(empty, snap(spark, [], [], [], [(1.0, 2.0, "PASS", None)])).first()
     assert got.changed.score_changed and got.changed.verdict_changed and got.headline == ["AI verdict: — → PASS"]
+
+
+def test_both_views_are_read_without_a_join(spark):
+    lines = spark.createDataFrame([(1, 1, 0, "MRP Rs. 1O5.OO", 0.9), (1, 1, 1, "MRP Rs. 25.00", 0.9), (1, 1, 2, "Batch No: AO17X7", 0.9)], "inspection_id int, image_id int, line_index int, text string, confidence double")
+    from labelkite.operators import repair
+
+    got = repair.second_run(lines)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    read = {(r.line_index, r.value, r.corrected, len(r.changes)) for r in got.filter("field_name in ('mrp', 'batch_lot')").collect()}
+    assert (0, "105.00", True, 1) in read and (1, "25.00", False, 0) in read and (2, "AO17X7", False, 0) in read and not any(c for n, _, c, _ in read if n > 0)
