@@ -22,7 +22,7 @@ def snapshots(inspections: DataFrame, fields: DataFrame, rules: DataFrame, viola
     flag = lambda c: F.coalesce(F.col(c), F.lit(False)).alias(c)
 
     def gathered(df: DataFrame, name: str, row: Column) -> DataFrame:
-        return df.groupBy("inspection_id").agg(F.array_sort(F.collect_list(row)).alias(name))
+        return df.groupBy("inspection_id").agg(F.sort_array(F.collect_list(row)).alias(name))
 
     one = lambda df, key: df.filter(F.coalesce(key, F.lit("")) != "") if key in df.columns else df
     f = gathered(fields, "fields", F.struct("field_name", F.trim(F.coalesce("value", F.lit(""))).alias("value"), text("state"), flag("manually_corrected")))
@@ -41,8 +41,7 @@ def snapshots(inspections: DataFrame, fields: DataFrame, rules: DataFrame, viola
 def _paired(before: Column, after: Column, key: str) -> Column:
     """array<struct<name, b, a>> of two sorted arrays' entries by ``key``; entries that one side lacks are null."""
     names = F.array_sort(F.array_union(F.transform(before, lambda x: x[key]), F.transform(after, lambda x: x[key])))
-    of = lambda rows, n: F.element_at(F.concat(F.filter(rows, lambda x: x[key] == n), F.array()), -1)
-    last = lambda rows, n: F.when(F.exists(rows, lambda x: x[key] == n), of(rows, n))
+    last = lambda rows, n: F.try_element_at(F.filter(rows, lambda x: x[key] == n), F.lit(-1))
     return F.transform(names, lambda n: F.struct(n.alias("name"), last(before, n).alias("b"), last(after, n).alias("a")))
 
 
