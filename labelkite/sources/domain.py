@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelkite.session import table
+from labelkite.session import dealt, table
 
 #: Rules that are critical unless they say otherwise, and the weight of critical and other rules.
 CRITICAL_WEIGHT = 2.0
@@ -73,7 +73,7 @@ def candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def lines(spark: SparkSession, d: str) -> DataFrame:
     """Lines of text of the documents: ``image_id line_index text`` of those that aren't blank, in reading order."""
-    found = table(spark, d, "documents").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line_index", "raw"))
+    found = dealt(table(spark, d, "documents"), "doc_id").select(F.col("doc_id").alias("image_id"), F.posexplode(F.split("text", "\n")).alias("line_index", "raw"))
     return found.filter(F.col("raw").rlike(r"[^\x20\x09-\x0D]")).select("image_id", "line_index", "raw", strip(F.col("raw")).alias("text"))
 
 
