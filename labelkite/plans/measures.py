@@ -141,7 +141,7 @@ def all_check_types(spark, d):
 def checks_by_inspection(spark, d):
     """All outcomes of an inspection in one row."""
     one = F.struct("rule_id", F.concat_ws(":", "rule_id", "status").alias("check"), "confidence")
-    by = all_check_types(spark, d).groupBy("inspection_id").agg(F.array_sort(F.collect_list(one)).alias("all"), F.count_if(F.col("status") == "FAIL").alias("failed"))
+    by = all_check_types(spark, d).groupBy("inspection_id").agg(F.sort_array(F.collect_list(one)).alias("all"), F.count_if(F.col("status") == "FAIL").alias("failed"))
     sure = F.aggregate("all", F.lit(0.0), lambda s, x: s + x["confidence"])
     return by.select("inspection_id", F.array_join(F.transform("all", lambda x: x["check"]), " ").alias("checks"), "failed", F.round(sure, 6).alias("sure"))
 
